@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import ngram_join, substring_dedup
 
 QUERIES = {
+    "op10_ngram_join": ngram_join.op10_ngram_join,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
 }
 
