@@ -13,7 +13,7 @@ hold equal segments.  The join therefore
 4. deals each component's texts to one task, or a large component's blocks to a task for each two blocks, where
    overlaps are counted fragment by fragment and summed per pair.  A task searches from one document at a time
    among those that are not yet reached, so only a spanning forest of the links leaves it;
-5. takes the components of those links.
+5. takes the components of those links: at once where one task held a whole component, over all tasks else.
 
 Empty segments sign only for documents that have so many of them that no segment need be non-empty in both
 sets of a pair (more than the fragments beyond D), which keeps the guarantee exact.
@@ -146,17 +146,27 @@ def _deal(buckets: int):
 def _stars(table: pa.Table) -> pa.Table:
     keys = np.concatenate([np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()])
     ids = np.concatenate([np.frombuffer(x, np.int64) for x in table["ids"].to_pylist()])
+    nodes, number = np.unique(ids, return_inverse=True)
     order = np.argsort(keys)
-    keys, ids = keys[order], ids[order]
+    keys, number = keys[order], number[order]
     head = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    length = np.diff(np.r_[head, len(keys)])
-    leader = np.repeat(np.minimum.reduceat(ids, head), length)
-    tied = leader != ids
-    a, b = leader[tied], ids[tied]
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
-    return pa.table({"a": a[new], "b": b[new]})
+    leader = np.repeat(np.minimum.reduceat(number, head), np.diff(np.r_[head, len(keys)]))
+    tied = leader != number
+    root = roots(leader[tied], number[tied], len(nodes))
+    own = np.flatnonzero(root != np.arange(len(nodes)))
+    return pa.table({"a": nodes[root[own]], "b": nodes[own]})
+
+
+def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest number that each of n reaches by the links a - b."""
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        if (x == y).all():
+            return root
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
 
 
 class _Overlaps:
@@ -223,9 +233,12 @@ def _compare(k: int, percent: int):
     def run(table: pa.Table) -> pa.Table:
         raw, offs = kit.flat(table["text"])
         sets, at = shingle_sets(kit.Words(raw, offs), k)
-        ids, roots = kit.long_ids(table["doc_id"]), kit.long_ids(table["root"])
-        links = np.array(spanning_links(sets, at, roots, percent), np.int64).reshape(-1, 2)
-        return pa.table({"a": ids[links[:, 0]], "b": ids[links[:, 1]]})
+        ids, of, whole = kit.long_ids(table["doc_id"]), kit.long_ids(table["root"]), table["task"][0].as_py() < 0
+        links = np.array(spanning_links(sets, at, of, percent), np.int64).reshape(-1, 2)
+        nodes, number = np.unique(ids, return_inverse=True)
+        root = roots(number[links[:, 0]], number[links[:, 1]], len(nodes))
+        own = np.flatnonzero(root != np.arange(len(nodes)))
+        return pa.table({"a": nodes[root[own]], "b": nodes[own], "whole": np.full(len(own), whole)})
 
     return run
 
@@ -255,10 +268,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         F.when(F.col("blocks") > 1, F.col("root")).otherwise(-1 - F.pmod(F.xxhash64("root"), F.lit(groups))).alias("task"),
         F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "root", "doc_id", "text",
     )
-    links = texts.groupBy("task", "i", "j").applyInArrow(_compare(k, percent), "a long, b long")
-    roots = components(links)
+    links = kit.settled(texts.groupBy("task", "i", "j").applyInArrow(_compare(k, percent), "a long, b long, whole boolean"))
+    joined = links.where("whole").select(F.col("b").alias("node"), F.col("a").alias("root")).union(components(links.where("not whole")).where("node <> root"))
     out = all_sets.drop("sigs").join(reps.select(*[F.col(c).alias(f"r_{c}") for c in same], "rep"), [F.col(c) == F.col(f"r_{c}") for c in same], "left")
-    out = out.join(roots, F.col("rep") == F.col("node"), "left")
+    out = out.join(joined, F.col("rep") == F.col("node"), "left")
     mine = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", mine.alias("component_id"))
 
