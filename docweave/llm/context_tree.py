@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import kit
 
-CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
+CHUNK_BYTES, BUCKET_BYTES = 6 << 20, 16 << 20
 END = 0xFF
 END_WORD = np.uint64(0x656E64206F662074)
 WORDS, STRINGS = 0, 1
@@ -86,7 +86,7 @@ def _count(depth: int, buckets: int, by: int, rest: int):
             for kind, parts in found.items():
                 keys, counts = _summed(parts)
                 order, cuts = _blobs(keys, kind, depth, buckets)
-                rows = [(kind, b, keys[o].tobytes(), kit.narrow(counts[o].astype(np.uint64))) for b in np.flatnonzero(np.diff(cuts)).tolist() for o in [order[cuts[b] : cuts[b + 1]]]]
+                rows = [(kind, b, kit.pack_sorted(keys[o]), kit.narrow(counts[o].astype(np.uint64))) for b in np.flatnonzero(np.diff(cuts)).tolist() for o in [order[cuts[b] : cuts[b + 1]]]]
                 if rows:
                     yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["kind", "bucket", "keys", "counts"])
 
@@ -105,8 +105,8 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def _total(table: pa.Table) -> pa.Table:
-    keys, counts = _summed([(np.frombuffer(k, np.uint64), kit.widen(c)) for k, c in zip(table["keys"].to_pylist(), table["counts"].to_pylist(), strict=True)])
-    row = {"kind": table["kind"][0].as_py(), "bucket": table["bucket"][0].as_py(), "keys": keys.tobytes(), "counts": kit.narrow(counts.astype(np.uint64)), "distinct": len(keys), "total": int(counts.sum())}
+    keys, counts = _summed([(kit.unpack_sorted(k), kit.widen(c)) for k, c in zip(table["keys"].to_pylist(), table["counts"].to_pylist(), strict=True)])
+    row = {"kind": table["kind"][0].as_py(), "bucket": table["bucket"][0].as_py(), "keys": kit.pack_sorted(keys), "counts": kit.narrow(counts.astype(np.uint64)), "distinct": len(keys), "total": int(counts.sum())}
     return pa.Table.from_pylist([row], schema=_TOTAL)
 
 
@@ -192,7 +192,7 @@ def _upper_sums(depth: int):
     """What the two uppermost levels need of a bucket: sums over its nodes of depth 2."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys, counts = np.frombuffer(table["keys"][0].as_py(), np.uint64), kit.widen(table["counts"][0].as_py()).astype(np.int64)
+        keys, counts = kit.unpack_sorted(table["keys"][0].as_py()), kit.widen(table["counts"][0].as_py()).astype(np.int64)
         name, n, n1, _, weighted = _Tree(keys, counts, depth, 2).levels[2]
         near = ((name >> np.uint64(16)) << np.uint64(8)) | (name & np.uint64(255))
         head, which = np.unique(near, return_inverse=True)
@@ -249,7 +249,7 @@ def _ask(depth: int, buckets: int):
     def run(table: pa.Table) -> pa.Table:
         c = _Asked(table, depth, buckets)
         chunk = table["chunk"][0].as_py()
-        rows = [(kind, b, chunk, c.keys[kind][order[cuts[b] : cuts[b + 1]]].tobytes()) for kind, (order, cuts) in c.dealt.items() for b in np.flatnonzero(np.diff(cuts)).tolist()]
+        rows = [(kind, b, chunk, kit.pack_sorted(c.keys[kind][order[cuts[b] : cuts[b + 1]]])) for kind, (order, cuts) in c.dealt.items() for b in np.flatnonzero(np.diff(cuts)).tolist()]
         return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["kind", "bucket", "chunk", "keys"])
 
     return run
@@ -265,8 +265,8 @@ def _answer(depth: int, stop: np.ndarray, one: np.ndarray):
             kind, bucket = asks["kind"][0].as_py(), asks["bucket"][0].as_py()
             known, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
             if totals.num_rows:
-                known, counts = np.frombuffer(totals["keys"][0].as_py(), np.uint64), kit.widen(totals["counts"][0].as_py()).astype(np.int64)
-            asked = [np.frombuffer(x, np.uint64) for x in asks["keys"].to_pylist()]
+                known, counts = kit.unpack_sorted(totals["keys"][0].as_py()), kit.widen(totals["counts"][0].as_py()).astype(np.int64)
+            asked = [kit.unpack_sorted(x) for x in asks["keys"].to_pylist()]
             keys = np.unique(np.concatenate(asked))
             if kind == WORDS:
                 where = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
@@ -306,7 +306,12 @@ def _finish(depth: int, buckets: int, by: int, rest: int):
         at = c.words.at
         score = np.empty(len(c.ids))
         for keys, begin, i, j in c.strings():
-            sums = np.r_[0, np.cumsum(values[STRINGS][np.searchsorted(c.keys[STRINGS], keys)])]
+            order = np.argsort(keys)  # a table lookup in order is faster than one in the order of the text
+            ordered = keys[order]
+            head = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+            logs_of = np.empty(len(keys))
+            logs_of[order] = np.repeat(values[STRINGS][np.searchsorted(c.keys[STRINGS], ordered[head])], np.diff(np.r_[head, len(keys)]))
+            sums = np.r_[0, np.cumsum(logs_of)]
             score[i:j] = sums[begin[1:]] - sums[begin[:-1]]
         columns = [kit.id_column(c.ids), pa.array(held_out(c.ids, by, rest)), pa.array(np.diff(at) + 1), pa.array(known[at[1:]] - known[at[:-1]] + (end > 0)), pa.array(logs[at[1:]] - logs[at[:-1]] + math.log10(end + 0.5)), pa.array(score), pa.array(np.diff(c.offs) + 1)]
         return pa.Table.from_arrays(columns, schema=_SCORED)
@@ -314,7 +319,7 @@ def _finish(depth: int, buckets: int, by: int, rest: int):
     return run
 
 
-def code_lengths(docs: DataFrame, depth: int = 4, by: int = 5, rest: int = 1, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def code_lengths(docs: DataFrame, depth: int = 5, by: int = 5, rest: int = 1, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Scores of all documents by a tree that learns from those whose crc32(doc_id) modulo `by` is not `rest`.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for each row.

@@ -178,14 +178,26 @@ def id_column(ids: np.ndarray) -> pa.Array:
 
 
 def narrow(x: np.ndarray) -> bytes:
-    """Unsigned numbers in as few bytes as the largest needs; the first byte tells how many."""
+    """Unsigned numbers in as few bytes as the largest needs: first how many, then all lowest bytes, all next ones, ..."""
     most = int(x.max()) if len(x) else 0
-    kind = np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64
-    return bytes([np.dtype(kind).itemsize]) + x.astype(kind).tobytes()
+    size = max(1, (most.bit_length() + 7) // 8)
+    return bytes([size]) + x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T.tobytes()
 
 
 def widen(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, f"<u{blob[0]}", offset=1).astype(np.uint64)
+    planes = np.frombuffer(blob, np.uint8, offset=1).reshape(blob[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : blob[0]] = planes.T
+    return out.view("<u8").ravel()
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Ascending keys as differences."""
+    return narrow(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_sorted(blob: bytes) -> np.ndarray:
+    return np.cumsum(widen(blob), dtype=np.uint64)
 
 
 def volume(docs, text: str = "text") -> tuple[int, int]:

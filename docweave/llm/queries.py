@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import ngram_join, substring_dedup
+from . import context_tree, ngram_join, substring_dedup
 
 QUERIES = {
     "op10_ngram_join": ngram_join.op10_ngram_join,
+    "op4_context_tree": context_tree.op4_context_tree,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
 }
 
