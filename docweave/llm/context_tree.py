@@ -42,19 +42,23 @@ def held_out(ids: np.ndarray, by: int, rest: int) -> np.ndarray:
 
 
 def strings(raw: np.ndarray, offs: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """One number for each byte and end of the texts: the nearest context byte first, the byte itself last; where
-    each document's begin."""
-    n = np.diff(offs)
-    padded = np.full(len(raw) + len(n) * (depth + 1), END, np.uint8)
-    shift = np.repeat(np.arange(len(n)) * (depth + 1) + depth, n)
-    padded[np.arange(len(raw)) + shift] = kit.FOLD[raw]
-    out = np.zeros(len(padded) - depth, np.uint64)
-    for i in range(1, depth + 1):
-        out = (out << np.uint64(8)) | padded[depth - i : len(padded) - i]
-    out = (out << np.uint64(8)) | padded[depth:]
-    at = offs + np.arange(len(offs))
-    where = np.arange(at[-1]) + np.repeat(np.arange(len(n)) * depth, n + 1)
-    return out[where], at
+    """A number for each byte of the texts, and one for each end: the nearest context byte first, the byte itself last.
+
+    Contexts that reach over the start of a text hold END bytes there.
+    """
+    folded = np.full(len(raw) + 16, END, np.uint8)
+    folded[depth : depth + len(raw)] = kit.FOLD[raw]
+    before = np.ndarray(len(raw) + 1, "<u8", folded, strides=(1,))  # eight bytes from each place on, the last ones highest
+    before = (before & np.uint64((1 << 8 * depth) - 1)) << np.uint64(8)
+    ends = before[offs[1:]] | np.uint64(END)
+    out = before[:-1]
+    out |= folded[depth : depth + len(raw)]
+    size = np.diff(offs)
+    for j in range(depth):
+        beyond = np.uint64(((1 << 8 * (depth - j)) - 1) << 8)
+        out[offs[:-1][size > j] + j] |= beyond
+        ends[size == j] |= beyond
+    return out, ends
 
 
 def _bucket(keys: np.ndarray, kind: int, depth: int, buckets: int) -> np.ndarray:
@@ -81,8 +85,8 @@ def _count(depth: int, buckets: int, by: int, rest: int):
                 w = kit.Words(part, at)
                 own = np.repeat(train[i:j], np.diff(w.at))
                 found[WORDS].append(np.unique(np.r_[w.hashes(fold=True)[own], np.full(train[i:j].sum(), END_WORD)], return_counts=True))
-                keys, begin = strings(part, at, depth)
-                found[STRINGS].append(np.unique(keys[np.repeat(train[i:j], np.diff(begin))], return_counts=True))
+                keys, ends = strings(part, at, depth)
+                found[STRINGS].append(np.unique(np.r_[keys[np.repeat(train[i:j], np.diff(at))], ends[train[i:j]]], return_counts=True))
             for kind, parts in found.items():
                 keys, counts = _summed(parts)
                 order, cuts = _blobs(keys, kind, depth, buckets)
@@ -223,7 +227,8 @@ def _upper_levels(sums) -> tuple[np.ndarray, np.ndarray]:
 class _Asked:
     """A chunk's documents and the distinct words and strings that it asks about."""
 
-    def __init__(self, table: pa.Table, depth: int, buckets: int):
+    def __init__(self, table: pa.Table, depth: int, buckets: int, places: bool = False):
+        """places: remember where each string occurs."""
         ids = kit.long_ids(table["doc_id"])
         order = np.lexsort((np.asarray(table["row"].combine_chunks()), ids))
         table = table.take(pa.array(order))
@@ -231,18 +236,20 @@ class _Asked:
         self.raw, self.offs = kit.flat(table["text"])
         self.words = kit.Words(self.raw, self.offs)
         self.word = self.words.hashes(fold=True)
-        self.depth = depth
-        found: dict[int, list] = {WORDS: [np.unique(self.word)], STRINGS: []}
-        for part in self.strings():
-            found[STRINGS].append(np.unique(part[0]))
-        self.keys = {k: np.unique(np.concatenate(v)) if v else np.zeros(0, np.uint64) for k, v in found.items()}
-        if len(self.ids):
-            self.keys[WORDS] = np.union1d(self.keys[WORDS], [END_WORD])
-        self.dealt = {k: _blobs(v, k, depth, buckets) for k, v in self.keys.items()}
-
-    def strings(self):
+        self.places, found = [], []
         for i, j in kit.slices(self.offs):
-            yield (*strings(self.raw[self.offs[i] : self.offs[j]], self.offs[i : j + 1] - self.offs[i], self.depth), i, j)
+            keys = np.concatenate(strings(self.raw[self.offs[i] : self.offs[j]], self.offs[i : j + 1] - self.offs[i], depth))
+            if places:
+                order = np.argsort(keys)
+                ordered = keys[order]
+                head = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+                found.append(ordered[head])
+                self.places.append((i, j, order.astype(np.uint32), np.diff(np.r_[head, len(keys)]), found[-1]))
+            else:
+                found.append(np.unique(keys))
+        words = np.unique(self.word)
+        self.keys = {WORDS: np.union1d(words, [END_WORD]) if len(self.ids) else words, STRINGS: np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)}
+        self.dealt = {k: _blobs(v, k, depth, buckets) for k, v in self.keys.items()}
 
 
 def _ask(depth: int, buckets: int):
@@ -295,24 +302,23 @@ def _finish(depth: int, buckets: int, by: int, rest: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return _SCORED.empty_table()
-        c = _Asked(docs, depth, buckets)
+        c = _Asked(docs, depth, buckets, places=True)
         values = {WORDS: np.zeros(len(c.keys[WORDS]), np.int64), STRINGS: np.zeros(len(c.keys[STRINGS]))}
         for kind, b, blob in zip(*(answers[x].to_pylist() for x in ("kind", "bucket", "values")), strict=True):
             order, cuts = c.dealt[kind]
             values[kind][order[cuts[b] : cuts[b + 1]]] = kit.widen(blob).astype(np.int64) if kind == WORDS else np.frombuffer(blob, np.float32)
         count = values[WORDS][np.searchsorted(c.keys[WORDS], c.word)]
         end = values[WORDS][np.searchsorted(c.keys[WORDS], END_WORD)]
+        del c.word
         logs, known = np.r_[0, np.cumsum(np.log10(count + 0.5))], np.r_[0, np.cumsum(count > 0)]
         at = c.words.at
         score = np.empty(len(c.ids))
-        for keys, begin, i, j in c.strings():
-            order = np.argsort(keys)  # a table lookup in order is faster than one in the order of the text
-            ordered = keys[order]
-            head = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-            logs_of = np.empty(len(keys))
-            logs_of[order] = np.repeat(values[STRINGS][np.searchsorted(c.keys[STRINGS], ordered[head])], np.diff(np.r_[head, len(keys)]))
-            sums = np.r_[0, np.cumsum(logs_of)]
-            score[i:j] = sums[begin[1:]] - sums[begin[:-1]]
+        for i, j, order, times, keys in c.places:
+            logs_of = np.empty(len(order))
+            logs_of[order] = np.repeat(values[STRINGS][np.searchsorted(c.keys[STRINGS], keys)], times)
+            offs = c.offs[i : j + 1] - c.offs[i]
+            sums = np.r_[0, np.cumsum(logs_of[: offs[-1]])]
+            score[i:j] = sums[offs[1:]] - sums[offs[:-1]] + logs_of[offs[-1] :]
         columns = [kit.id_column(c.ids), pa.array(held_out(c.ids, by, rest)), pa.array(np.diff(at) + 1), pa.array(known[at[1:]] - known[at[:-1]] + (end > 0)), pa.array(logs[at[1:]] - logs[at[:-1]] + math.log10(end + 0.5)), pa.array(score), pa.array(np.diff(c.offs) + 1)]
         return pa.Table.from_arrays(columns, schema=_SCORED)
 
