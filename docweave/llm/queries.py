@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import context_tree, ngram_join, quality, substring_dedup, toxicity
+from . import context_tree, mixing, ngram_join, quality, substring_dedup, toxicity
 
 QUERIES = {
     "op10_ngram_join": ngram_join.op10_ngram_join,
     "op4_context_tree": context_tree.op4_context_tree,
     "op2_toxicity": toxicity.op2_toxicity,
     "op8_quality": quality.op8_quality,
+    "op9_mixing": mixing.op9_mixing,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
 }
 
