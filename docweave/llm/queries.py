@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import context_tree, mixing, ngram_join, quality, substring_dedup, toxicity
+from . import bpe, context_tree, mixing, ngram_join, quality, substring_dedup, toxicity
 
 QUERIES = {
     "op10_ngram_join": ngram_join.op10_ngram_join,
@@ -10,6 +10,7 @@ QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
     "op8_quality": quality.op8_quality,
     "op9_mixing": mixing.op9_mixing,
+    "op1_bpe": bpe.op1_bpe,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
 }
 
