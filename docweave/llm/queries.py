@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, context_tree, mixing, ngram_join, quality, substring_dedup, toxicity
+from . import bpe, context_tree, fingerprints, mixing, ngram_join, quality, substring_dedup, toxicity
 
 QUERIES = {
     "op10_ngram_join": ngram_join.op10_ngram_join,
@@ -11,6 +11,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_mixing": mixing.op9_mixing,
     "op1_bpe": bpe.op1_bpe,
+    "op6_fingerprints": fingerprints.op6_fingerprints,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
 }
 
