@@ -246,9 +246,9 @@ class _Asked:
                 found.append(ordered[head])
                 self.places.append((i, j, order.astype(np.uint32), np.diff(np.r_[head, len(keys)]), found[-1]))
             else:
-                found.append(np.unique(keys))
-        words = np.unique(self.word)
-        self.keys = {WORDS: np.union1d(words, [END_WORD]) if len(self.ids) else words, STRINGS: np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)}
+                found.append(kit.distinct(keys))
+        words = kit.distinct(np.r_[self.word, np.full(min(1, len(self.ids)), END_WORD)])
+        self.keys = {WORDS: words, STRINGS: kit.distinct(np.concatenate(found)) if found else np.zeros(0, np.uint64)}
         self.dealt = {k: _blobs(v, k, depth, buckets) for k, v in self.keys.items()}
 
 
@@ -274,7 +274,7 @@ def _answer(depth: int, stop: np.ndarray, one: np.ndarray):
             if totals.num_rows:
                 known, counts = kit.unpack_sorted(totals["keys"][0].as_py()), kit.widen(totals["counts"][0].as_py()).astype(np.int64)
             asked = [kit.unpack_sorted(x) for x in asks["keys"].to_pylist()]
-            keys = np.unique(np.concatenate(asked))
+            keys = kit.distinct(np.concatenate(asked))
             if kind == WORDS:
                 where = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
                 values = np.where(known[where] == keys, counts[where], 0) if len(known) else np.zeros(len(keys), np.int64)

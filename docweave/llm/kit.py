@@ -177,6 +177,12 @@ def id_column(ids: np.ndarray) -> pa.Array:
     return pa.array(ids, pa.int64(), mask=ids == NO_ID)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Ascending distinct numbers, by a sort (np.unique without further results takes a slower hash table)."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
 def narrow(x: np.ndarray) -> bytes:
     """Unsigned numbers in as few bytes as the largest needs: first how many, then all lowest bytes, all next ones, ..."""
     most = int(x.max()) if len(x) else 0
