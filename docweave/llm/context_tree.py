@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import kit
 
-CHUNK_BYTES, BUCKET_BYTES = 6 << 20, 16 << 20
+CHUNK_BYTES, BUCKET_BYTES, FLUSH_BYTES = 6 << 20, 16 << 20, 32 << 20
 END = 0xFF
 END_WORD = np.uint64(0x656E64206F662074)
 WORDS, STRINGS = 0, 1
@@ -74,25 +74,35 @@ def _blobs(keys: np.ndarray, kind: int, depth: int, buckets: int):
 
 
 def _count(depth: int, buckets: int, by: int, rest: int):
+    """Counts of words and strings of training texts, a row for each bucket and FLUSH_BYTES of text."""
+
+    def dealt(found: dict):
+        for kind, (keys, counts) in found.items():
+            order, cuts = _blobs(keys, kind, depth, buckets)
+            rows = [(kind, b, kit.pack_sorted(keys[o]), kit.narrow(counts[o].astype(np.uint64))) for b in np.flatnonzero(np.diff(cuts)).tolist() for o in [order[cuts[b] : cuts[b + 1]]]]
+            if rows:
+                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["kind", "bucket", "keys", "counts"])
+
     def run(batches):
+        found, seen = {}, 0
         for batch in batches:
             ids = kit.long_ids(batch["doc_id"])
             raw, offs = kit.flat(batch["text"])
             train = ~held_out(ids, by, rest)
-            found = {WORDS: [], STRINGS: []}
             for i, j in kit.slices(offs):
                 part, at = raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
                 w = kit.Words(part, at)
                 own = np.repeat(train[i:j], np.diff(w.at))
-                found[WORDS].append(np.unique(np.r_[w.hashes(fold=True)[own], np.full(train[i:j].sum(), END_WORD)], return_counts=True))
+                words = np.unique(np.r_[w.hashes(fold=True)[own], np.full(train[i:j].sum(), END_WORD)], return_counts=True)
                 keys, ends = strings(part, at, depth)
-                found[STRINGS].append(np.unique(np.r_[keys[np.repeat(train[i:j], np.diff(at))], ends[train[i:j]]], return_counts=True))
-            for kind, parts in found.items():
-                keys, counts = _summed(parts)
-                order, cuts = _blobs(keys, kind, depth, buckets)
-                rows = [(kind, b, kit.pack_sorted(keys[o]), kit.narrow(counts[o].astype(np.uint64))) for b in np.flatnonzero(np.diff(cuts)).tolist() for o in [order[cuts[b] : cuts[b + 1]]]]
-                if rows:
-                    yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["kind", "bucket", "keys", "counts"])
+                keys = np.unique(np.r_[keys[np.repeat(train[i:j], np.diff(at))], ends[train[i:j]]], return_counts=True)
+                for kind, new in ((WORDS, words), (STRINGS, keys)):
+                    found[kind] = _summed([found[kind], new]) if kind in found else new
+                seen += len(part)
+                if seen >= FLUSH_BYTES:
+                    yield from dealt(found)
+                    found, seen = {}, 0
+        yield from dealt(found)
 
     return run
 

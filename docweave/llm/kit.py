@@ -206,10 +206,20 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(widen(blob), dtype=np.uint64)
 
 
+#: Bytes of an Arrow batch between the JVM and Python: long texts make small batches.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark) -> None:
+    """Long texts must not make large batches; every operator of this subpackage asks for it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def volume(docs, text: str = "text") -> tuple[int, int]:
     """Rows and bytes of text of a table."""
     from pyspark.sql import functions as F
 
+    bounded_batches(docs.sparkSession)
     row = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.col(text))).alias("b")).first()
     return row["n"], row["b"] or 0
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, context_tree, fingerprints, mixing, ngram_join, quality, substring_dedup, toxicity
+from . import bpe, context_tree, fingerprints, mixing, ngram_join, quality, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op10_ngram_join": ngram_join.op10_ngram_join,
@@ -12,7 +12,8 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op1_bpe": bpe.op1_bpe,
     "op6_fingerprints": fingerprints.op6_fingerprints,
+    "op5_warc": warc.op5_warc,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_warc": warc.OP5_SQL}

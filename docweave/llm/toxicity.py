@@ -197,6 +197,7 @@ def _sample(docs: DataFrame, labels: DataFrame, rests: tuple[int, ...], per_clas
 def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """doc_id, held_out, score, predicted and the difference of log-likelihoods per word, for each row of docs."""
     spark = docs.sparkSession
+    kit.bounded_batches(spark)
     rows = kit.check_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     train = _sample(rows, labels, (1, 2, 3), per_class, max_bytes)
     pairs = train.select("toxic", "text").mapInArrow(_pairs, "toxic int, pair long, word binary").distinct()
