@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, context_tree, fingerprints, mixing, ngram_join, quality, substring_dedup, toxicity, warc
+from . import bpe, context_tree, fingerprints, media, mixing, ngram_join, quality, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op10_ngram_join": ngram_join.op10_ngram_join,
@@ -13,6 +13,7 @@ QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op6_fingerprints": fingerprints.op6_fingerprints,
     "op5_warc": warc.op5_warc,
+    "op7_media": media.op7_media,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
 }
 
