@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding through a global shuffle of distinct words.
 
-A scan cuts each text into pre-tokens and numbers them: a block of documents keeps, for each position, the number of
-its word among the block's distinct ones.  The distinct words of all blocks are dealt by value, each is encoded once
+A scan cuts each text into pre-tokens and numbers them: a block of documents keeps, for each position, the rank of
+its word among the block's distinct ones by frequency.  The distinct words of all blocks are dealt by value, each is encoded once
 for the whole corpus, and its ids go back to the blocks that asked, where texts are reassembled by position.
 Decoding joins ids with the token-byte table; the vocabulary's size is fixed, so that table is broadcast.
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import kit
 
-BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
+BLOCK_BYTES, BUCKET_BYTES, TOKENIZE_BYTES = 8 << 20, 16 << 20, 1 << 20
 POSITIONS = -1
 
 _ROW = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
@@ -78,20 +78,26 @@ def _tokenize(pattern: str, buckets: int, block_bytes: int):
             ids = kit.long_ids(batch["doc_id"])
             raw, offs = kit.flat(batch["text"])
             for i, j in kit.slices(offs, block_bytes):
-                texts = batch["text"].slice(i, j - i).to_pylist()
-                tokens, count = [], np.zeros(j - i, np.int64)
-                for k, text in enumerate(texts):
-                    if text:
-                        found = find(text)
-                        count[k] = len(found)
-                        tokens += found
-                coded = pa.array(tokens, pa.string()).dictionary_encode()
-                del tokens
-                numbers = np.asarray(coded.indices).astype(np.uint64)
-                chars, at = kit.flat(coded.dictionary)
+                found, count = [pa.array([], pa.string())], np.zeros(j - i, np.int64)
+                for a, b in kit.slices(offs[i : j + 1], TOKENIZE_BYTES):  # few tokens at a time are Python strings
+                    tokens = []
+                    for k, text in enumerate(batch["text"].slice(i + a, b - a).to_pylist(), a):
+                        if text:
+                            own = find(text)
+                            count[k] = len(own)
+                            tokens += own
+                    found.append(pa.array(tokens, pa.string()))
+                    del tokens
+                coded = pa.concat_arrays(found).dictionary_encode()
+                del found
+                numbers = np.asarray(coded.indices)
+                frequent = np.argsort(-np.bincount(numbers, minlength=len(coded.dictionary)), kind="stable")
+                rank = np.empty(len(frequent), np.int64)
+                rank[frequent] = np.arange(len(frequent))
                 block = (partition << 32) | serial
                 serial += 1
-                yield pa.record_batch([[POSITIONS - block], [block], [kit.narrow(numbers)], [ids[i:j].tobytes()], [kit.narrow(count.astype(np.uint64))]], schema=_ROW)
+                yield pa.record_batch([[POSITIONS - block], [block], [kit.pack_ranks(rank[numbers])], [ids[i:j].tobytes()], [kit.narrow(count.astype(np.uint64))]], schema=_ROW)
+                chars, at = kit.flat(coded.dictionary.take(pa.array(frequent)))
                 bucket = kit.bucket_of(_word_hashes(chars, at), buckets)
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -99,7 +105,7 @@ def _tokenize(pattern: str, buckets: int, block_bytes: int):
                 for b in np.flatnonzero(np.diff(cuts)).tolist():
                     own = order[cuts[b] : cuts[b + 1]]
                     text, size = _gather(chars, at, own)
-                    rows.append((b, block, kit.narrow(np.diff(own, prepend=0).astype(np.uint64)), text.tobytes(), kit.narrow(size.astype(np.uint64))))
+                    rows.append((b, block, kit.squeeze(kit.narrow(np.diff(own, prepend=0).astype(np.uint64))), kit.squeeze(text.tobytes()), kit.squeeze(kit.narrow(size.astype(np.uint64)))))
                 if rows:
                     yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _ROW, strict=True)], schema=_ROW)
 
@@ -125,7 +131,7 @@ def _encode(vocabulary):
     def run(table: pa.Table) -> pa.Table:
         if table["bucket"][0].as_py() < 0:
             return table
-        blobs, sizes = table["b"].to_pylist(), [kit.widen(x).astype(np.int64) for x in table["c"].to_pylist()]
+        blobs, sizes = [kit.unsqueeze(x)[0] for x in table["b"].to_pylist()], [kit.widen(kit.unsqueeze(x)[0]).astype(np.int64) for x in table["c"].to_pylist()]
         words = pa.concat_arrays([kit.text_column(np.frombuffer(x, np.uint8), np.r_[0, np.cumsum(n)], pa.binary()) for x, n in zip(blobs, sizes, strict=True)]).dictionary_encode()
         encode = vocabulary.value.encode_word
         ids = [encode(w) for w in words.dictionary.to_pylist()]
@@ -136,8 +142,8 @@ def _encode(vocabulary):
         for n in map(len, sizes):
             own, size = _gather(flat, at, which[begin : begin + n])
             begin += n
-            b.append(kit.narrow(own.astype(np.uint64)))
-            c.append(kit.narrow(size.astype(np.uint64)))
+            b.append(kit.squeeze(kit.narrow(own.astype(np.uint64))))
+            c.append(kit.squeeze(kit.narrow(size.astype(np.uint64))))
         return pa.Table.from_arrays([table["bucket"], table["block"], table["a"], pa.array(b, pa.binary()), pa.array(c, pa.binary())], schema=_ROW)
 
     return run
@@ -149,14 +155,15 @@ _IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.field("element", p
 def _reassemble(table: pa.Table) -> pa.Table:
     bucket = np.asarray(table["bucket"])
     place = int(np.flatnonzero(bucket < 0)[0])
-    numbers = kit.widen(table["a"][place].as_py()).astype(np.int64)
+    numbers = kit.unpack_ranks(table["a"][place].as_py())
     docs = np.frombuffer(table["b"][place].as_py(), np.int64)
     count = kit.widen(table["c"][place].as_py()).astype(np.int64)
     which, flat, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for k in np.flatnonzero(bucket >= 0).tolist():
-        which.append(np.cumsum(kit.widen(table["a"][k].as_py()).astype(np.int64)))
-        flat.append(kit.widen(table["b"][k].as_py()))
-        sizes.append(kit.widen(table["c"][k].as_py()).astype(np.int64))
+        a, b, c = (kit.widen(kit.unsqueeze(table[x][k].as_py())[0]) for x in "abc")
+        which.append(np.cumsum(a.astype(np.int64)))
+        flat.append(b)
+        sizes.append(c.astype(np.int64))
     which, flat, sizes = np.concatenate(which), np.concatenate(flat).astype(np.int32), np.concatenate(sizes)
     begin = np.empty(len(which), np.int64)
     length = np.empty(len(which), np.int64)

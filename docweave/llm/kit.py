@@ -197,6 +197,49 @@ def widen(blob: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def squeeze(*parts: bytes) -> bytes:
+    """Parts in one value, each entropy-coded by itself."""
+    import struct
+
+    import zstandard
+
+    coder = zstandard.ZstdCompressor(level=3)
+    coded = [coder.compress(p) for p in parts]
+    return struct.pack(f"<{len(parts) + 1}Q", len(parts), *map(len, coded)) + b"".join(coded)
+
+
+def unsqueeze(blob: bytes) -> list[bytes]:
+    import struct
+
+    import zstandard
+
+    coder = zstandard.ZstdDecompressor()
+    n = struct.unpack_from("<Q", blob)[0]
+    sizes, at, out = struct.unpack_from(f"<{n}Q", blob, 8), 8 * (n + 1), []
+    for size in sizes:
+        out.append(coder.decompress(blob[at : at + size]))
+        at += size
+    return out
+
+
+def pack_ranks(x: np.ndarray) -> bytes:
+    """Numbers of which small ones are the most frequent: a byte for each below 255, the others apart."""
+    large = x >= 255
+    head = np.where(large, 255, x).astype(np.uint8)
+    rest = narrow(x[large].astype(np.uint64) - np.uint64(255))
+    each = len(rest) // rest[0] if large.any() else 0
+    return squeeze(head.tobytes(), rest[:1], *(rest[1 + k * each : 1 + (k + 1) * each] for k in range(rest[0] if each else 0)))
+
+
+def unpack_ranks(blob: bytes) -> np.ndarray:
+    head, *rest = unsqueeze(blob)
+    out = np.frombuffer(head, np.uint8).astype(np.int64)
+    large = out == 255
+    if large.any():
+        out[large] += widen(b"".join(rest)).astype(np.int64)
+    return out
+
+
 def pack_sorted(keys: np.ndarray) -> bytes:
     """Ascending keys as differences."""
     return narrow(np.diff(keys, prepend=np.uint64(0)))
