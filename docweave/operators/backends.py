@@ -94,7 +94,7 @@ def extra_trees(train: DataFrame, test: DataFrame, features: list[str], label: s
     data = spark.sparkContext.broadcast((rows[features].to_numpy(float), rows[label].to_numpy(int)))
     tries = max(1, int(np.sqrt(len(features))))
 
-    def grow(key, _: pd.DataFrame) -> pd.DataFrame:
+    def grow(key: tuple, _: pd.DataFrame) -> pd.DataFrame:
         import json
 
         x, y = data.value

@@ -1,4 +1,766 @@
-"""The engine's own queries by name, and their SQL."""
+"""The engine's own queries by name, each over whole tables, and the SQL that gives the same rows.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+A query is a function of (spark, folder of tables).  The SQL is for DuckDB with the tables as views; sums of floats
+are rounded to six digits on both sides, ratios of counts are not rounded.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docweave.functions import text as X
+from docweave.functions import vectors as V
+from docweave.operators import chunks as C
+from docweave.operators import graph as G
+from docweave.operators import index as I
+from docweave.operators import metrics as M
+from docweave.operators import pairs as P
+from docweave.operators import replay as R
+from docweave.operators import taxonomy as T
+from docweave.operators import texts
+from docweave.operators import tfidf as W
+from docweave.sources.papers import PAPERS_SQL, papers
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---------------------------------------------------------------- pieces of SQL
+
+STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
+
+
+def tokens_sql(x: str) -> str:
+    return f"list_filter(regexp_extract_all(lower({x}), '[a-z0-9]+'), lambda t: len(t) > 1 AND t NOT IN ({STOP}))"
+
+
+def unique_sql(x: str) -> str:
+    return f"list_distinct({tokens_sql(x)})"
+
+
+REFS_SQL = "array_to_string(reference_titles[:80], ' ')"
+META_SQL = f"concat_ws(' ', title, abstract, venue, {REFS_SQL})"
+CLEAN = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
+WITH = f"WITH {PAPERS_SQL}"
+PAIRS_SQL = """pairs AS (SELECT a.paper_id AS paper_a_id, b.paper_id AS paper_b_id FROM papers a JOIN papers b ON a.lang = b.lang AND a.venue = b.venue AND a.paper_id > b.paper_id)"""
+SETS_SQL = f"""sets AS MATERIALIZED (SELECT paper_id, {unique_sql('title')} AS t, {unique_sql('abstract')} AS ab, {unique_sql(REFS_SQL)} AS r, publication_year AS y,
+  reference_count::DOUBLE AS c, lower(trim(venue)) AS v FROM papers)"""
+RELATION_SQL = """CASE WHEN starts_with(b.node_path, a.node_path || ' > ') THEN 'A_TO_B' WHEN starts_with(a.node_path, b.node_path || ' > ') THEN 'B_TO_A'
+  WHEN a.node_path = b.node_path THEN 'PEER' ELSE 'NONE' END"""
+TF_SQL = f"""tok AS MATERIALIZED (SELECT paper_id, split, {tokens_sql(META_SQL)} AS ts FROM papers),
+tf AS MATERIALIZED (SELECT paper_id, token, count(*) AS tf FROM (SELECT paper_id, unnest(ts) AS token FROM tok) GROUP BY ALL),
+n AS (SELECT count(*) AS n FROM tok WHERE split = 'train'),
+idf AS MATERIALIZED (SELECT token, count(*) AS df, ln((1.0::DOUBLE + (SELECT n FROM n)) / (1.0::DOUBLE + count(*))) + 1.0::DOUBLE AS idf
+  FROM (SELECT DISTINCT paper_id, token FROM (SELECT paper_id, unnest(ts) AS token FROM tok WHERE split = 'train')) GROUP BY token),
+w AS MATERIALIZED (SELECT paper_id, token, tf, tf * coalesce(idf, ln(1.0::DOUBLE + (SELECT n FROM n)) + 1.0::DOUBLE) AS weight FROM tf LEFT JOIN idf USING (token))"""
+
+
+def ratio_sql(part: str, whole: str) -> str:
+    return f"CASE WHEN {whole} > 0 THEN ({part})::DOUBLE / ({whole}) ELSE 0.0::DOUBLE END"
+
+
+def jaccard_sql(c: str) -> str:
+    both = f"len(list_intersect(a.{c}, b.{c}))"
+    return ratio_sql(both, f"len(a.{c}) + len(b.{c}) - {both}")
+
+
+SIDES_SQL = "FROM pairs p JOIN sets a ON a.paper_id = p.paper_a_id JOIN sets b ON b.paper_id = p.paper_b_id"
+RAW_SQL = f"""raw AS MATERIALIZED (SELECT paper_a_id, paper_b_id, {jaccard_sql('t')} AS title_jaccard, {jaccard_sql('ab')} AS abstract_jaccard, {jaccard_sql('r')} AS reference_jaccard,
+  len(list_intersect(a.r, b.r))::BIGINT AS reference_overlap, {ratio_sql('len(list_intersect(a.t, b.t))', 'len(a.t)')} AS title_a_in_b, {ratio_sql('len(list_intersect(a.t, b.t))', 'len(b.t)')} AS title_b_in_a,
+  (a.y - b.y)::INTEGER AS year_diff_a_minus_b, a.c - b.c AS reference_count_diff_a_minus_b, (len(a.t) - len(b.t))::INTEGER AS title_len_diff_a_minus_b, a.v <> '' AND a.v = b.v AS venue_match {SIDES_SQL})"""
+
+
+def clamp_sql(x: str, most: int) -> str:
+    return f"greatest(least(coalesce({x}, 0)::DOUBLE, {most}.0::DOUBLE), -{most}.0::DOUBLE) / {most}.0::DOUBLE"
+
+
+SCALED_SQL = f"""scaled AS MATERIALIZED (SELECT paper_a_id, paper_b_id, title_jaccard, abstract_jaccard, reference_jaccard, least(reference_overlap::DOUBLE, 30.0::DOUBLE) / 30.0::DOUBLE AS reference_overlap,
+  title_a_in_b, title_b_in_a, {clamp_sql('year_diff_a_minus_b', 20)} AS year_diff_a_minus_b, {clamp_sql('reference_count_diff_a_minus_b', 100)} AS reference_count_diff_a_minus_b,
+  {clamp_sql('title_len_diff_a_minus_b', 20)} AS title_len_diff_a_minus_b, venue_match::INTEGER::DOUBLE AS venue_match FROM raw)"""
+FEATURES_SQL = f"{WITH}, {PAIRS_SQL}, {SETS_SQL}, {RAW_SQL}, {SCALED_SQL}"
+#: All features but the cosine, which comes from the token tables.
+PLAIN = tuple(c for c in P.FEATURES if c != "content_cosine")
+
+# ---------------------------------------------------------------- tokens, texts, numbers
+
+
+@query(f"{WITH} SELECT paper_id, len({tokens_sql(META_SQL)})::BIGINT AS n_tokens FROM papers")
+def tokenize_counts(spark, sf_dir):
+    return W.with_tokens(papers(spark, sf_dir)).select("paper_id", F.size("tokens").cast("long").alias("n_tokens"))
+
+
+@query(f"{WITH} SELECT paper_id, len({unique_sql('title')})::BIGINT AS n_title_tokens, array_to_string(list_sort({unique_sql('title')}), ' ') AS title_tokens FROM papers")
+def unique_title_tokens(spark, sf_dir):
+    t = X.unique_tokens(F.col("title"))
+    return papers(spark, sf_dir).select("paper_id", F.size(t).cast("long").alias("n_title_tokens"), F.array_join(F.sort_array(t), " ").alias("title_tokens"))
+
+
+@query(f"{WITH} SELECT paper_id, {REFS_SQL} AS reference_text FROM papers")
+def reference_text(spark, sf_dir):
+    return papers(spark, sf_dir).select("paper_id", texts.reference_text(F.col("reference_titles")).alias("reference_text"))
+
+
+@query(f"{WITH} SELECT paper_id, {META_SQL} AS metadata_text, concat_ws(' ', title, abstract, venue, array_to_string(reference_titles, ' ')) AS index_text FROM papers")
+def metadata_text(spark, sf_dir):
+    return papers(spark, sf_dir).select("paper_id", texts.metadata_text().alias("metadata_text"), texts.metadata_text(0).alias("index_text"))
+
+
+def _named(name: str, x: str) -> str:
+    return f"CASE WHEN {CLEAN.format(x)} <> '' THEN '{name}: ' || {CLEAN.format(x)} END"
+
+
+@query(
+    f"""{WITH} SELECT paper_id, concat_ws(' ', {_named('Title', 'title')}, {_named('Abstract', 'abstract')}, 'Year: ' || publication_year::VARCHAR, {_named('Venue', 'venue')}, 'Reference count: ' || reference_count::VARCHAR,
+  CASE WHEN len(list_filter(reference_titles, lambda x: {CLEAN.format('x')} <> '')) > 0 THEN 'Reference titles: ' || array_to_string(list_filter(list_transform(reference_titles, lambda x: {CLEAN.format('x')}), lambda x: x <> ''), ' | ') END) AS labelled_text FROM papers"""
+)
+def labelled_text(spark, sf_dir):
+    return papers(spark, sf_dir).select("paper_id", texts.labelled_text().alias("labelled_text"))
+
+
+@query(f"SELECT doc_id, {CLEAN.format('text')} AS clean FROM documents")
+def clean_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.clean_text(F.col("text")).alias("clean"))
+
+
+@query(
+    """SELECT event_id, coalesce(try_cast(v AS DOUBLE), 0.0::DOUBLE) AS number, try_cast(y AS INTEGER) AS year
+FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type ELSE value::INTEGER::VARCHAR END AS v, CASE WHEN event_id % 4 = 0 THEN event_type WHEN event_id % 4 = 1 THEN NULL ELSE user_id::VARCHAR END AS y FROM events)"""
+)
+def coerce_numbers(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    v = F.when(F.col("event_id") % 3 == 0, F.col("event_type")).otherwise(F.rint("value").cast("int").cast("string"))
+    y = F.when(F.col("event_id") % 4 == 0, F.col("event_type")).when(F.col("event_id") % 4 == 1, F.lit(None)).otherwise(F.col("user_id").cast("string"))
+    return e.select("event_id", X.clean_number(v).alias("number"), X.safe_year(y).alias("year"))
+
+
+@query("SELECT doc_id, lower(trim(source)) AS venue FROM documents")
+def venue_normalised(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.normal_venue(F.col("source")).alias("venue"))
+
+
+# ---------------------------------------------------------------- TF-IDF
+
+
+def _tokens(spark, sf_dir) -> DataFrame:
+    return W.with_tokens(papers(spark, sf_dir))
+
+
+def _train(tokens: DataFrame) -> DataFrame:
+    return tokens.where(F.col("split") == "train")
+
+
+def _weights(spark, sf_dir) -> DataFrame:
+    tokens = _tokens(spark, sf_dir)
+    return W.weights(W.term_frequency(tokens), W.idf_table(_train(tokens)), W.default_idf(_train(tokens)))
+
+
+@query(f"{WITH}, {TF_SQL} SELECT token, count(DISTINCT paper_id) AS df FROM tf GROUP BY token")
+def document_frequency(spark, sf_dir):
+    return W.document_frequency(_tokens(spark, sf_dir))
+
+
+@query(f"{WITH}, {TF_SQL} SELECT token, df, round(idf, 6) AS idf FROM idf")
+def idf_train(spark, sf_dir):
+    return W.idf_table(_train(_tokens(spark, sf_dir))).select("token", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(f"{WITH}, {TF_SQL} SELECT n, round(ln(1.0::DOUBLE + n) + 1.0::DOUBLE, 6) AS default_idf FROM n")
+def default_idf_valid(spark, sf_dir):
+    return W.default_idf(_train(_tokens(spark, sf_dir))).select("n", F.round("default_idf", 6).alias("default_idf"))
+
+
+@query(f"{WITH}, {TF_SQL} SELECT paper_id, token, tf FROM tf")
+def term_frequency(spark, sf_dir):
+    return W.term_frequency(_tokens(spark, sf_dir))
+
+
+@query(f"{WITH}, {TF_SQL} SELECT paper_id, round(sqrt(sum(weight * weight)), 6) AS norm FROM w GROUP BY paper_id")
+def tfidf_norm(spark, sf_dir):
+    return W.norms(_weights(spark, sf_dir)).select("paper_id", F.round("norm", 6).alias("norm"))
+
+
+@query(
+    f"""{WITH}, {PAIRS_SQL}, {TF_SQL}, norms AS (SELECT paper_id, sqrt(sum(weight * weight)) AS norm FROM w GROUP BY paper_id),
+d AS (SELECT paper_a_id, paper_b_id, sum(a.weight * b.weight) AS d FROM pairs JOIN w a ON a.paper_id = paper_a_id JOIN w b ON b.paper_id = paper_b_id AND a.token = b.token GROUP BY ALL)
+SELECT paper_a_id, paper_b_id, round(CASE WHEN coalesce(a.norm * b.norm, 0) = 0 THEN 0.0::DOUBLE ELSE coalesce(d, 0) / (a.norm * b.norm) END, 6) AS content_cosine
+FROM pairs LEFT JOIN d USING (paper_a_id, paper_b_id) LEFT JOIN norms a ON a.paper_id = paper_a_id LEFT JOIN norms b ON b.paper_id = paper_b_id"""
+)
+def content_cosine_pairs(spark, sf_dir):
+    out = W.cosines(P.block_pairs(papers(spark, sf_dir)), _weights(spark, sf_dir))
+    return out.select("paper_a_id", "paper_b_id", F.round("content_cosine", 6).alias("content_cosine"))
+
+
+# ---------------------------------------------------------------- pair features
+
+
+def _raw(spark, sf_dir) -> DataFrame:
+    p = papers(spark, sf_dir)
+    return P.raw_features(P.with_both(P.block_pairs(p), P.paper_features(p)))
+
+
+def _scaled(spark, sf_dir) -> DataFrame:
+    return P.scaled_features(_raw(spark, sf_dir))
+
+
+def _columns(*names: str) -> str:
+    return ", ".join(("paper_a_id", "paper_b_id", *names))
+
+
+@query(f"{WITH}, {PAIRS_SQL} SELECT paper_a_id, paper_b_id FROM pairs")
+def arrival_pairs(spark, sf_dir):
+    return P.block_pairs(papers(spark, sf_dir))
+
+
+@query(f"{FEATURES_SQL} SELECT {_columns('title_jaccard', 'abstract_jaccard', 'reference_jaccard')} FROM raw")
+def jaccard_pairs(spark, sf_dir):
+    return _raw(spark, sf_dir).select("paper_a_id", "paper_b_id", "title_jaccard", "abstract_jaccard", "reference_jaccard")
+
+
+@query(f"{FEATURES_SQL} SELECT {_columns('title_a_in_b', 'title_b_in_a')} FROM raw")
+def containment_pairs(spark, sf_dir):
+    return _raw(spark, sf_dir).select("paper_a_id", "paper_b_id", "title_a_in_b", "title_b_in_a")
+
+
+@query(f"{FEATURES_SQL} SELECT {_columns('reference_overlap')} FROM raw")
+def reference_overlap(spark, sf_dir):
+    return _raw(spark, sf_dir).select("paper_a_id", "paper_b_id", "reference_overlap")
+
+
+@query(f"{FEATURES_SQL} SELECT {_columns(*PLAIN)} FROM raw")
+def pair_features_raw(spark, sf_dir):
+    return _raw(spark, sf_dir)
+
+
+@query(f"{FEATURES_SQL} SELECT {_columns(*PLAIN)} FROM scaled")
+def pair_features_scaled(spark, sf_dir):
+    return _scaled(spark, sf_dir)
+
+
+MEAN_STD = ", ".join(f"('{c}', (SELECT round(avg({c}), 6) FROM scaled), (SELECT round(greatest(coalesce(stddev_samp({c}), 0), 1e-6), 6) FROM scaled))" for c in PLAIN)
+
+
+@query(f"{FEATURES_SQL} SELECT * FROM (VALUES {MEAN_STD}) AS s(feature, mean, std)")
+def feature_mean_std(spark, sf_dir):
+    return P.feature_stats(_scaled(spark, sf_dir), PLAIN).select("feature", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+STANDARD = ", ".join(f"round(({c} - avg({c}) OVER ()) / greatest(coalesce(stddev_samp({c}) OVER (), 0), 1e-6), 5) + 0.0::DOUBLE AS {c}" for c in ("title_jaccard", "reference_overlap", "year_diff_a_minus_b"))
+
+
+@query(f"{FEATURES_SQL} SELECT paper_a_id, paper_b_id, {STANDARD} FROM scaled")
+def pair_features_standardized(spark, sf_dir):
+    s = _scaled(spark, sf_dir)
+    columns = ("title_jaccard", "reference_overlap", "year_diff_a_minus_b")
+    return P.standardized(s, s, columns).select("paper_a_id", "paper_b_id", *[(F.round(c, 5) + 0.0).alias(c) for c in columns])
+
+
+# ---------------------------------------------------------------- taxonomy and dataset
+
+
+@query(f"{WITH} SELECT a.split, {RELATION_SQL} AS label, count(*) AS n FROM papers a JOIN papers b ON a.split = b.split AND a.paper_id <> b.paper_id GROUP BY ALL")
+def taxonomy_labels(spark, sf_dir):
+    return T.pair_labels(papers(spark, sf_dir)).where("n > 0")
+
+
+LABELLED_SQL = f"""labelled AS MATERIALIZED (SELECT paper_a_id, paper_b_id, {RELATION_SQL} AS true_label FROM pairs JOIN papers a ON a.paper_id = paper_a_id JOIN papers b ON b.paper_id = paper_b_id)"""
+LABEL_GRID = "labels4(label) AS (VALUES ('A_TO_B'), ('B_TO_A'), ('PEER'), ('NONE'))"
+
+
+def _labelled(spark, sf_dir) -> DataFrame:
+    p = papers(spark, sf_dir)
+    both = P.with_both(P.block_pairs(p), p.select("paper_id", "node_path"))
+    return both.select("paper_a_id", "paper_b_id", T.relation(F.col("a.node_path"), F.col("b.node_path")).alias("true_label"))
+
+
+@query(f"{WITH}, {PAIRS_SQL}, {LABELLED_SQL}, {LABEL_GRID} SELECT label, count(true_label) AS n FROM labels4 LEFT JOIN labelled ON true_label = label GROUP BY label")
+def label_counts(spark, sf_dir):
+    return M.label_counts(_labelled(spark, sf_dir))
+
+
+@query(
+    f"""{WITH} SELECT node_path, string_split(node_path, ' > ')[-1] AS node_name, (len(string_split(node_path, ' > ')) - 1)::INTEGER AS node_level, count(*) AS papers,
+  count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'valid') AS valid FROM papers GROUP BY node_path"""
+)
+def node_level_counts(spark, sf_dir):
+    return T.node_statistics(papers(spark, sf_dir))
+
+
+@query(f"{WITH} SELECT split, count(*) AS n, sum(reference_count)::BIGINT AS references_total, avg(reference_count) AS references_mean FROM papers GROUP BY split")
+def split_counts(spark, sf_dir):
+    return papers(spark, sf_dir).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("reference_count").alias("references_total"), F.avg("reference_count").alias("references_mean"))
+
+
+@query(f"{WITH}, poor AS (SELECT node_path FROM papers GROUP BY node_path HAVING count(*) < 12) SELECT paper_id, node_path FROM papers WHERE node_path NOT IN (SELECT node_path FROM poor)")
+def poor_cluster_filter(spark, sf_dir):
+    p = papers(spark, sf_dir)
+    poor = p.groupBy("node_path").agg(F.count(F.lit(1)).alias("n")).where("n < 12")
+    return T.without_nodes(p, poor).select("paper_id", "node_path")
+
+
+@query(f"{WITH}, {PAIRS_SQL} SELECT paper_id FROM papers WHERE paper_id IN (SELECT paper_a_id FROM pairs UNION SELECT paper_b_id FROM pairs)")
+def needed_papers(spark, sf_dir):
+    p = papers(spark, sf_dir)
+    return T.needed_papers(p, P.block_pairs(p)).select("paper_id")
+
+
+@query("SELECT doc_id, (doc_id % 4)::INTEGER AS shard_id FROM documents")
+def shard_assignment(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.shard_of(F.col("doc_id"), 4).alias("shard_id"))
+
+
+@query("SELECT (doc_id % 4)::INTEGER AS shard_id, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY ALL")
+def shard_combine(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return T.combined([T.shard(d, "doc_id", k, 4) for k in range(4)]).groupBy("shard_id").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+
+
+# ---------------------------------------------------------------- predictions and metrics
+
+#: A fixed rule on features stands for a trained classifier, so that SQL can check what follows from predictions.
+RULE_SQL = """predicted AS MATERIALIZED (SELECT paper_a_id, paper_b_id, CASE WHEN abstract_jaccard >= 0.2 THEN 'PEER' WHEN reference_count_diff_a_minus_b > 10 THEN 'A_TO_B' WHEN reference_count_diff_a_minus_b < -10 THEN 'B_TO_A' ELSE 'NONE' END AS predicted_label
+  FROM raw WHERE (paper_a_id + paper_b_id) % 7 <> 0)"""
+ROWS_SQL = f"""{WITH}, {PAIRS_SQL}, {SETS_SQL}, {RAW_SQL}, {LABELLED_SQL}, {RULE_SQL},
+rows AS MATERIALIZED (SELECT paper_a_id, paper_b_id, true_label, coalesce(predicted_label, true_label) AS predicted_label FROM labelled LEFT JOIN predicted USING (paper_a_id, paper_b_id))"""
+
+
+def rule(raw: DataFrame) -> DataFrame:
+    """A prediction for most pairs; those without one are the missing predictions of the replay."""
+    d = F.col("reference_count_diff_a_minus_b")
+    label = F.when(F.col("abstract_jaccard") >= 0.2, "PEER").when(d > 10, "A_TO_B").when(d < -10, "B_TO_A").otherwise("NONE")
+    return raw.where((F.col("paper_a_id") + F.col("paper_b_id")) % 7 != 0).select("paper_a_id", "paper_b_id", label.alias("predicted_label"))
+
+
+def _rows(spark, sf_dir) -> DataFrame:
+    """true_label and predicted_label of all block pairs, each pair's features computed once."""
+    p = papers(spark, sf_dir)
+    features = P.paper_features(p).join(p.select("paper_id", "node_path"), "paper_id")
+    both = P.with_both(P.block_pairs(p), features)
+    raw = P.raw_features(both, ("paper_a_id", "paper_b_id", T.relation(F.col("a.node_path"), F.col("b.node_path")).alias("true_label")))
+    labelled = raw.select("paper_a_id", "paper_b_id", "true_label")
+    return R.with_predictions(labelled, rule(raw))
+
+
+MATRIX_SQL = f"""{ROWS_SQL}, {LABEL_GRID}, m AS MATERIALIZED (SELECT t.label AS true_label, p.label AS predicted_label, (SELECT count(*) FROM rows r WHERE r.true_label = t.label AND r.predicted_label = p.label) AS n FROM labels4 t, labels4 p)"""
+CLASS_SQL = f"""{MATRIX_SQL}, s AS (SELECT label, (SELECT sum(n) FROM m WHERE true_label = label AND predicted_label = label) AS tp, (SELECT sum(n) FROM m WHERE true_label = label)::BIGINT AS support, (SELECT sum(n) FROM m WHERE predicted_label = label) AS pred FROM labels4),
+pr AS (SELECT label, {ratio_sql('tp', 'pred')} AS precision, {ratio_sql('tp', 'support')} AS recall, support FROM s),
+c AS MATERIALIZED (SELECT label, precision, recall, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0::DOUBLE END AS f1, support FROM pr)"""
+
+
+@query(f"{MATRIX_SQL} SELECT * FROM m")
+def confusion_matrix(spark, sf_dir):
+    return M.confusion(_rows(spark, sf_dir))
+
+
+@query(f"{CLASS_SQL} SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM c")
+def classification_metrics(spark, sf_dir):
+    return M.per_class(M.confusion(_rows(spark, sf_dir))).select("label", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+@query(
+    f"""{CLASS_SQL} SELECT round((SELECT sum(n) FROM m WHERE true_label = predicted_label)::DOUBLE / (SELECT sum(n) FROM m), 6) AS accuracy,
+  round(avg(precision), 6) AS macro_precision, round(avg(recall), 6) AS macro_recall, round(avg(f1), 6) AS macro_f1 FROM c"""
+)
+def macro_metrics(spark, sf_dir):
+    return M.summary(M.confusion(_rows(spark, sf_dir))).select(*[F.round(c, 6).alias(c) for c in ("accuracy", "macro_precision", "macro_recall", "macro_f1")])
+
+
+@query(f"{ROWS_SQL}, {LABEL_GRID}, k AS (SELECT label, count(true_label) AS n FROM labels4 LEFT JOIN rows ON true_label = label GROUP BY label) SELECT label, round(CASE WHEN n > 0 THEN (SELECT sum(n) FROM k)::DOUBLE / (4 * n) ELSE 0 END, 6)::DOUBLE AS weight FROM k")
+def class_weights(spark, sf_dir):
+    return M.class_weights(_rows(spark, sf_dir)).select("label", F.round("weight", 6).alias("weight"))
+
+
+def _quality_scores(spark, sf_dir, base: str) -> DataFrame:
+    """Accuracy and macro F1 of simple two-class rules against the labels of documents."""
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    rules = {"length": F.col("n_chars") > 500, "lines": F.size(F.split("text", "\n")) > 2, "always": F.lit(True)}
+    names = {"static": ("length", "lines", "always"), "dense": ("length", "lines")}[base]
+    truth = (F.col("toxic") == 0) if base == "dense" else (F.col("quality") == 1)
+    rows = d.select(F.when(truth, "yes").otherwise("no").alias("true_label"), F.explode(F.array(*[F.struct(F.lit(n).alias("method"), F.when(rules[n], "yes").otherwise("no").alias("predicted_label")) for n in names])).alias("x")).select("true_label", "x.*")
+    n = rows.groupBy("method").agg(*[F.count_if((F.col("true_label") == t) & (F.col("predicted_label") == p)).alias(t[0] + p[0]) for t in ("yes", "no") for p in ("yes", "no")])
+    f1 = [F.when(2 * F.col(a) + F.col(b) + F.col(c) > 0, 2.0 * F.col(a) / (2 * F.col(a) + F.col(b) + F.col(c))).otherwise(0.0) for a, b, c in (("yy", "yn", "ny"), ("nn", "ny", "yn"))]
+    return n.select("method", ((F.col("yy") + F.col("nn")) / (F.col("yy") + F.col("yn") + F.col("ny") + F.col("nn"))).alias("accuracy"), ((f1[0] + f1[1]) / 2.0).alias("macro_f1"))
+
+
+def _scores_sql(truth: str, names: tuple[str, ...]) -> str:
+    rules = {"length": "n_chars > 500", "lines": "len(string_split(text, chr(10))) > 2", "always": "true"}
+    rows = " UNION ALL ".join(f"SELECT '{n}' AS method, {truth} AS t, {rules[n]} AS p FROM documents JOIN labels USING (doc_id)" for n in names)
+    return f"""(SELECT method, (count(*) FILTER (t = p))::DOUBLE / count(*) AS accuracy,
+  (CASE WHEN count(*) FILTER (t OR p) > 0 THEN 2.0::DOUBLE * count(*) FILTER (t AND p) / (count(*) FILTER (t) + count(*) FILTER (p)) ELSE 0 END
+  + CASE WHEN count(*) FILTER (NOT t OR NOT p) > 0 THEN 2.0::DOUBLE * count(*) FILTER (NOT t AND NOT p) / (count(*) FILTER (NOT t) + count(*) FILTER (NOT p)) ELSE 0 END) / 2.0::DOUBLE AS macro_f1
+  FROM ({rows}) GROUP BY method)"""
+
+
+STATIC_SQL, DENSE_SQL = _scores_sql("quality = 1", ("length", "lines", "always")), _scores_sql("toxic = 0", ("length", "lines"))
+
+
+@query(f"SELECT method, round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1, row_number() OVER (ORDER BY macro_f1 DESC, method)::INTEGER AS rank FROM {STATIC_SQL}")
+def leaderboard(spark, sf_dir):
+    return M.leaderboard(_quality_scores(spark, sf_dir, "static")).select("method", F.round("accuracy", 6).alias("accuracy"), F.round("macro_f1", 6).alias("macro_f1"), "rank")
+
+
+@query(f"""SELECT s.method, round(s.accuracy, 6) AS accuracy, round(s.macro_f1, 6) AS macro_f1, round(d.accuracy, 6) AS other_accuracy, round(d.macro_f1, 6) AS other_macro_f1,
+  round(s.accuracy - d.accuracy, 6) AS accuracy_delta, round(s.macro_f1 - d.macro_f1, 6) AS macro_f1_delta FROM {STATIC_SQL} s LEFT JOIN {DENSE_SQL} d USING (method)""")
+def backend_comparison(spark, sf_dir):
+    out = M.backend_comparison(_quality_scores(spark, sf_dir, "static"), _quality_scores(spark, sf_dir, "dense"))
+    return out.select("method", *[F.round(c, 6).alias(c) for c in out.columns if c != "method"])
+
+
+PROBABILITIES = "[round(abs(embedding[1]::DOUBLE), 4), round(abs(embedding[2]::DOUBLE), 4), round(abs(embedding[3]::DOUBLE), 4), round(abs(embedding[4]::DOUBLE), 4)]"
+
+
+@query(f"SELECT vec_id, ['A_TO_B', 'B_TO_A', 'PEER', 'NONE'][list_position(p, list_max(p))] AS label FROM (SELECT vec_id, {PROBABILITIES} AS p FROM embeddings)")
+def argmax_label(spark, sf_dir):
+    p = F.transform(F.slice(V.doubles(F.col("embedding")), 1, 4), lambda x: F.round(F.abs(x), 4))
+    return table(spark, sf_dir, "embeddings").select("vec_id", X.best_label(p).alias("label"))
+
+
+@query(
+    """SELECT vec_id, round(abs(embedding[1]::DOUBLE), 6) AS prob_a_to_b, 0.0::DOUBLE AS prob_b_to_a, CASE WHEN label % 2 = 0 THEN round(abs(embedding[2]::DOUBLE), 6) ELSE 0.0::DOUBLE END AS prob_peer,
+  CASE WHEN label % 2 = 1 THEN round(abs(embedding[2]::DOUBLE), 6) ELSE 0.0::DOUBLE END AS prob_none FROM embeddings"""
+)
+def probability_scatter(spark, sf_dir):
+    p = F.transform(F.slice(V.doubles(F.col("embedding")), 1, 2), lambda x: F.round(F.abs(x), 6))
+    classes = F.array(F.lit("A_TO_B"), F.when(F.col("label") % 2 == 0, "PEER").otherwise("NONE"))
+    s = X.scattered(classes, p)
+    return table(spark, sf_dir, "embeddings").select("vec_id", *[s[i].alias(f"prob_{n.lower()}") for i, n in enumerate(X.LABELS)])
+
+
+# ---------------------------------------------------------------- lookups and replay
+
+
+@query(f"{WITH}, {PAIRS_SQL}, {LABELLED_SQL} SELECT paper_a_id, paper_b_id, CASE WHEN paper_a_id % 3 = 0 THEN 'NONE' ELSE true_label END AS true_label FROM labelled")
+def label_lookup(spark, sf_dir):
+    labelled = _labelled(spark, sf_dir)
+    known = labelled.where("paper_a_id % 3 <> 0").withColumnRenamed("true_label", "label")
+    return R.with_labels(labelled.select("paper_a_id", "paper_b_id"), known)
+
+
+@query(f"{ROWS_SQL} SELECT * FROM rows")
+def prediction_lookup(spark, sf_dir):
+    return _rows(spark, sf_dir)
+
+
+@query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def last_wins_dedupe(spark, sf_dir):
+    return T.last_wins(table(spark, sf_dir, "events"), ["user_id", "event_type"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_type", "event_id", "value")
+
+
+#: Candidates of the replay: earlier papers of the same block whose shelf is that of the arriving one.
+CANDIDATES = "paper_a_id % 4 = paper_b_id % 4"
+REPLAY_SQL = f"""{ROWS_SQL}, r AS MATERIALIZED (SELECT *, {CANDIDATES} AS is_candidate, CASE WHEN {CANDIDATES} THEN predicted_label ELSE 'NONE' END AS system_label, true_label <> 'NONE' AS rel FROM rows)"""
+INSERTS_SQL = f"""{REPLAY_SQL}, ins AS MATERIALIZED (SELECT paper_a_id, count(*) AS existing, count(*) FILTER (is_candidate) AS candidates FROM r GROUP BY paper_a_id)"""
+
+
+def _replay(spark, sf_dir) -> DataFrame:
+    rows = _rows(spark, sf_dir)
+    return R.with_candidates(rows, P.block_pairs(papers(spark, sf_dir)).where(CANDIDATES))
+
+
+@query(
+    f"""{REPLAY_SQL} SELECT count(*) AS pairs, count(*) FILTER (is_candidate) AS candidate_pairs, round(avg((predicted_label = true_label)::INTEGER), 6) AS baseline_accuracy, round(avg((system_label = true_label)::INTEGER), 6) AS system_accuracy,
+  round((count(*) FILTER (rel AND is_candidate))::DOUBLE / count(*) FILTER (rel), 6) AS related_recall, round(1.0::DOUBLE - (count(*) FILTER (is_candidate))::DOUBLE / count(*), 6) AS reduction, round(count(*)::DOUBLE / count(*) FILTER (is_candidate), 6) AS speedup FROM r"""
+)
+def replay_metrics(spark, sf_dir):
+    out = R.totals(_replay(spark, sf_dir))
+    return out.select("pairs", "candidate_pairs", *[F.round(c, 6).alias(c) for c in out.columns[2:]])
+
+
+@query(f"{REPLAY_SQL}, q AS (SELECT paper_a_id, bool_or(is_candidate) AS hit FROM r WHERE rel GROUP BY paper_a_id) SELECT count(*) AS queries, count(*) FILTER (hit) AS hits, round((count(*) FILTER (hit))::DOUBLE / count(*), 6) AS hit_rate FROM q")
+def query_hit_rate(spark, sf_dir):
+    return R.query_hits(_replay(spark, sf_dir)).select("queries", "hits", F.round("hit_rate", 6).alias("hit_rate"))
+
+
+@query(f"{INSERTS_SQL} SELECT round(avg(candidates), 6) AS avg_candidates, median(candidates)::DOUBLE AS median_candidates, round(avg(1.0::DOUBLE - candidates / existing), 6) AS avg_reduction, round(median(1.0::DOUBLE - candidates / existing), 6) AS median_reduction FROM ins")
+def per_insert_stats(spark, sf_dir):
+    out = R.insert_stats(R.per_insert(_replay(spark, sf_dir)))
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
+
+
+@query(f"{INSERTS_SQL} SELECT candidates AS upper_median_candidates FROM (SELECT candidates, row_number() OVER (ORDER BY candidates) AS k, count(*) OVER () AS n FROM ins) WHERE k = n // 2 + 1")
+def upper_median_candidates(spark, sf_dir):
+    return R.upper_median(R.per_insert(_replay(spark, sf_dir)))
+
+
+@query(f"{INSERTS_SQL} SELECT paper_a_id, existing, candidates, (sum(existing) OVER w)::BIGINT AS pairs_so_far, (sum(candidates) OVER w)::BIGINT AS candidates_so_far FROM ins WINDOW w AS (ORDER BY paper_a_id)")
+def cumulative_pairs(spark, sf_dir):
+    return R.cumulative(R.per_insert(_replay(spark, sf_dir))).select("paper_a_id", "existing", "candidates", "pairs_so_far", "candidates_so_far")
+
+
+@query(f"{ROWS_SQL} SELECT CASE WHEN predicted_label = 'A_TO_B' THEN paper_a_id ELSE paper_b_id END AS source, CASE WHEN predicted_label = 'A_TO_B' THEN paper_b_id ELSE paper_a_id END AS target FROM rows WHERE predicted_label IN ('A_TO_B', 'B_TO_A')")
+def predicted_edges(spark, sf_dir):
+    return G.edges(_rows(spark, sf_dir))
+
+
+@query(f"{ROWS_SQL} SELECT least(paper_a_id, paper_b_id) AS left_id, greatest(paper_a_id, paper_b_id) AS right_id FROM rows WHERE predicted_label = 'PEER'")
+def predicted_peers(spark, sf_dir):
+    return G.peers(_rows(spark, sf_dir))
+
+
+@query(f"{ROWS_SQL} SELECT source, target FROM (SELECT CASE WHEN predicted_label = 'A_TO_B' THEN paper_a_id ELSE paper_b_id END AS source, CASE WHEN predicted_label = 'A_TO_B' THEN paper_b_id ELSE paper_a_id END AS target FROM rows WHERE predicted_label IN ('A_TO_B', 'B_TO_A')) ORDER BY ALL LIMIT 20")
+def edge_sample(spark, sf_dir):
+    return G.head(G.edges(_rows(spark, sf_dir)))
+
+
+@query(
+    f"""{REPLAY_SQL} SELECT count(*) AS linear_pairs, count(*) FILTER (is_candidate) AS indexed_pairs, count(*) FILTER (predicted_label IN ('A_TO_B', 'B_TO_A')) AS linear_edges, count(*) FILTER (system_label IN ('A_TO_B', 'B_TO_A')) AS indexed_edges,
+  count(*) FILTER (predicted_label = 'PEER') AS linear_peers, count(*) FILTER (system_label = 'PEER') AS indexed_peers, round(avg((predicted_label = true_label)::INTEGER), 6) AS linear_accuracy, round(avg((system_label = true_label)::INTEGER), 6) AS indexed_accuracy,
+  round(1.0::DOUBLE - (count(*) FILTER (is_candidate))::DOUBLE / count(*), 6) AS pair_reduction FROM r"""
+)
+def linear_vs_indexed(spark, sf_dir):
+    out = G.comparison(_replay(spark, sf_dir))
+    return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+
+
+# ---------------------------------------------------------------- schedule and vectors
+
+SCHEDULE_SQL = """RECURSIVE s(n, k, levels) AS (
+  SELECT n, CASE WHEN n <= 16 THEN 1 ELSE ceil(n / 16.0::DOUBLE)::BIGINT END AS k, CASE WHEN n <= 0 THEN '' WHEN n <= 16 THEN '1' ELSE ceil(n / 16.0::DOUBLE)::BIGINT::VARCHAR END AS levels FROM range(0, 301) t(n)
+  UNION ALL SELECT n, u, levels || ',' || u FROM (SELECT n, levels, greatest(1, CASE WHEN ceil(log2(k))::BIGINT < k THEN ceil(log2(k))::BIGINT ELSE k - 1 END) AS u FROM s WHERE k > 1)),
+t AS (SELECT n, levels AS schedule FROM s WHERE k = 1)"""
+
+
+@query(f"WITH {SCHEDULE_SQL} SELECT n, schedule FROM t")
+def level_schedule(spark, sf_dir):
+    return I.schedules(spark, 300)
+
+
+@query(f"WITH {SCHEDULE_SQL} SELECT n, before, schedule FROM (SELECT n, schedule, lag(schedule) OVER (ORDER BY n) AS before FROM t) WHERE n > 0 AND schedule <> before")
+def schedule_changes(spark, sf_dir):
+    return I.schedule_changes(I.schedules(spark, 300))
+
+
+VECTORS_SQL = """v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS vector FROM embeddings),
+m AS (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(vector) AS x, generate_subscripts(vector, 1) AS i FROM v) GROUP BY ALL),
+c AS MATERIALIZED (SELECT label, list(x ORDER BY i) AS raw FROM m GROUP BY label),
+leaf AS MATERIALIZED (SELECT label, list_transform(raw, lambda x: x / sqrt(list_dot_product(raw, raw))) AS centroid FROM c),
+scored AS (SELECT label, vec_id, round(list_dot_product(vector, centroid), 6) AS score FROM v JOIN leaf USING (label)),
+rep AS MATERIALIZED (SELECT label, vec_id AS rep_id, score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS r FROM scored) WHERE r = 1)"""
+
+
+def _leaves(spark, sf_dir) -> DataFrame:
+    """Unit vectors of the embeddings; a leaf for each label, three nodes above them, and a root."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"), F.col("label").alias("node_id"))
+    return I.normalized_vectors(e)
+
+
+@query(f"WITH {VECTORS_SQL} SELECT vec_id AS item_id, round(vector[1], 6) AS first, round(vector[-1], 6) AS last, round(list_sum(vector), 5) AS total FROM v")
+def normalized_vectors(spark, sf_dir):
+    return _leaves(spark, sf_dir).select("item_id", F.round(F.element_at("vector", 1), 6).alias("first"), F.round(F.element_at("vector", -1), 6).alias("last"), F.round(V.total(F.col("vector")), 5).alias("total"))
+
+
+@query(f"WITH {VECTORS_SQL} SELECT label AS node_id, generate_subscripts(centroid, 1)::INTEGER AS place, round(unnest(centroid), 6) AS value FROM leaf")
+def centroids(spark, sf_dir):
+    c = I.centroids(_leaves(spark, sf_dir))
+    return c.select("node_id", F.posexplode("centroid").alias("place", "value")).select("node_id", (F.col("place") + 1).alias("place"), F.round("value", 6).alias("value"))
+
+
+@query(f"WITH {VECTORS_SQL} SELECT label AS node_id, rep_id, score FROM rep")
+def leaf_representatives(spark, sf_dir):
+    v = _leaves(spark, sf_dir)
+    return I.representatives(v, I.centroids(v)).select("node_id", F.col("item_id").alias("rep_id"), "score")
+
+
+INNER_SQL = f"""{VECTORS_SQL}, im AS (SELECT label % 3 AS up, i, avg(x) AS x FROM (SELECT label, unnest(centroid) AS x, generate_subscripts(centroid, 1) AS i FROM leaf) GROUP BY ALL),
+ic AS (SELECT up, list(x ORDER BY i) AS raw FROM im GROUP BY up), inner_node AS MATERIALIZED (SELECT up, list_transform(raw, lambda x: x / sqrt(list_dot_product(raw, raw))) AS centroid FROM ic),
+ir AS MATERIALIZED (SELECT up, label AS child, score FROM (SELECT up, label, round(list_dot_product(l.centroid, n.centroid), 6) AS score, row_number() OVER (PARTITION BY up ORDER BY round(list_dot_product(l.centroid, n.centroid), 6) DESC, label) AS r FROM leaf l JOIN inner_node n ON l.label % 3 = n.up) WHERE r = 1)"""
+
+
+def _inner(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    c = I.centroids(_leaves(spark, sf_dir))
+    children = c.select((F.col("node_id") % 3).alias("up"), F.col("node_id").alias("item_id"), F.col("centroid").alias("vector"))
+    return c, I.representatives(children, I.centroids(children, "up"), "up")
+
+
+@query(f"WITH {INNER_SQL} SELECT up, child, ir.score, rep_id FROM ir JOIN rep ON rep.label = child")
+def inner_representatives(spark, sf_dir):
+    _, inner = _inner(spark, sf_dir)
+    leaf = leaf_representatives(spark, sf_dir).select(F.col("node_id").alias("child"), "rep_id")
+    return inner.withColumnRenamed("item_id", "child").join(leaf, "child").select("up", "child", "score", "rep_id")
+
+
+def _tree(spark, sf_dir) -> DataFrame:
+    """Nodes of the fixed tree with their representatives' vectors."""
+    v = _leaves(spark, sf_dir)
+    vectors = v.select(F.col("item_id").alias("rep_id"), F.col("vector").alias("rep"))
+    leaf = leaf_representatives(spark, sf_dir)
+    up = inner_representatives(spark, sf_dir)
+    nodes = leaf.select(F.col("node_id").cast("int").alias("node_id"), (100 + F.col("node_id") % 3).cast("int").alias("parent_id"), "rep_id")
+    nodes = nodes.unionByName(up.select((100 + F.col("up")).cast("int").alias("node_id"), F.lit(1000).alias("parent_id"), "rep_id")).join(vectors, "rep_id").select("node_id", "parent_id", "rep")
+    return nodes.unionByName(spark.createDataFrame([(1000, None, None)], "node_id int, parent_id int, rep array<double>"))
+
+
+TREE_SQL = f"""WITH {INNER_SQL}, q AS (SELECT vec_id AS query_id, vector FROM v),
+u AS (SELECT 100 + up AS node, vector AS rep FROM ir JOIN rep ON rep.label = child JOIN v ON v.vec_id = rep_id),
+b1 AS (SELECT query_id, vector, node, list_dot_product(vector, rep) AS total, row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(vector, rep), 6) DESC, node) AS r FROM q, u),
+l AS (SELECT label AS node, 100 + label % 3 AS up, vector AS rep FROM rep JOIN v ON v.vec_id = rep_id USING (label)),
+b2 AS (SELECT query_id, l.node AS leaf_id, round((total + list_dot_product(vector, l.rep)) / 2, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round((total + list_dot_product(vector, l.rep)) / 2, 6) DESC, l.node) AS rank FROM b1 JOIN l ON l.up = b1.node WHERE r <= {{beam}})"""
+TREE_SQL = TREE_SQL.replace("FROM rep JOIN v ON v.vec_id = rep_id USING (label)", "FROM (SELECT rep.label AS label, v.vector AS vector FROM rep JOIN v ON v.vec_id = rep.rep_id)")
+
+
+def _route(spark, sf_dir, beam: int) -> DataFrame:
+    return I.beam_route(_leaves(spark, sf_dir), _tree(spark, sf_dir), beam, 2).select("query_id", F.col("rank").cast("int").alias("rank"), "leaf_id", "score")
+
+
+for _beam in (1, 2, 3):
+    QUERIES[f"beam_route_{_beam}"] = lambda spark, sf_dir, beam=_beam: _route(spark, sf_dir, beam)
+    ORACLE_SQL[f"beam_route_{_beam}"] = f"{TREE_SQL.format(beam=_beam)} SELECT query_id, rank::INTEGER AS rank, leaf_id, score FROM b2 WHERE rank <= {_beam}"
+
+
+@query(f"{TREE_SQL.format(beam=2)} SELECT query_id, vec_id AS item_id, min(rank)::INTEGER AS rank FROM b2 JOIN v ON v.label = leaf_id WHERE rank <= 2 GROUP BY ALL")
+def route_candidates(spark, sf_dir):
+    return I.route_candidates(_route(spark, sf_dir, 2), _leaves(spark, sf_dir).select("node_id", "item_id"))
+
+
+DISTANCE_SQL = f"""WITH {VECTORS_SQL}, d AS MATERIALIZED (SELECT vec_id AS item_id, leaf.label AS center_id, round(list_sum(list_transform(list_zip(vector, centroid), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6) AS distance FROM v, leaf),
+k AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY distance, center_id) AS rank FROM d)"""
+
+
+def _preferences(spark, sf_dir) -> DataFrame:
+    v = _leaves(spark, sf_dir)
+    return I.preferences(I.distances(v, I.centroids(v).select(F.col("node_id").alias("center_id"), F.col("centroid").alias("vector"))))
+
+
+@query(f"{DISTANCE_SQL} SELECT item_id, center_id, distance, rank::INTEGER AS rank FROM k")
+def preference_rank(spark, sf_dir):
+    return _preferences(spark, sf_dir).select("item_id", "center_id", "distance", F.col("rank").cast("int").alias("rank"))
+
+
+@query(f"{DISTANCE_SQL} SELECT item_id, round(max(distance) FILTER (rank = 2) - max(distance) FILTER (rank = 1), 6) AS margin FROM k GROUP BY item_id")
+def centroid_distance_margin(spark, sf_dir):
+    return I.margins(_preferences(spark, sf_dir)).select("item_id", F.round("margin", 6).alias("margin"))
+
+
+@query()
+def capacity_assignment(spark, sf_dir):
+    v = _leaves(spark, sf_dir)
+    return I.capacity_assign(v, I.centroids(v).select(F.col("node_id").alias("center_id"), F.col("centroid").alias("vector")))
+
+
+@query()
+def kmeans_levels(spark, sf_dir):
+    return I.kmeans_labels(_leaves(spark, sf_dir).select("item_id", "vector"), 8)
+
+
+def _vectors(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
+
+
+@query()
+def index_build(spark, sf_dir):
+    nodes, _ = I.build_index(_vectors(spark, sf_dir))
+    return nodes.select("node_id", "level", "parent_id", "rep_id")
+
+
+@query()
+def index_stats(spark, sf_dir):
+    return I.leaf_stats(I.build_index(_vectors(spark, sf_dir))[1])
+
+
+# ---------------------------------------------------------------- chunks
+
+WORDS_SQL = "list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')"
+
+
+def _words():
+    return F.filter(F.split("text", r"\s+"), lambda x: x != "")
+
+
+def _papers_text(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "paper_id")
+
+
+@query(f"SELECT doc_id AS paper_id, i::INTEGER AS chunk_index, len(w[i * 510 + 1 : i * 510 + 510])::INTEGER AS size, md5(array_to_string(w[i * 510 + 1 : i * 510 + 510], ' ')) AS digest FROM (SELECT doc_id, w, unnest(range(0, least(5, ceil(len(w) / 510.0::DOUBLE)::BIGINT))) AS i FROM (SELECT doc_id, {WORDS_SQL} AS w FROM documents))")
+def chunk_windows(spark, sf_dir):
+    return C.chunk_table(_papers_text(spark, sf_dir), _words()).select("paper_id", "chunk_index", F.size("chunk").alias("size"), F.md5(F.array_join("chunk", " ").cast("binary")).alias("digest"))
+
+
+@query(f"SELECT sum(k)::BIGINT AS needed, sum(least(k, 5))::BIGINT AS used, count(*) FILTER (k > 5) AS truncated, max(k) AS most_needed FROM (SELECT ceil(len({WORDS_SQL}) / 510.0::DOUBLE)::BIGINT AS k FROM documents)")
+def chunk_diagnostics(spark, sf_dir):
+    return C.diagnostics(_papers_text(spark, sf_dir), _words())
+
+
+@query(
+    f"""{WITH}, {PAIRS_SQL}, k AS MATERIALIZED (SELECT doc_id, w, unnest(range(0, least(5, ceil(len(w) / 510.0::DOUBLE)::BIGINT))) AS i FROM (SELECT doc_id, {WORDS_SQL} AS w FROM documents)),
+z AS MATERIALIZED (SELECT doc_id, i, len(w[i * 510 + 1 : i * 510 + 510])::INTEGER AS size FROM k)
+SELECT paper_a_id, paper_b_id, i::INTEGER AS slot, size FROM pairs JOIN z ON doc_id = paper_a_id UNION ALL SELECT paper_a_id, paper_b_id, (i + 5)::INTEGER, size FROM pairs JOIN z ON doc_id = paper_b_id"""
+)
+def pair_chunk_slots(spark, sf_dir):
+    chunks = C.chunk_table(_papers_text(spark, sf_dir), _words()).select("paper_id", "chunk_index", F.size("chunk").alias("chunk"))
+    return C.pair_slots(P.block_pairs(papers(spark, sf_dir)), chunks).withColumnRenamed("chunk", "size")
+
+
+@query("SELECT label, place, round(coalesce(sum(x) FILTER (vec_id % 3 <> 0), 0) / greatest(count(*) FILTER (vec_id % 3 <> 0), 1), 6) AS pooled FROM (SELECT vec_id, label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1)::INTEGER AS place FROM embeddings) GROUP BY label, place")
+def chunk_mean_pool(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("label", (F.col("vec_id") % 3 != 0).alias("mask"), F.posexplode(V.doubles(F.col("embedding"))).alias("p", "value"))
+    return C.mean_pool(e.withColumn("place", F.col("p") + 1), ["label", "place"]).select("label", "place", F.round("pooled", 6).alias("pooled"))
+
+
+@query()
+def chunk_embeddings(spark, sf_dir):
+    return C.encode(C.chunk_table(_papers_text(spark, sf_dir), _words()), C.hashing_encoder).select("paper_id", "chunk_index", "embedding")
+
+
+# ---------------------------------------------------------------- classifiers and streams
+
+
+def _classed(spark, sf_dir) -> tuple[DataFrame, DataFrame, list[str]]:
+    e = table(spark, sf_dir, "embeddings")
+    features = [f"x{i}" for i in range(64)]
+    rows = e.select("vec_id", F.least("label", F.lit(3)).cast("int").alias("y"), *[F.get("embedding", i).cast("double").alias(f"x{i}") for i in range(64)])
+    return rows.where("vec_id % 5 <> 4"), rows.where("vec_id % 5 = 4"), features
+
+
+def _backend(name: str, **options):
+    def run(spark, sf_dir):
+        from docweave.operators.backends import run_backends
+
+        train, test, features = _classed(spark, sf_dir)
+        out = run_backends(name, train, test, features, **options)[0][name]
+        return out.select("vec_id", F.col("y").alias("true_y"), F.col("prediction").cast("int").alias("predicted_y"), "p")
+
+    return run
+
+
+QUERIES["rf_backend"] = _backend("random_forest", trees=30)
+QUERIES["mlp_backend"] = _backend("mlp", epochs=40)
+QUERIES["extra_trees_backend"] = _backend("extra_trees", trees=40)
+
+
+@query(f"{WITH} SELECT node_path, count(*) AS n FROM papers GROUP BY node_path")
+def stream_insert(spark, sf_dir):
+    import tempfile
+    import uuid
+
+    from docweave.streaming import arrivals
+
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="docweave-")
+    stream = arrivals.stream_of(spark, f"{sf_dir}/documents*.parquet", table(spark, sf_dir, "documents").schema)
+    path = F.when(F.col("doc_id") % 3 == 0, F.lit("all")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("all > "), "lang")).otherwise(F.concat(F.lit("all > "), "lang", F.lit(" > "), "source"))
+    return arrivals.run_to_table(arrivals.node_counts(stream.select(path.alias("node_path"))), f"{top}/stream-{uuid.uuid4().hex}")
+
+
+@query()
+def dynamic_insertion(spark, sf_dir):
+    from docweave.streaming import arrivals
+
+    e = table(spark, sf_dir, "embeddings")
+    return arrivals.dynamic_inserts(e.select((F.col("label") % 4).cast("string").alias("key"), F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector")))
