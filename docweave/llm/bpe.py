@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import kit
 
-BLOCK_BYTES, BUCKET_BYTES, TOKENIZE_BYTES = 8 << 20, 16 << 20, 1 << 20
+BLOCK_BYTES, BUCKET_BYTES, TOKENIZE_BYTES, SLICE_WORDS, SLICE_IDS = 8 << 20, 16 << 20, 1 << 19, 1 << 18, 1 << 18
 POSITIONS = -1
 
 _ROW = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
@@ -121,8 +121,11 @@ def _word_hashes(chars: np.ndarray, at: np.ndarray) -> np.ndarray:
 def _gather(flat: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The items at these numbers of a flat table, one after the other, and their sizes."""
     size = at[which + 1] - at[which]
-    begin = np.cumsum(size) - size
-    return flat[np.repeat(at[which] - begin, size) + np.arange(size.sum())], size
+    done = np.r_[0, np.cumsum(size)]
+    small = np.int32 if max(len(flat), done[-1]) < 1 << 31 else np.int64
+    place = np.repeat((at[which] - done[:-1]).astype(small), size)
+    place += np.arange(done[-1], dtype=small)
+    return flat[place], size
 
 
 def _encode(vocabulary):
@@ -152,51 +155,67 @@ def _encode(vocabulary):
 _IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.field("element", pa.int32())))])
 
 
-def _reassemble(table: pa.Table) -> pa.Table:
-    bucket = np.asarray(table["bucket"])
-    place = int(np.flatnonzero(bucket < 0)[0])
-    numbers = kit.unpack_ranks(table["a"][place].as_py())
-    docs = np.frombuffer(table["b"][place].as_py(), np.int64)
-    count = kit.widen(table["c"][place].as_py()).astype(np.int64)
-    which, flat, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for k in np.flatnonzero(bucket >= 0).tolist():
-        a, b, c = (kit.widen(kit.unsqueeze(table[x][k].as_py())[0]) for x in "abc")
-        which.append(np.cumsum(a.astype(np.int64)))
-        flat.append(b)
-        sizes.append(c.astype(np.int64))
-    which, flat, sizes = np.concatenate(which), np.concatenate(flat).astype(np.int32), np.concatenate(sizes)
-    begin = np.empty(len(which), np.int64)
-    length = np.empty(len(which), np.int64)
-    begin[which], length[which] = np.cumsum(sizes) - sizes, sizes
-    size = length[numbers]
-    done = np.r_[0, np.cumsum(size)]
-    ids = flat[np.repeat(begin[numbers] - done[:-1], size) + np.arange(done[-1])]
-    at = done[np.r_[0, np.cumsum(count)]]
-    return pa.Table.from_arrays([kit.id_column(docs), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids)).cast(_IDS.field("ids").type)], schema=_IDS)
+def _reassemble(finish):
+    """Ids of a block's texts by position; finish: what becomes of some texts' ids, a table of doc_id and ids."""
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket = np.asarray(table["bucket"])
+        place = int(np.flatnonzero(bucket < 0)[0])
+        numbers = kit.unpack_ranks(table["a"][place].as_py()).astype(np.int32)
+        docs = np.frombuffer(table["b"][place].as_py(), np.int64)
+        count = kit.widen(table["c"][place].as_py()).astype(np.int64)
+        which, flat, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for k in np.flatnonzero(bucket >= 0).tolist():
+            a, b, c = (kit.widen(kit.unsqueeze(table[x][k].as_py())[0]) for x in "abc")
+            which.append(np.cumsum(a.astype(np.int64)))
+            flat.append(b.astype(np.int32))
+            sizes.append(c.astype(np.int64))
+        which, flat, sizes = np.concatenate(which), np.concatenate(flat), np.concatenate(sizes)
+        order = np.argsort(which)  # the block's words by number
+        words, _ = _gather(flat, np.r_[0, np.cumsum(sizes)], order)
+        begin = np.r_[0, np.cumsum(sizes[order])]
+        del flat, which
+        at, out = np.r_[0, np.cumsum(count)], []
+        for i, j in kit.slices(at, SLICE_WORDS):
+            ids, size = _gather(words, begin, numbers[at[i] : at[j]])
+            offs = np.r_[0, np.cumsum(size)][at[i : j + 1] - at[i]]
+            lists = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(ids)).cast(_IDS.field("ids").type)
+            out.append(finish(pa.Table.from_arrays([kit.id_column(docs[i:j]), lists], schema=_IDS)))
+        return pa.concat_tables(out)
+
+    return run
 
 
 def vocabulary_of(spark, path: str, pattern: str):
     return spark.sparkContext.broadcast(Vocabulary(read_ranks(path), pattern))
 
 
-def encode(docs: DataFrame, vocabulary, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id and ids (array of int) of each row; vocabulary: from vocabulary_of()."""
+def encode(docs: DataFrame, vocabulary, block_bytes: int = BLOCK_BYTES, finish=None, types: str = "doc_id long, ids array<int>") -> DataFrame:
+    """doc_id and ids (array of int) of each row; vocabulary: from vocabulary_of().
+
+    finish, with its result's types, takes tables of doc_id and ids where they are made, for what needs no more than
+    that; it saves a pass of all ids between processes.
+    """
     spark = docs.sparkSession
     rows = kit.check_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     buckets = kit.pieces(kit.volume(rows)[1], BUCKET_BYTES, spark)
     dealt = rows.mapInArrow(_tokenize(vocabulary.value.pattern, buckets, block_bytes), _ROW_DDL)
     encoded = dealt.groupBy("bucket").applyInArrow(_encode(vocabulary), _ROW_DDL)
-    return encoded.groupBy("block").applyInArrow(_reassemble, "doc_id long, ids array<int>")
+    return encoded.groupBy("block").applyInArrow(_reassemble(finish or (lambda table: table)), types)
+
+
+def _decoded(ids: np.ndarray, offs: np.ndarray, table: tuple[np.ndarray, np.ndarray]):
+    """Bytes of each text's ids: for some texts at a time the first and last, the bytes, and where each begins."""
+    for i, j in kit.slices(offs, SLICE_IDS):
+        text, size = _gather(*table, ids[offs[i] : offs[j]])
+        yield i, j, text, np.r_[0, np.cumsum(size)][offs[i : j + 1] - offs[i]]
 
 
 def _decode(vocabulary):
     def run(batches):
-        flat, at = vocabulary.value.table()
+        table = vocabulary.value.table()
         for batch in batches:
-            ids, offs = _lists(batch["ids"])
-            for i, j in kit.slices(offs, 1 << 20):
-                text, size = _gather(flat, at, ids[offs[i] : offs[j]])
-                where = np.r_[0, np.cumsum(size)][offs[i : j + 1] - offs[i]]
+            for i, j, text, where in _decoded(*_lists(batch["ids"]), table):
                 rest = [batch.column(k).slice(i, j - i) for k in range(batch.num_columns)]
                 yield pa.RecordBatch.from_arrays([*rest, kit.text_column(text, where, pa.binary())], names=[*batch.schema.names, "decoded"])
 
@@ -210,36 +229,35 @@ def _lists(column) -> tuple[np.ndarray, np.ndarray]:
 
 def decode(encoded: DataFrame, vocabulary) -> DataFrame:
     """encoded with the column decoded (binary): the bytes of its ids."""
-    types = "".join(f"`{n}` {t}, " for n, t in encoded.dtypes)
-    return encoded.mapInArrow(_decode(vocabulary), f"{types}decoded binary")
+    encoded = encoded.drop("decoded")
+    return encoded.mapInArrow(_decode(vocabulary), kit.with_fields(encoded, decoded="binary"))
+
 
+def _digests(vocabulary):
+    """Digests of the ids, as decimals with one space between, and of the bytes that they decode to."""
+    tables: list = []
 
-def _digests(batches):
-    """Digests of the ids, as decimals with one space between, and of the decoded bytes."""
-    from hashlib import sha256
+    def run(table: pa.Table) -> pa.Table:
+        from hashlib import sha256
 
-    flat, at = None, None
-    for batch in batches:
-        ids, offs = _lists(batch["ids"])
-        most = int(ids.max(initial=0))
-        if at is None or most + 2 > len(at):
-            names = [b"%d " % i for i in range(most + 1)]
-            flat, at = np.frombuffer(b"".join(names), np.uint8), np.r_[0, np.cumsum([len(x) for x in names])]
+        if not tables:
+            names = [b"%d " % i for i in range(len(vocabulary.value.table()[1]) - 1)]
+            tables.extend([(np.frombuffer(b"".join(names), np.uint8), np.r_[0, np.cumsum([len(x) for x in names])]), vocabulary.value.table()])
+        ids, offs = _lists(table["ids"].combine_chunks())
         digests = []
-        for i, j in kit.slices(offs, 1 << 20):
-            text, size = _gather(flat, at, ids[offs[i] : offs[j]])
-            where = np.r_[0, np.cumsum(size)][offs[i : j + 1] - offs[i]].tolist()
-            data = memoryview(text)
-            digests += [sha256(data[a : max(a, b - 1)]).hexdigest() for a, b in zip(where[:-1], where[1:], strict=True)]
-        raw, at_text = kit.flat(batch["decoded"])
-        data, where = memoryview(np.ascontiguousarray(raw)), at_text.tolist()
-        decoded = [sha256(data[a:b]).hexdigest() for a, b in zip(where[:-1], where[1:], strict=True)]
-        yield pa.record_batch([batch["doc_id"], pa.array(np.diff(offs)), pa.array(digests, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for own, cut in zip(tables, (1, 0), strict=True):
+            digests.append([])
+            for _, _, text, where in _decoded(ids, offs, own):
+                data, where = memoryview(text), where.tolist()
+                digests[-1] += [sha256(data[a : max(a, b - cut)]).hexdigest() for a, b in zip(where[:-1], where[1:], strict=True)]
+        return pa.table({"doc_id": table["doc_id"], "n_tokens": np.diff(offs), "ids_sha256": pa.array(digests[0], pa.string()), "decoded_sha256": pa.array(digests[1], pa.string())})
+
+    return run
 
 
 def op1_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     vocabulary = vocabulary_of(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    out = decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary), vocabulary)
-    return out.mapInArrow(_digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return encode(docs, vocabulary, finish=_digests(vocabulary), types="doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -305,6 +305,25 @@ def pieces(total: int, each: int, spark) -> int:
     return max(parts(spark), math.ceil(total / each))
 
 
+def packed(df, *add: str):
+    """df's columns in one struct `row`, without those that an operator adds; columns then cannot clash.
+
+    Gives the columns' names too.  Of equal names (in any case) the operator's own column stays.
+    """
+    from pyspark.sql import functions as F
+
+    own = {a.lower() for a in add}
+    keep = [c for c in df.columns if c.lower() not in own]
+    return df.select(F.struct(*[df[c] for c in keep]).alias("row")), keep
+
+
+def with_fields(df, **types: str):
+    """df's schema with further columns."""
+    from pyspark.sql.types import StructType
+
+    return StructType([*df.schema.fields, *StructType.fromDDL(", ".join(f"{n} {t}" for n, t in types.items())).fields])
+
+
 def check_columns(df, *names: str):
     """Only the named columns, whatever else the table has."""
     missing = [n for n in names if n not in df.columns]
