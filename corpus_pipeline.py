@@ -11,27 +11,29 @@ from pyspark.sql import functions as F
 
 from docweave.llm import bpe, kit, mixing, ngram_join, quality, substring_dedup
 
+#: The columns of documents; others do not enter the corpus.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity under trusted text is within their language's threshold."""
-    return quality.keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.keep_quality(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (sets of five-word n-grams, Jaccard similarity of 0.8 or more) the smallest id."""
-    return ngram_join.drop_near_duplicates(docs, k=5, percent=80)
+    return ngram_join.drop_near_duplicates(docs.select(*COLUMNS), k=5, percent=80)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of 13 words or more that a document with a smaller id has; those left empty go."""
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    kept = substring_dedup.remove_repeats(docs, k=13, layout=True, extra=rest)
-    return kept.where(F.col("n_words") > F.col("n_removed")).withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long")).select(*docs.columns)
+    kept = substring_dedup.remove_repeats(docs.select(*COLUMNS), k=13, layout=True, extra=("lang", "source"))
+    return kept.where(F.col("n_words") > F.col("n_removed")).select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows of all sources by their target weights, some of them repeated, in shuffled shards."""
-    return mixing.mix(docs)
+    return mixing.mix(docs.select(*COLUMNS))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -88,8 +88,8 @@ def _stored(batches):
 
 def store_media(rows: DataFrame) -> DataFrame:
     """rows with the binary column payload stored in the binary column media instead."""
-    types = ", ".join([f"`{n}` {t}" for n, t in rows.dtypes if n != "payload"] + ["media binary"])
-    return rows.mapInArrow(_stored, types)
+    rows = rows.drop("media")
+    return rows.mapInArrow(_stored, kit.with_fields(rows.drop("payload"), media="binary"))
 
 
 def _opened(images: bool):
@@ -113,8 +113,9 @@ def _opened(images: bool):
 def open_media(rows: DataFrame, images: bool = True) -> DataFrame:
     """rows with payload and, of their progressive images, height, width and rgb (bytes of the full-resolution tensor),
     or with images=False the feature alone.  Images that store_media() did not write have a null payload."""
-    types = "".join(f"`{n}` {t}, " for n, t in rows.dtypes)
-    return rows.mapInArrow(_opened(images), types + ("payload binary, height int, width int, rgb binary" if images else "payload binary, feature string"))
+    added = {"payload": "binary"} | ({"height": "int", "width": "int", "rgb": "binary"} if images else {"feature": "string"})
+    rows = rows.drop(*added)
+    return rows.mapInArrow(_opened(images), kit.with_fields(rows, **added))
 
 
 def op7_media(spark, sf_dir: str) -> DataFrame:

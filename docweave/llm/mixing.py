@@ -175,7 +175,7 @@ def _draws(plan: Plan, seed: int):
     return run
 
 
-_ADDED = "source_size long, target double, draws array<struct<draw: int, shard: int, order: long>>"
+_DRAWS = "array<struct<draw: int, shard: int, order: long>>"
 
 
 def _planned(docs: DataFrame, ratio: float, weights: tuple, most: float, shards: int | None, seed: int) -> tuple[DataFrame, Plan]:
@@ -189,17 +189,18 @@ def _planned(docs: DataFrame, ratio: float, weights: tuple, most: float, shards:
 def mix_draws(docs: DataFrame, ratio: float = 1.5, weights: tuple = (5, 2, 1), most: float = 2.0, shards: int | None = None, seed: int = 7) -> DataFrame:
     """doc_id, source, key, size, source_size, target and draws of each row, without the texts."""
     sizes, plan = _planned(docs, ratio, weights, most, shards, seed)
-    return sizes.mapInArrow(_draws(plan, seed), f"{', '.join(f'{n} {t}' for n, t in sizes.dtypes)}, {_ADDED}")
+    return sizes.mapInArrow(_draws(plan, seed), kit.with_fields(sizes, source_size="long", target="double", draws=_DRAWS))
 
 
 def mix(docs: DataFrame, ratio: float = 1.5, weights: tuple = (5, 2, 1), most: float = 2.0, shards: int | None = None, seed: int = 7) -> DataFrame:
     """The mixed rows of docs: a partition for each shard or several, in the order of the shards."""
     _, plan = _planned(docs, ratio, weights, most, shards, seed)
-    rows = docs.withColumn("key", F.xxhash64("doc_id", "text"))
-    out = rows.mapInArrow(_draws(plan, seed), "".join(f"`{n}` {t}, " for n, t in rows.dtypes) + _ADDED)
-    out = out.select(*docs.columns, F.explode("draws").alias("one"))
+    rows, names = kit.packed(docs)
+    rows = rows.select("row", F.col("row.source").alias("source"), F.xxhash64("row.doc_id", "row.text").alias("key"))
+    out = rows.mapInArrow(_draws(plan, seed), kit.with_fields(rows, source_size="long", target="double", draws=_DRAWS))
+    out = out.select("row", F.explode("draws").alias("one"))
     out = out.repartition(min(plan.until.shape[1], 8 * kit.parts(docs.sparkSession)), "one.shard").sortWithinPartitions("one.shard", "one.order")
-    return out.select(*docs.columns)
+    return out.select(*[F.col("row")[n].alias(n) for n in names])
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
