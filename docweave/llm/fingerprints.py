@@ -176,9 +176,10 @@ def with_next(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
 
     @F.pandas_udf("int")
     def bucket(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, ids.fillna(int(kit.NO_ID)).to_numpy(np.int64)).astype(np.int32))
+        return pd.Series(np.searchsorted(edges, ids.to_numpy(np.int64)).astype(np.int32))
 
-    rows = rows.select(bucket("doc_id").alias("bucket"), F.coalesce("doc_id", F.lit(int(kit.NO_ID))).alias("i"), F.xxhash64("text").alias("h"), "doc_id", "text")
+    rows = rows.withColumn("i", F.coalesce("doc_id", F.lit(int(kit.NO_ID))))
+    rows = rows.select(bucket("i").alias("bucket"), "i", F.xxhash64("text").alias("h"), "doc_id", "text")
     # the first row of each bucket also goes to the last bucket before it that has rows; the driver holds a row for each bucket
     first = rows.groupBy("bucket").agg(F.min(F.struct("i", "h")).alias("first")).orderBy("bucket").collect()
     links = [(b["bucket"], b["first"]["i"], b["first"]["h"], a["bucket"]) for a, b in zip(first[:-1], first[1:], strict=True)]
