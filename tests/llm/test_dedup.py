@@ -68,8 +68,9 @@ def test_linked_sets_share_a_signature(seed, percent):
     both = len(np.intersect1d(a, b))
     if not len(b) or 100 * both < percent * (len(a) + len(b) - both) or (len(a) == len(b) == both):
         return
-    sig, at = ngram_join.signatures(np.r_[a, b], np.array([0, len(a), len(a) + len(b)]), percent)
-    assert len(np.intersect1d(sig[: at[1]], sig[at[1] :]))
+    sig, up, at, least = ngram_join.signatures(np.r_[a, b], np.array([0, len(a), len(a) + len(b)]), percent)
+    shared = [len(np.intersect1d(sig[: at[1]][up[: at[1]] == u], sig[at[1] :][up[at[1] :] == v])) - min(least[0, u], least[1, v]) for u in (0, 1) for v in (0, 1) if least[0, u] and least[1, v]]
+    assert max(shared) >= 0 and min(least[least > 0]) > 0
 
 
 def test_near_duplicates_keep_one(spark):
