@@ -22,6 +22,7 @@ from docweave.operators import replay as R
 from docweave.operators import taxonomy as T
 from docweave.operators import texts
 from docweave.operators import tfidf as W
+from docweave.operators import vectorizer as N
 from docweave.sources.papers import PAPERS_SQL, papers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,6 +210,29 @@ def content_cosine_pairs(spark, sf_dir):
     return out.select("paper_a_id", "paper_b_id", F.round("content_cosine", 6).alias("content_cosine"))
 
 
+VOCABULARY_SQL = f"""{WITH}, itok AS MATERIALIZED (SELECT paper_id, {tokens_sql("concat_ws(' ', title, abstract, venue, array_to_string(reference_titles, ' '))")} AS ts FROM papers),
+terms AS (SELECT paper_id, unnest(list_concat(ts, list_transform(range(1, greatest(len(ts), 1)), lambda i: ts[i] || ' ' || ts[i + 1]))) AS term FROM itok),
+counts AS MATERIALIZED (SELECT paper_id, term, count(*) AS tf FROM terms GROUP BY ALL),
+vocabulary AS MATERIALIZED (SELECT term, count(*) AS df, ln((1.0::DOUBLE + (SELECT count(*) FROM itok)) / (1.0::DOUBLE + count(*))) + 1.0::DOUBLE AS idf FROM counts GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 20000),
+weighted AS MATERIALIZED (SELECT paper_id, term, tf * idf AS w FROM counts JOIN vocabulary USING (term)), lengths AS (SELECT paper_id, sqrt(sum(w * w)) AS norm FROM weighted GROUP BY paper_id)"""
+
+
+def _terms(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    tokens = W.with_tokens(papers(spark, sf_dir), 0)
+    counts = N.term_counts(tokens)
+    return counts, N.vocabulary(counts, tokens.count())
+
+
+@query(f"{VOCABULARY_SQL} SELECT term, df, round(idf, 6) AS idf FROM vocabulary")
+def tfidf_vocabulary(spark, sf_dir):
+    return _terms(spark, sf_dir)[1].select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(f"{VOCABULARY_SQL} SELECT paper_id, term, round(w / norm, 6) AS weight FROM weighted JOIN lengths USING (paper_id)")
+def tfidf_vectors(spark, sf_dir):
+    return N.vectors(*_terms(spark, sf_dir)).select("paper_id", "term", F.round("weight", 6).alias("weight"))
+
+
 # ---------------------------------------------------------------- pair features
 
 

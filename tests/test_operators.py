@@ -285,3 +285,41 @@ def test_streamed_inserts_equal_the_batch(spark, tmp_path):
 def test_schedules_shrink_to_one(n, leaf):
     s = index.level_schedule(n, leaf)
     assert s[-1] == 1 and all(a > b for a, b in zip(s[:-1], s[1:], strict=True)) and sum(index.capacities(n, s[0])) == n
+
+
+def test_whole_static_flow(spark, tmp_path):
+    from docweave.plans import classify
+    from docweave.sources import runs
+
+    rng = random.Random(1)
+    words = [f"word{i}" for i in range(60)]
+    rows, paths = [], ["r", "r > a", "r > b"]
+    for i in range(24):
+        path = paths[i % 3]
+        rows.append((f"p{i}", " ".join(rng.sample(words, 4)), " ".join(rng.sample(words, 12)) + f" topic{i % 3}", path, str(2000 + i), str(i % 3 * 20), [f"ref {path}"], path, i))
+    papers_ = spark.createDataFrame(rows, records.PAPERS)
+    both = papers_.alias("a").join(papers_.alias("b"), F.expr("a.paper_id <> b.paper_id"))
+    labels = both.select(F.concat("a.paper_id", F.lit("-"), "b.paper_id").alias("pair_id"), F.col("a.paper_id").alias("paper_a_id"), F.col("b.paper_id").alias("paper_b_id"), taxonomy.relation(F.col("a.node_path"), F.col("b.node_path")).alias("label"))
+    found = classify.run(spark, (papers_, labels), (papers_, labels), f"file://{tmp_path}/out", "random_forest,unknown", trees=10)
+    assert list(found) == ["random_forest"] and found["random_forest"]["accuracy"] > 0.7
+    assert runs.reused(spark, f"file://{tmp_path}/out/all_metrics.json", "methods", dict)["random_forest"]["accuracy"] > 0.7
+    assert runs.reused(spark, None, "methods", lambda: {"made": 1}) == {"made": 1}
+    df, seen = runs.observed(labels, "pairs")
+    df.write.format("noop").mode("overwrite").save()
+    assert seen.get["rows"] == 24 * 23
+
+
+def test_saved_model(spark, tmp_path):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    from docweave.sources import runs
+
+    df = spark.createDataFrame([(float(i), i % 2) for i in range(40)], "x double, y int")
+    model = Pipeline(stages=[VectorAssembler(inputCols=["x"], outputCol="features"), RandomForestClassifier(labelCol="y", numTrees=3, seed=1)]).fit(df)
+    idf = spark.createDataFrame([("nets", 1.5)], "token string, idf double")
+    runs.save_model(spark, f"file://{tmp_path}/m", model, idf, pairs.feature_stats(df, ("x",)), {"labels": list(X.LABELS)})
+    loaded, tokens, stats, about = runs.load_model(spark, f"file://{tmp_path}/m")
+    assert about["max_reference_titles"] == 80 and about["labels"][0] == "A_TO_B" and tokens.count() == stats.count() == 1
+    assert [r["prediction"] for r in loaded.transform(df).collect()] == [r["prediction"] for r in model.transform(df).collect()]
