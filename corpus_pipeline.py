@@ -13,6 +13,9 @@ from docweave.llm import bpe, kit, mixing, ngram_join, quality, substring_dedup
 
 #: The columns of documents; others do not enter the corpus.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Text in a chunk of the dedup and a block of the encoder: less than when an operator has the executors for itself,
+#: as workers of the stages before still hold memory.
+CHUNK_BYTES, BLOCK_BYTES = 2 << 20, 4 << 20
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of 13 words or more that a document with a smaller id has; those left empty go."""
-    kept = substring_dedup.remove_repeats(docs.select(*COLUMNS), k=13, layout=True, extra=("lang", "source"))
+    kept = substring_dedup.remove_repeats(docs.select(*COLUMNS), k=13, layout=True, extra=("lang", "source"), chunk_bytes=CHUNK_BYTES)
     return kept.where(F.col("n_words") > F.col("n_removed")).select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 
@@ -41,7 +44,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     vocabulary = bpe.vocabulary_of(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return bpe.encode(docs, vocabulary).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    return bpe.encode(docs, vocabulary, block_bytes=BLOCK_BYTES).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 STAGES = [

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import kit
 
-BLOCK_BYTES, BUCKET_BYTES, TOKENIZE_BYTES, SLICE_WORDS, SLICE_IDS = 8 << 20, 16 << 20, 1 << 19, 1 << 18, 1 << 18
+BLOCK_BYTES, BUCKET_BYTES, TOKENIZE_BYTES, SLICE_WORDS, SLICE_IDS = 12 << 20, 16 << 20, 1 << 19, 1 << 18, 1 << 18
 POSITIONS = -1
 
 _ROW = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
@@ -74,44 +74,55 @@ def _tokenize(pattern: str, buckets: int, block_bytes: int):
 
         find = _pattern(pattern).findall
         partition, serial = TaskContext.get().partitionId(), 0
+        found, counts, docs, size = [], [], [], 0
         for batch in batches:
             ids = kit.long_ids(batch["doc_id"])
-            raw, offs = kit.flat(batch["text"])
-            for i, j in kit.slices(offs, block_bytes):
-                found, count = [pa.array([], pa.string())], np.zeros(j - i, np.int64)
-                for a, b in kit.slices(offs[i : j + 1], TOKENIZE_BYTES):  # few tokens at a time are Python strings
-                    tokens = []
-                    for k, text in enumerate(batch["text"].slice(i + a, b - a).to_pylist(), a):
-                        if text:
-                            own = find(text)
-                            count[k] = len(own)
-                            tokens += own
-                    found.append(pa.array(tokens, pa.string()))
-                    del tokens
-                coded = pa.concat_arrays(found).dictionary_encode()
-                del found
-                numbers = np.asarray(coded.indices)
-                frequent = np.argsort(-np.bincount(numbers, minlength=len(coded.dictionary)), kind="stable")
-                rank = np.empty(len(frequent), np.int64)
-                rank[frequent] = np.arange(len(frequent))
-                block = (partition << 32) | serial
-                serial += 1
-                yield pa.record_batch([[POSITIONS - block], [block], [kit.pack_ranks(rank[numbers])], [ids[i:j].tobytes()], [kit.narrow(count.astype(np.uint64))]], schema=_ROW)
-                chars, at = kit.flat(coded.dictionary.take(pa.array(frequent)))
-                bucket = kit.bucket_of(_word_hashes(chars, at), buckets)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                rows = []
-                for b in np.flatnonzero(np.diff(cuts)).tolist():
-                    own = order[cuts[b] : cuts[b + 1]]
-                    text, size = _gather(chars, at, own)
-                    rows.append((b, block, kit.squeeze(kit.narrow(np.diff(own, prepend=0).astype(np.uint64))), kit.squeeze(text.tobytes()), kit.squeeze(kit.narrow(size.astype(np.uint64)))))
-                if rows:
-                    yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _ROW, strict=True)], schema=_ROW)
+            _, offs = kit.flat(batch["text"])
+            for i, j in kit.slices(offs, min(block_bytes, TOKENIZE_BYTES)):  # few tokens at a time are Python strings
+                tokens, count = [], np.zeros(j - i, np.int64)
+                for k, text in enumerate(batch["text"].slice(i, j - i).to_pylist()):
+                    if text:
+                        own = find(text)
+                        count[k] = len(own)
+                        tokens += own
+                found.append(pa.array(tokens, pa.string()))
+                counts.append(count)
+                docs.append(ids[i:j])
+                size += int(offs[j] - offs[i])
+                del tokens
+                if size >= block_bytes:
+                    yield from _block((partition << 32) | serial, found, counts, docs, buckets)
+                    serial += 1
+                    found, counts, docs, size = [], [], [], 0
+        if docs:
+            yield from _block((partition << 32) | serial, found, counts, docs, buckets)
 
     return run
 
 
+def _block(block: int, found: list, counts: list, docs: list, buckets: int):
+    """A block's rows: its positions, and its distinct words by bucket with their ranks."""
+    coded = pa.concat_arrays(found).dictionary_encode()
+    found.clear()
+    numbers = np.asarray(coded.indices)
+    frequent = np.argsort(-np.bincount(numbers, minlength=len(coded.dictionary)), kind="stable")
+    rank = np.empty(len(frequent), np.int32)
+    rank[frequent] = np.arange(len(frequent), dtype=np.int32)
+    yield pa.record_batch([[POSITIONS - block], [block], [kit.pack_ranks(rank[numbers])], [np.concatenate(docs).tobytes()], [kit.narrow(np.concatenate(counts).astype(np.uint64))]], schema=_ROW)
+    chars, at = kit.flat(coded.dictionary.take(pa.array(frequent)))
+    del coded, numbers
+    bucket = kit.bucket_of(_word_hashes(chars, at), buckets)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    rows = []
+    for b in np.flatnonzero(np.diff(cuts)).tolist():
+        own = order[cuts[b] : cuts[b + 1]]
+        text, size = _gather(chars, at, own)
+        rows.append((b, block, kit.squeeze(kit.narrow(np.diff(own, prepend=0).astype(np.uint64))), kit.squeeze(text.tobytes()), kit.squeeze(kit.narrow(size.astype(np.uint64)))))
+    if rows:
+        yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _ROW, strict=True)], schema=_ROW)
+
+
 def _word_hashes(chars: np.ndarray, at: np.ndarray) -> np.ndarray:
     words = kit.Words.__new__(kit.Words)
     words.raw, words.starts, words.ends = chars, at[:-1], at[1:]
@@ -199,9 +210,9 @@ def encode(docs: DataFrame, vocabulary, block_bytes: int = BLOCK_BYTES, finish=N
     spark = docs.sparkSession
     rows = kit.check_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     buckets = kit.pieces(kit.volume(rows)[1], BUCKET_BYTES, spark)
-    dealt = rows.mapInArrow(_tokenize(vocabulary.value.pattern, buckets, block_bytes), _ROW_DDL)
-    encoded = dealt.groupBy("bucket").applyInArrow(_encode(vocabulary), _ROW_DDL)
-    return encoded.groupBy("block").applyInArrow(_reassemble(finish or (lambda table: table)), types)
+    dealt = rows.mapInArrow(kit.lean(_tokenize(vocabulary.value.pattern, buckets, block_bytes)), _ROW_DDL)
+    encoded = dealt.groupBy("bucket").applyInArrow(kit.lean(_encode(vocabulary)), _ROW_DDL)
+    return encoded.groupBy("block").applyInArrow(kit.lean(_reassemble(finish or (lambda table: table))), types)
 
 
 def _decoded(ids: np.ndarray, offs: np.ndarray, table: tuple[np.ndarray, np.ndarray]):
@@ -230,7 +241,7 @@ def _lists(column) -> tuple[np.ndarray, np.ndarray]:
 def decode(encoded: DataFrame, vocabulary) -> DataFrame:
     """encoded with the column decoded (binary): the bytes of its ids."""
     encoded = encoded.drop("decoded")
-    return encoded.mapInArrow(_decode(vocabulary), kit.with_fields(encoded, decoded="binary"))
+    return encoded.mapInArrow(kit.lean(_decode(vocabulary)), kit.with_fields(encoded, decoded="binary"))
 
 
 def _digests(vocabulary):

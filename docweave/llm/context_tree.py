@@ -346,17 +346,17 @@ def code_lengths(docs: DataFrame, depth: int = 5, by: int = 5, rest: int = 1, ch
     rows = kit.check_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     _, size = kit.volume(rows)
     buckets, chunks = kit.pieces(size, BUCKET_BYTES, spark), kit.pieces(size, chunk_bytes, spark)
-    counted = rows.mapInArrow(_count(depth, buckets, by, rest), "kind int, bucket int, keys binary, counts binary")
-    totals = kit.settled(counted.groupBy("kind", "bucket").applyInArrow(_total, "kind int, bucket int, keys binary, counts binary, distinct long, total long"))
+    counted = rows.mapInArrow(kit.lean(_count(depth, buckets, by, rest)), "kind int, bucket int, keys binary, counts binary")
+    totals = kit.settled(counted.groupBy("kind", "bucket").applyInArrow(kit.lean(_total), "kind int, bucket int, keys binary, counts binary, distinct long, total long"))
     known = totals.where(F.col("kind") == WORDS).agg(F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
     distinct, total = int(known[0]), int(known[1])
-    near = totals.where(F.col("kind") == STRINGS).groupBy("bucket").applyInArrow(_upper_sums(depth), "node long, n double, n1 double, product double")
+    near = totals.where(F.col("kind") == STRINGS).groupBy("bucket").applyInArrow(kit.lean(_upper_sums(depth)), "node long, n double, n1 double, product double")
     stop, one = _upper_levels(near.groupBy("node").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1"), F.sum("product").alias("product")).toLocalIterator())
     dealt = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"), "doc_id", F.xxhash64("text").alias("row"), "text").repartition(chunks, "chunk")
-    asks = dealt.groupBy("chunk").applyInArrow(_ask(depth, buckets), "kind int, bucket int, chunk int, keys binary")
-    answers = asks.groupBy("kind", "bucket").cogroup(totals.groupBy("kind", "bucket")).applyInArrow(_answer(depth, stop, one), "chunk int, kind int, bucket int, values binary")
+    asks = dealt.groupBy("chunk").applyInArrow(kit.lean(_ask(depth, buckets)), "kind int, bucket int, chunk int, keys binary")
+    answers = asks.groupBy("kind", "bucket").cogroup(totals.groupBy("kind", "bucket")).applyInArrow(kit.lean(_answer(depth, stop, one)), "chunk int, kind int, bucket int, values binary")
     out = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-        _finish(depth, buckets, by, rest), "doc_id long, held_out boolean, n_tokens long, n_known long, known_log double, score double, n_bytes long"
+        kit.lean(_finish(depth, buckets, by, rest)), "doc_id long, held_out boolean, n_tokens long, n_known long, known_log double, score double, n_bytes long"
     )
     each = math.log10(total + 0.5 * (distinct + 1))
     return out.select(

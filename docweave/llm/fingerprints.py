@@ -160,7 +160,7 @@ def fingerprint(docs: DataFrame, size: int = SIZE) -> DataFrame:
         for batch in batches:
             yield pa.record_batch([batch["doc_id"], pa.array([text_of(s) for s in sketches(*kit.flat(batch["text"]), size)], pa.string())], names=["doc_id", "fingerprint"])
 
-    return rows.mapInArrow(run, "doc_id long, fingerprint string")
+    return rows.mapInArrow(kit.lean(run), "doc_id long, fingerprint string")
 
 
 def with_next(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -227,4 +227,4 @@ def op6_fingerprints(spark, sf_dir: str) -> DataFrame:
     first = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text")).limit(1).collect()
     first = (first[0]["doc_id"], first[0]["text"] or "") if first else None
     dealt = with_next(docs)
-    return dealt.groupBy("bucket").applyInArrow(_edit(first), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.groupBy("bucket").applyInArrow(kit.lean(_edit(first)), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -250,7 +250,7 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
 
 
 #: Bytes of an Arrow batch between the JVM and Python: long texts make small batches.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark) -> None:
@@ -258,6 +258,46 @@ def bounded_batches(spark) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: a Python worker outlives its task and others share its executor."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(run):
+    """run, a function of one or two arguments that returns a table or yields batches, with trim() after it."""
+    import inspect
+
+    def ended(out):
+        if not inspect.isgenerator(out):
+            trim()
+            return out
+
+        def each():
+            try:
+                yield from out
+            finally:
+                trim()
+
+        return each()
+
+    if run.__code__.co_argcount == 2:
+        return lambda a, b: ended(run(a, b))
+    return lambda a: ended(run(a))
+
+
+def small(df, most: int = 500_000):
+    """df to be broadcast if it has at most so many rows, by a count; else as it is."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def volume(docs, text: str = "text") -> tuple[int, int]:
     """Rows and bytes of text of a table."""
     from pyspark.sql import functions as F

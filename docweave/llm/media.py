@@ -89,7 +89,7 @@ def _stored(batches):
 def store_media(rows: DataFrame) -> DataFrame:
     """rows with the binary column payload stored in the binary column media instead."""
     rows = rows.drop("media")
-    return rows.mapInArrow(_stored, kit.with_fields(rows.drop("payload"), media="binary"))
+    return rows.mapInArrow(kit.lean(_stored), kit.with_fields(rows.drop("payload"), media="binary"))
 
 
 def _opened(images: bool):
@@ -115,7 +115,7 @@ def open_media(rows: DataFrame, images: bool = True) -> DataFrame:
     or with images=False the feature alone.  Images that store_media() did not write have a null payload."""
     added = {"payload": "binary"} | ({"height": "int", "width": "int", "rgb": "binary"} if images else {"feature": "string"})
     rows = rows.drop(*added)
-    return rows.mapInArrow(_opened(images), kit.with_fields(rows, **added))
+    return rows.mapInArrow(kit.lean(_opened(images)), kit.with_fields(rows, **added))
 
 
 def op7_media(spark, sf_dir: str) -> DataFrame:

@@ -127,7 +127,7 @@ def make_plan(sizes: DataFrame, ratio: float, weights: tuple, most: float, shard
     plan = Plan({s: i for i, s in enumerate(order)}, whole, np.zeros(len(order), np.int64), words, target, turn, np.zeros((len(order), shards), np.int64))
     need = np.maximum(target - whole * words, 0)  # words beyond the whole draws
     for shift in (24, 12, 0):
-        found = sizes.mapInArrow(_bins(plan, shift), "source long, bin long, words long").groupBy("source", "bin").agg(F.sum("words").alias("words")).toArrow()
+        found = sizes.mapInArrow(kit.lean(_bins(plan, shift)), "source long, bin long, words long").groupBy("source", "bin").agg(F.sum("words").alias("words")).toArrow()
         source, place, count = (np.asarray(found[c]) for c in ("source", "bin", "words"))
         for s in range(len(order)):
             own = np.flatnonzero(source == s)
@@ -180,7 +180,7 @@ _DRAWS = "array<struct<draw: int, shard: int, order: long>>"
 
 def _planned(docs: DataFrame, ratio: float, weights: tuple, most: float, shards: int | None, seed: int) -> tuple[DataFrame, Plan]:
     keyed = docs.select("doc_id", "source", "text", F.xxhash64("doc_id", "text").alias("key"))
-    sizes = kit.settled(keyed.mapInArrow(_sizes, f"doc_id {dict(docs.dtypes)['doc_id']}, source string, key long, size long"))
+    sizes = kit.settled(keyed.mapInArrow(kit.lean(_sizes), f"doc_id {dict(docs.dtypes)['doc_id']}, source string, key long, size long"))
     if shards is None:
         shards = kit.pieces(int(ratio * kit.volume(docs)[1]), SHARD_BYTES, docs.sparkSession)
     return sizes, make_plan(sizes, ratio, weights, most, shards, seed)
@@ -189,7 +189,7 @@ def _planned(docs: DataFrame, ratio: float, weights: tuple, most: float, shards:
 def mix_draws(docs: DataFrame, ratio: float = 1.5, weights: tuple = (5, 2, 1), most: float = 2.0, shards: int | None = None, seed: int = 7) -> DataFrame:
     """doc_id, source, key, size, source_size, target and draws of each row, without the texts."""
     sizes, plan = _planned(docs, ratio, weights, most, shards, seed)
-    return sizes.mapInArrow(_draws(plan, seed), kit.with_fields(sizes, source_size="long", target="double", draws=_DRAWS))
+    return sizes.mapInArrow(kit.lean(_draws(plan, seed)), kit.with_fields(sizes, source_size="long", target="double", draws=_DRAWS))
 
 
 def mix(docs: DataFrame, ratio: float = 1.5, weights: tuple = (5, 2, 1), most: float = 2.0, shards: int | None = None, seed: int = 7) -> DataFrame:
@@ -197,7 +197,7 @@ def mix(docs: DataFrame, ratio: float = 1.5, weights: tuple = (5, 2, 1), most: f
     _, plan = _planned(docs, ratio, weights, most, shards, seed)
     rows, names = kit.packed(docs)
     rows = rows.select("row", F.col("row.source").alias("source"), F.xxhash64("row.doc_id", "row.text").alias("key"))
-    out = rows.mapInArrow(_draws(plan, seed), kit.with_fields(rows, source_size="long", target="double", draws=_DRAWS))
+    out = rows.mapInArrow(kit.lean(_draws(plan, seed)), kit.with_fields(rows, source_size="long", target="double", draws=_DRAWS))
     out = out.select("row", F.explode("draws").alias("one"))
     out = out.repartition(min(plan.until.shape[1], 8 * kit.parts(docs.sparkSession)), "one.shard").sortWithinPartitions("one.shard", "one.order")
     return out.select(*[F.col("row")[n].alias(n) for n in names])

@@ -40,8 +40,6 @@ from .graph import components
 
 #: Text and n-grams of the documents that one task compares.
 TASK_BYTES, BLOCK_GRAMS = 8 << 20, 4_000_000
-#: Low bits of a signature that are not sent; equal signatures by chance only make candidates.
-SHORT = 24
 #: Fragments in which overlaps are counted; documents with an equal signature that are paired.
 COUNTED, SMALL = 4, 8
 
@@ -117,7 +115,7 @@ def signatures(sets: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarr
 _SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("least", pa.int32()), ("least_up", pa.int32()), ("sigs", pa.binary())])
 
 
-def _reduce(k: int, percent: int):
+def _reduce(k: int, percent: int, short: int):
     def run(batches):
         for batch in batches:
             ids = kit.long_ids(batch["doc_id"])
@@ -126,7 +124,7 @@ def _reduce(k: int, percent: int):
                 sets, at = shingle_sets(kit.Words(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i]), k)
                 f1, f2 = (np.r_[np.uint64(0), np.cumsum(kit.mix(sets ^ np.uint64(s)))] for s in (0x243F6A8885A308D3, 0x13198A2E03707344))
                 sig, up, sig_at, least = signatures(sets, at, percent)
-                blobs = [kit.narrow(up[a:b].sum(keepdims=True).astype(np.uint64)) + kit.narrow(sig[a:b] >> np.uint64(SHORT)) if b > a else b"" for a, b in zip(sig_at[:-1].tolist(), sig_at[1:].tolist(), strict=True)]
+                blobs = [kit.narrow(up[a:b].sum(keepdims=True).astype(np.uint64)) + kit.narrow(sig[a:b] >> np.uint64(short)) if b > a else b"" for a, b in zip(sig_at[:-1].tolist(), sig_at[1:].tolist(), strict=True)]
                 yield pa.record_batch(
                     [kit.id_column(ids[i:j]), pa.array(np.diff(at)), pa.array((f1[at[1:]] - f1[at[:-1]]).view(np.int64)), pa.array((f2[at[1:]] - f2[at[:-1]]).view(np.int64)), pa.array(least[:, 0].astype(np.int32)), pa.array(least[:, 1].astype(np.int32)), pa.array(blobs, pa.binary())],
                     schema=_SETS,
@@ -135,7 +133,7 @@ def _reduce(k: int, percent: int):
     return run
 
 
-def _deal(buckets: int):
+def _deal(buckets: int, short: int):
     """Signatures by bucket, with their entries: twice the document's id, plus 1 in the class above its own."""
 
     def run(batches):
@@ -150,24 +148,29 @@ def _deal(buckets: int):
                 entries.append(entry)
             if not keys:
                 continue
-            keys, entries = np.concatenate(keys) << np.uint64(SHORT), np.concatenate(entries)
+            keys, entries = np.concatenate(keys) << np.uint64(short), np.concatenate(entries)
             bucket = kit.bucket_of(keys, buckets)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             full = np.flatnonzero(np.diff(cuts))
             own = [order[cuts[b] : cuts[b + 1]] for b in full]
-            yield pa.record_batch([pa.array(full.astype(np.int32)), pa.array([kit.narrow(keys[o] >> np.uint64(SHORT)) for o in own], pa.binary()), pa.array([entries[o].tobytes() for o in own], pa.binary())], names=["bucket", "keys", "ids"])
+            yield pa.record_batch([pa.array(full.astype(np.int32)), pa.array([kit.narrow(keys[o] >> np.uint64(short)) for o in own], pa.binary()), pa.array([_offset(entries[o]) for o in own], pa.binary())], names=["bucket", "keys", "ids"])
 
     return run
 
 
+def _offset(x: np.ndarray) -> bytes:
+    """The smallest of some numbers, then how far each is above it."""
+    return x.min(keepdims=True).tobytes() + kit.narrow((x - x.min()).astype(np.uint64))
+
+
 _TIES = pa.schema([("hot", pa.bool_()), ("x", pa.int64()), ("y", pa.int64()), ("n", pa.int32())])
 
 
 def _ties(table: pa.Table) -> pa.Table:
     """Pairs of entries with the number of signatures that they share in small groups; (entry, signature) of large ones."""
     keys = np.concatenate([kit.widen(x) for x in table["keys"].to_pylist()])
-    ids = np.concatenate([np.frombuffer(x, np.int64) for x in table["ids"].to_pylist()])
+    ids = np.concatenate([np.frombuffer(x, np.int64, 1) + kit.widen(x[8:]).astype(np.int64) for x in table["ids"].to_pylist()])
     order = np.lexsort((ids, keys))
     keys, ids = keys[order], ids[order]
     head = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
@@ -188,11 +191,17 @@ def _ties(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c) for c in columns], schema=_TIES)
 
 
+def _short(size: int) -> int:
+    """Low bits of a signature that are not sent: so few that chance pairs, which only make candidates, stay in
+    proportion to the input."""
+    return 64 - min(64, 8 * -(-(max(1, size).bit_length() + 8) // 8))
+
+
 def _may_link(reps: DataFrame, size: int) -> DataFrame:
     """(a, b): ties between representatives whose components hold every pair that can link."""
     buckets = kit.pieces(size, 16 << 20, reps.sparkSession)
-    dealt = reps.where(F.octet_length("sigs") > 0).select(F.col("rep").alias("doc_id"), "sigs").mapInArrow(_deal(buckets), "bucket int, keys binary, ids binary")
-    ties = kit.settled(dealt.groupBy("bucket").applyInArrow(_ties, "hot boolean, x long, y long, n int"))
+    dealt = reps.where(F.octet_length("sigs") > 0).select(F.col("rep").alias("doc_id"), "sigs").mapInArrow(kit.lean(_deal(buckets, _short(size))), "bucket int, keys binary, ids binary")
+    ties = kit.settled(dealt.groupBy("bucket").applyInArrow(kit.lean(_ties), "hot boolean, x long, y long, n int"))
     pairs, hot = ties.where("not hot").groupBy("x", "y").agg(F.sum("n").alias("n")), ties.where("hot")
     entries = reps.select(F.explode(F.array(F.struct((F.col("rep") * 2).alias("e"), F.col("least").alias("g")), F.struct((F.col("rep") * 2 + 1).alias("e"), F.col("least_up").alias("g")))).alias("x")).select("x.*").where("g > 0")
     entries = entries.groupBy("e").agg(F.min("g").alias("g"))
@@ -325,7 +334,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     spark = docs.sparkSession
     rows = kit.check_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     _, size = kit.volume(rows)
-    all_sets = kit.settled(rows.mapInArrow(_reduce(k, percent), "doc_id long, n_shingles long, f1 long, f2 long, least int, least_up int, sigs binary"))
+    all_sets = kit.settled(rows.mapInArrow(kit.lean(_reduce(k, percent, _short(size))), "doc_id long, n_shingles long, f1 long, f2 long, least int, least_up int, sigs binary"))
     same = ["f1", "f2", "n_shingles"]
     known = all_sets.where("doc_id is not null and n_shingles > 0")
     reps = kit.settled(known.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("least").alias("least"), F.first("least_up").alias("least_up"), F.first("sigs").alias("sigs")))
@@ -334,13 +343,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     blocks = may_link.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK_GRAMS).cast("int").alias("blocks")).withColumnRenamed("root", "of")
     tasks = may_link.join(blocks, F.col("root") == F.col("of")).select("node", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     groups = kit.pieces(size, TASK_BYTES, spark)
+    tasks = kit.small(kit.settled(tasks))
     texts = rows.join(tasks, rows.doc_id == tasks.node)
     texts = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     texts = texts.select(
         F.when(F.col("blocks") > 1, F.col("root")).otherwise(-1 - F.pmod(F.xxhash64("root"), F.lit(groups))).alias("task"),
         F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "root", "doc_id", "text",
     )
-    links = kit.settled(texts.groupBy("task", "i", "j").applyInArrow(_compare(k, percent), "a long, b long, whole boolean"))
+    links = kit.settled(texts.groupBy("task", "i", "j").applyInArrow(kit.lean(_compare(k, percent)), "a long, b long, whole boolean"))
     joined = links.where("whole").select(F.col("b").alias("node"), F.col("a").alias("root")).union(components(links.where("not whole")).where("node <> root"))
     out = all_sets.drop("sigs", "least", "least_up").join(reps.select(*[F.col(c).alias(f"r_{c}") for c in same], "rep"), [F.col(c) == F.col(f"r_{c}") for c in same], "left")
     out = out.join(joined, F.col("rep") == F.col("node"), "left")
@@ -351,7 +361,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents without all but the smallest id of each component (rows with a null id stay)."""
     comps = jaccard_components(docs, k, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(comps, docs["doc_id"] == comps["gone"], "left_anti")
+    return docs.join(kit.small(kit.settled(comps)), F.col("doc_id") == F.col("gone"), "left_anti")
 
 
 def op10_ngram_join(spark, sf_dir: str) -> DataFrame:

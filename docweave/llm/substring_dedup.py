@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import kit
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES, BLOCK_BYTES = 4 << 20, 8 << 20
 
 
 class _Chunk:
@@ -48,6 +48,7 @@ class _Chunk:
         new = np.r_[True, ordered[1:] != ordered[:-1]] if len(ordered) else np.zeros(0, bool)
         self.which = np.empty(len(order), np.int64)  # each phrase's number among the distinct ones
         self.which[order] = np.cumsum(new) - 1
+        del ordered
         first = order[new]  # the first place of each: its smallest id in this chunk
         self.keys, self.first_doc = grams[first], self.doc[first]
         block = kit.bucket_of(second[first], blocks)
@@ -160,7 +161,7 @@ def _kept_bytes(w: kit.Words, kept: np.ndarray, layout: bool) -> tuple[np.ndarra
         lost = ~kept
         np.add.at(step, w.starts[lost], 1)
         np.add.at(step, until[lost], -1)
-        take = np.cumsum(step[:-1]) == 0
+        take = np.cumsum(step[:-1], dtype=np.int8) == 0
     else:
         last = np.zeros(len(w), bool)  # a document's last kept word has no space after it
         where = np.flatnonzero(kept)
@@ -170,9 +171,10 @@ def _kept_bytes(w: kit.Words, kept: np.ndarray, layout: bool) -> tuple[np.ndarra
         raw[w.ends[kept & ~last]] = 0x20
         np.add.at(step, w.starts[kept], 1)
         np.add.at(step, w.ends[kept] + ~last[kept], -1)
-        take = np.cumsum(step[:-1]) > 0
-    sizes = np.r_[0, np.cumsum(take)]
-    return raw[take], sizes[w.offs]
+        take = np.cumsum(step[:-1], dtype=np.int8) > 0
+    kept_words = raw[take]
+    before = np.cumsum(take, dtype=np.int32 if len(take) < 1 << 31 else np.int64)
+    return kept_words, np.where(w.offs > 0, before[np.maximum(w.offs, 1) - 1], 0) if len(take) else w.offs
 
 
 def _result(extra: list[str], schema: pa.Schema) -> pa.Schema:
@@ -189,15 +191,15 @@ def remove_repeats(docs: DataFrame, k: int = 13, layout: bool = False, extra: tu
     """
     spark = docs.sparkSession
     _, size = kit.volume(docs)
-    chunks = kit.pieces(size, chunk_bytes, spark)
+    chunks, blocks = kit.pieces(size, chunk_bytes, spark), kit.pieces(size, BLOCK_BYTES, spark)
     rows = kit.check_columns(docs, "doc_id", "text", *extra).withColumn("doc_id", F.col("doc_id").cast("long"))
     rows = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"), *rows.columns).repartition(chunks, "chunk")
-    asks = rows.groupBy("chunk").applyInArrow(_ask(k, chunks), "block int, chunk int, keys binary, docs binary, counts binary")
-    answers = asks.groupBy("block").applyInArrow(_answer, "chunk int, block int, found binary, refs binary, codes binary")
+    asks = rows.groupBy("chunk").applyInArrow(kit.lean(_ask(k, blocks)), "block int, chunk int, keys binary, docs binary, counts binary")
+    answers = asks.groupBy("block").applyInArrow(kit.lean(_answer), "chunk int, block int, found binary, refs binary, codes binary")
     kinds = dict(rows.dtypes)
     out = "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start: long, words: long, ref: long>>" + "".join(f", `{n}` {kinds[n]}" for n in extra)
-    finish = _finish(k, chunks, layout, list(extra))
-    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, out)
+    finish = _finish(k, blocks, layout, list(extra))
+    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(kit.lean(finish), out)
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -200,9 +200,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max
     kit.bounded_batches(spark)
     rows = kit.check_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     train = _sample(rows, labels, (1, 2, 3), per_class, max_bytes)
-    pairs = train.select("toxic", "text").mapInArrow(_pairs, "toxic int, pair long, word binary").distinct()
+    pairs = train.select("toxic", "text").mapInArrow(kit.lean(_pairs), "toxic int, pair long, word binary").distinct()
     words = pairs.groupBy("word").agg(F.count_if(F.col("toxic") == 0).alias("ordinary"), F.count_if(F.col("toxic") == 1).alias("toxic"))
-    grams = words.mapInArrow(_gram_counts, "gram_order int, gram long, ordinary double, toxic double").groupBy("gram_order", "gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+    grams = words.mapInArrow(kit.lean(_gram_counts), "gram_order int, gram long, ordinary double, toxic double").groupBy("gram_order", "gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
     found = grams.toArrow()
     order, name = np.asarray(found["gram_order"]), np.asarray(found["gram"]).view(np.uint64)
     both = [np.asarray(found[c]) for c in ("ordinary", "toxic")]
@@ -213,9 +213,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max
         counts[k] = (name[own], both[0][own], both[1][own])
     model = spark.sparkContext.broadcast(Tables(counts))
     check = _sample(rows, labels, (4,), per_class, max_bytes)
-    seen = check.select("toxic", "doc_id", "text").mapInArrow(_per_word(model), "toxic int, per_word double").toArrow()
+    seen = check.select("toxic", "doc_id", "text").mapInArrow(kit.lean(_per_word(model)), "toxic int, per_word double").toArrow()
     a, b = logistic(np.asarray(seen["per_word"]), np.asarray(seen["toxic"]) == 1)
-    return rows.mapInArrow(_score(model, a, b), "doc_id long, held_out boolean, score double, predicted int, per_word double")
+    return rows.mapInArrow(kit.lean(_score(model, a, b)), "doc_id long, held_out boolean, score double, predicted int, per_word double")
 
 
 def _per_word(model):

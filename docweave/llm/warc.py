@@ -77,7 +77,7 @@ def write_warc(pages: DataFrame, path: str, least: int = LEAST) -> None:
     joined = rows.join(alike, rows.digest == alike.same, "left")
     name = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
     first = F.when(F.col("n").isNotNull(), F.coalesce(F.col("first").cast("string"), F.lit("null")))
-    values = joined.select(name.alias("page"), first.alias("first"), "url", "digest", "payload").mapInArrow(_members, "value binary")
+    values = joined.select(name.alias("page"), first.alias("first"), "url", "digest", "payload").mapInArrow(kit.lean(_members), "value binary")
     values.select(F.col("value").cast("string")).write.option("lineSep", "\u0000").option("compression", "none").text(path)
     files, where = _file_system(spark, path)
     for k, found in enumerate(sorted((f.getPath() for f in files.listStatus(where) if f.getPath().getName().startswith("part-")), key=lambda p: p.getName())):
@@ -208,10 +208,10 @@ def read_warc(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, pa
         for uri, _ in found[:1]:
             _File(uri)
     except (OSError, ValueError, pa.ArrowInvalid, pa.ArrowNotImplementedError):
-        return spark.read.format("binaryFile").load([uri for uri, _ in found]).select("path", "content").mapInArrow(wholes, _RECORDS_DDL)
+        return spark.read.format("binaryFile").load([uri for uri, _ in found]).select("path", "content").mapInArrow(kit.lean(wholes), _RECORDS_DDL)
     splits = [(uri, start, min(start + split_bytes, size)) for uri, size in found for start in range(0, size, split_bytes)]
     table = spark.createDataFrame(splits, "path string, start long, end long").repartition(max(1, len(splits)))
-    return table.mapInArrow(ranges, _RECORDS_DDL)
+    return table.mapInArrow(kit.lean(ranges), _RECORDS_DDL)
 
 
 def op5_warc(spark, sf_dir: str) -> DataFrame:
