@@ -19,7 +19,8 @@ hold equal segments.  The join therefore
 5. takes the components of those links: at once where one task held a whole component, over all tasks else.
 
 With m segments that are not empty a document shares m - D of them at least with every partner.  Where that is not
-above 0, its empty segments sign too, and it shares as many as there are fragments beyond D.  No pair is lost.
+above 0, its empty segments sign too, and it shares 1 at least: a partner with m above D signs no empty segments but
+shares m - D, any other shares as many as there are fragments beyond D.  No pair is lost.
 
 Defined results: without words or text a document has an empty set and links with nothing; with fewer than k
 words the whole sequence is its one n-gram; rows with the same id are one node; a row with a null id links with
@@ -101,7 +102,7 @@ def signatures(sets: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarr
         name = (c[doc[head]].astype(np.uint64) << np.uint64(44)) + frag[head]
         found.append((doc[head], kit.mix(total[start + length] - total[start] + kit.mix(name + np.uint64(1))), np.full(len(head), up)))
         segments = np.bincount(doc[head], minlength=len(size))
-        least[docs, up] = np.where(segments[docs] > most[c[docs]], segments[docs] - most[c[docs]], fragments[c[docs]] - most[c[docs]])
+        least[docs, up] = np.maximum(segments[docs] - most[c[docs]], 1)
         for d in docs[segments[docs] <= most[c[docs]]]:
             empty = np.setdiff1d(np.arange(fragments[c[d]]), frag[doc == d].astype(np.int64))
             found.append((np.full(len(empty), d), kit.mix(kit.mix((np.uint64(c[d]) << np.uint64(44)) + empty.astype(np.uint64) + np.uint64(1)) ^ np.uint64(0xE7)), np.full(len(empty), up)))

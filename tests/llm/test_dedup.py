@@ -73,6 +73,37 @@ def test_linked_sets_share_a_signature(seed, percent):
     assert max(shared) >= 0 and min(least[least > 0]) > 0
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10_000), st.sampled_from([50, 80, 90]))
+def test_each_of_two_linked_sets_shares_its_least(seed, percent):
+    """What lets a document leave large groups, for small sets with most n-grams in one fragment too."""
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(1, 40))
+    top = np.where(rng.random(n + 9) < 0.8, 0, rng.integers(0, 2**16, n + 9)).astype(np.uint64) << np.uint64(47)
+    drawn = np.unique(rng.integers(0, 2**47, n + 9).astype(np.uint64) | top)
+    for gone in range(1, 9):
+        a, b = drawn[:-gone], drawn
+        if gone >= len(drawn) or 100 * len(a) < percent * len(b):
+            break
+        sig, up, at, least = ngram_join.signatures(np.r_[a, b], np.array([0, len(a), len(a) + len(b)]), percent)
+        shared = [len(np.intersect1d(sig[: at[1]][up[: at[1]] == u], sig[at[1] :][up[at[1] :] == v])) - max(least[0, u], least[1, v]) for u in (0, 1) for v in (0, 1) if least[0, u] and least[1, v]]
+        assert max(shared) >= 0
+
+
+def test_short_hub_of_many_variants(spark):
+    """A set whose n-grams fall into one segment links more variants than a small group has, which have more segments."""
+    names = [f"w{i}" for i in range(400)]
+    sets = [ngram_join.shingle_sets(kit.Words(np.frombuffer(n.encode(), np.uint8), np.array([0, len(n)])), 1)[0][0] for n in names]
+    assert ngram_join._classes(80)[2][0] == 4
+    first = [n for n, s in zip(names, sets, strict=True) if int(s) >> 62 == 0]
+    other = [n for n, s in zip(names, sets, strict=True) if int(s) >> 62 != 0]
+    hub = " ".join(first[:4])
+    rows = [(0, hub), *[(i + 1, f"{hub} {other[i]}") for i in range(3 * ngram_join.SMALL)]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["component_id"] for r in ngram_join.jaccard_components(df, 1, 80).collect()} == {0}
+    assert brute.components(rows, 1, 80) == Counter((i, 4 + (i > 0), 0) for i, _ in rows)
+
+
 def test_near_duplicates_keep_one(spark):
     text = " ".join(f"w{i}" for i in range(200))
     rows = [(5, text), (3, text + " end"), (8, text), (9, "something else entirely"), (None, text)]
