@@ -149,6 +149,21 @@ def test_quality(spark, odd, empty):
     assert quality.perplexities(empty, labels).count() == 0
 
 
+def test_quality_thresholds_use_all_trusted_rows(spark):
+    """A language that the training sample hardly has gets its own mean and threshold, from all rows but the sample's."""
+    rng = np.random.default_rng(6)
+    words = {"en": ["an", "er", "th", "on", "ing"], "fi": ["aa", "kk", "yy", "uo", "nen"]}
+    rows = [(i, " ".join(rng.choice(words["fi" if i % 10 == 0 else "en"], 60)), "fi" if i % 10 == 0 else "en") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 50 != 3), 0) for i in range(1000)], "doc_id long, quality int, toxic int")
+    got = quality.perplexities(docs, labels, sample_rows=50, keep=0.9).collect()
+    limit = {r["lang"]: r["threshold"] for r in got}
+    assert len({(r["lang"], r["threshold"]) for r in got}) == 2 and limit["fi"] != limit["en"]
+    for lang in words:
+        share = np.mean([r["kept"] for r in got if r["lang"] == lang and r["doc_id"] % 50 != 3])
+        assert 0.85 <= share <= 0.95
+
+
 def targets_by_hand(sizes):
     order = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
     weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
