@@ -187,8 +187,8 @@ def _sample(docs: DataFrame, labels: DataFrame, rests: tuple[int, ...], per_clas
     sizes = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).join(F.broadcast(chosen), "doc_id").collect()
     left, ids = {0: max_bytes * 2 // 3, 1: max_bytes // 3}, []
     for row in sorted(sizes, key=lambda r: (r["rank"], r["doc_id"])):
-        left[row["toxic"]] -= row["size"]
-        if left[row["toxic"]] >= 0:
+        if row["size"] <= left[row["toxic"]]:
+            left[row["toxic"]] -= row["size"]
             ids.append((row["doc_id"], row["toxic"]))
     chosen = spark.createDataFrame(sorted(set(ids)), "doc_id long, toxic int")
     return docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")

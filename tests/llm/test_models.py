@@ -105,6 +105,13 @@ def test_toxicity_is_found_in_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got)
 
 
+def test_a_text_that_does_not_fit_leaves_room_for_others(spark):
+    docs = spark.createDataFrame([(i, "x" * (5000 if i % 2 else 10)) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, int(i % 4 < 2)) for i in range(40)], "doc_id long, quality int, toxic int")
+    got = toxicity._sample(docs, labels, (0, 1, 2, 3, 4), 100, 3000).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(0, 40, 2))
+
+
 def test_held_out_labels_do_not_matter(spark):
     from pyspark.sql import functions as F
 
