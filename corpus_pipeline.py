@@ -40,11 +40,12 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, number of tokens and ids of each row of the mix."""
+    """doc_id, number of tokens, ids and SHA-256 of the bytes that the ids decode to, of each row of the mix."""
     import public_tokenizers
 
     vocabulary = bpe.vocabulary_of(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return bpe.encode(docs, vocabulary, block_bytes=BLOCK_BYTES).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    decoded = bpe.decode(bpe.encode(docs, vocabulary, block_bytes=BLOCK_BYTES), vocabulary)
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
@@ -52,7 +53,7 @@ STAGES = [
     ("n-gram Jaccard join", near_duplicates),
     ("substring dedup", repeated_passages),
     ("mixing sources to target weights", source_mix),
-    ("byte-level BPE encoding", tokens),
+    ("byte-level BPE encoding and decoding", tokens),
 ]
 
 #: SQL can't express the stages; tests hold run() against a brute-force version.

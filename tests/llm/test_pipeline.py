@@ -1,4 +1,5 @@
 from collections import Counter
+from hashlib import sha256
 
 import pytest
 
@@ -36,6 +37,11 @@ def test_stages(spark, sf_dir):
     assert Counter(r["doc_id"] for r in after) == times and all(len(r["ids"]) == r["n_tokens"] for r in after)
 
 
+def test_last_stage_decodes(spark, odd, odd_rows, sf_dir):
+    got = corpus_pipeline.STAGES[-1][1](spark, odd, sf_dir).collect()
+    assert Counter((r["doc_id"], r["decoded_sha256"]) for r in got) == Counter((r[0], sha256((r[1] or "").encode()).hexdigest()) for r in odd_rows)
+
+
 def test_stages_take_odd_rows(spark, odd, empty, sf_dir):
     for table in (odd, empty):
         docs = table
