@@ -764,9 +764,9 @@ def _backend(name: str, **options):
     return run
 
 
-QUERIES["rf_backend"] = _backend("random_forest", trees=30)
-QUERIES["mlp_backend"] = _backend("mlp", epochs=40)
-QUERIES["extra_trees_backend"] = _backend("extra_trees", trees=40)
+QUERIES["rf_backend"] = _backend("random_forest")
+QUERIES["mlp_backend"] = _backend("mlp")
+QUERIES["extra_trees_backend"] = _backend("extra_trees")
 
 
 @query(f"{WITH} SELECT node_path, count(*) AS n FROM papers GROUP BY node_path")
