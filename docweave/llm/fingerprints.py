@@ -81,7 +81,7 @@ def _next_level(symbol: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
     wide = base.astype(np.uint64)
     long = run > 1
     if long.any() or symbol.dtype != np.uint8:
-        wide = np.where(long, kit.mix(wide * np.uint64(kit.BASE) + run.astype(np.uint64)), wide)
+        wide = np.where(long, kit.mix(kit.mix(wide + np.uint64(0x2D)) + run.astype(np.uint64)), wide)
         plain = not long.any() and symbol.dtype == np.uint8
     else:
         plain = True
@@ -93,9 +93,8 @@ def _next_level(symbol: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
     peak[1:-1] |= (label[1:-1] > label[:-2]) & (label[1:-1] >= label[2:]) & ~first[1:-1] & ~first[:-2] & ~last[1:-1]
     begin = np.flatnonzero(peak)
     length = np.diff(np.r_[begin, len(wide)])
-    up, down = kit.powers(kit.GRAM_BASE, int(length.max(initial=1)) + 1)
     step = np.arange(len(wide)) - np.repeat(begin, length)
-    total = np.r_[np.uint64(0), np.cumsum(kit.mix(wide + np.uint64(0x51)) * up[step])]
+    total = np.r_[np.uint64(0), np.cumsum(kit.mix(kit.mix(wide + np.uint64(0x51)) ^ (np.uint64(kit.SECOND_BASE) * step.astype(np.uint64))))]
     name = kit.mix(total[begin + length] - total[begin] + length.astype(np.uint64))
     new_at = np.searchsorted(begin, np.searchsorted(where, at))
     return name, new_at

@@ -26,19 +26,7 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 
-BASE, GRAM_BASE, SECOND_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xA24BAED4963EE407
-
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2^64, and of its inverse."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = 1 << max(12, (n - 1).bit_length())
-        have = tuple(np.multiply.accumulate(np.r_[np.uint64(1), np.full(size - 1, b, np.uint64)]) for b in (base, pow(base, -1, 1 << 64)))
-        _powers[base] = have
-    return have
+GRAM_BASE, SECOND_BASE = 0xD1342543DE82EF95, 0xA24BAED4963EE407
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -113,43 +101,81 @@ class Words:
         return np.repeat(np.arange(len(self.at) - 1), np.diff(self.at))
 
     def hashes(self, fold: bool = False) -> np.ndarray:
-        """64-bit hashes of the words; fold: with A-Z in lower case."""
+        """64-bit hashes of the words; fold: with A-Z in lower case.
+
+        Each eight bytes of a word are mixed with their place before they are added up.  (A polynomial modulo 2^64 would
+        give equal hashes to regular words, as those of Thue and Morse, whatever its base.)
+        """
         out = np.empty(len(self), np.uint64)
         i = 0
         while i < len(out):
             j = max(i + 1, int(np.searchsorted(self.ends, self.starts[i] + SLICE, "right")))
             lo, hi = int(self.starts[i]), int(self.ends[j - 1])
-            if hi - lo > 2 * SLICE:  # one huge word
-                import hashlib
-
-                part = self.raw[lo:hi]
-                out[i] = int.from_bytes(hashlib.blake2b((FOLD[part] if fold else part).tobytes(), digest_size=8).digest(), "little")
-            else:
-                part = self.raw[lo:hi]
-                up, down = powers(BASE, hi - lo + 1)
-                total = np.empty(hi - lo + 1, np.uint64)
-                total[0] = 0
-                np.cumsum(((FOLD[part] if fold else part).astype(np.uint64) + np.uint64(1)) * up[: hi - lo], out=total[1:])
-                a, b = self.starts[i:j] - lo, self.ends[i:j] - lo
-                out[i:j] = mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
+            out[i:j] = _piece_sums(self.raw[lo:hi], self.starts[i:j] - lo, self.ends[i:j] - lo, fold)
             i = j
         return out
 
 
+#: Masks of the lowest 0 to 8 bytes.
+LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def _piece_sums(part: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool) -> np.ndarray:
+    padded = np.zeros(len(part) + 8, np.uint8)
+    padded[: len(part)] = FOLD[part] if fold else part
+    eight = np.ndarray(len(part) + 1, "<u8", padded, strides=(1,))  # the bytes from each place on
+    size = ends - starts
+    out = mix((eight[starts] & LOW_BYTES[np.minimum(size, 8)]) + np.uint64(GRAM_BASE) * size.astype(np.uint64))
+    long = np.flatnonzero(size > 8)
+    for step in range(0, len(long), 1 << 16):  # a single word may be huge: its pieces are taken by parts
+        own = long[step : step + (1 << 16)]
+        more = (size[own] - 1) >> 3
+        if more.max() > 1 << 16:
+            for w in own.tolist():
+                for at in range(8, int(size[w]), SLICE):
+                    where = np.arange(at, min(at + SLICE, int(size[w])), 8)
+                    out[w : w + 1] += _pieces(eight, starts[w] + where, size[w] - where, where >> 3).sum(dtype=np.uint64, keepdims=True)
+            continue
+        begin = np.cumsum(more) - more
+        number = np.arange(more.sum()) - np.repeat(begin, more) + 1
+        where = np.repeat(starts[own], more) + 8 * number
+        out[own] += np.add.reduceat(_pieces(eight, where, np.repeat(ends[own], more) - where, number), begin)
+    return mix(out)
+
+
+def _pieces(eight: np.ndarray, where: np.ndarray, left: np.ndarray, number: np.ndarray) -> np.ndarray:
+    return mix((eight[where] & LOW_BYTES[np.minimum(left, 8)]) ^ (np.uint64(SECOND_BASE) * number.astype(np.uint64)))
+
+
+def _joined(x: np.ndarray, y: np.ndarray, base: int) -> np.ndarray:
+    """Hashes of x followed by y; the shift keeps the whole from being a polynomial modulo 2^64."""
+    out = x >> np.uint64(29)
+    out ^= x
+    out *= np.uint64(base)
+    out += y
+    return out
+
+
 def gram_hashes(word: np.ndarray, k: int, base: int = GRAM_BASE) -> np.ndarray:
-    """Hash of the k words from each position on; positions without k words are left out at the end."""
+    """Hash of the k words from each position on, by doubling; positions without k words are left out at the end."""
     n = len(word) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out, step = np.empty(n, np.uint64), 1 << 20
+    out, step = np.empty(n, np.uint64), 1 << 19
     for i in range(0, n, step):
-        part = word[i : i + step + k - 1]
-        up, down = powers(base, len(part) + 1)
-        total = np.empty(len(part) + 1, np.uint64)
-        total[0] = 0
-        np.cumsum(part * up[: len(part)], out=total[1:])
-        m = len(part) - k + 1
-        out[i : i + m] = mix((total[k:] - total[:-k]) * down[:m] + np.uint64(k))
+        power, span = word[i : i + step + k - 1], 1  # hashes of `span` words, doubled in turn
+        m = len(power) - k + 1
+        whole, done = None, 0
+        while True:
+            if k & span:  # the words of this power of two come after those that are done
+                own = power[done : done + m]
+                whole = own.copy() if whole is None else _joined(whole, own, base)
+                done += span
+            span *= 2
+            if span > k:
+                break
+            power = _joined(power[: len(power) - span // 2], power[span // 2 :], base)
+        out[i : i + m] = mix(whole + np.uint64(k))
     return out
 
 
@@ -159,13 +185,6 @@ def inside(at: np.ndarray, k: int) -> np.ndarray:
     return np.repeat(at[:-1] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
 
 
-def crc_mod(ids: np.ndarray, by: int) -> np.ndarray:
-    """crc32 of each id as decimal text, modulo by."""
-    import zlib
-
-    return np.fromiter((zlib.crc32(b"%d" % i) % by for i in ids.tolist()), np.int64, len(ids))
-
-
 def long_ids(column) -> np.ndarray:
     """Ids as 64-bit numbers, NO_ID for null."""
     if isinstance(column, pa.ChunkedArray):
@@ -249,6 +268,53 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(widen(blob), dtype=np.uint64)
 
 
+def blocks(batches, limit: int, column: str = "text", rows: int = 1 << 16):
+    """Tables of the rows as they come, each closed by the row that brings it to so many bytes of text or so many rows;
+    where a batch ends makes no difference."""
+    held, size, count = [], 0, 0
+    for batch in batches:
+        _, offs = flat(batch[column])
+        i, n = 0, batch.num_rows
+        while i < n:
+            j = int(np.searchsorted(offs, offs[i] + limit - size, "left"))
+            j = min(max(j, i + 1), i + rows - count, n)
+            held.append(batch.slice(i, j - i))
+            size, count, i = size + int(offs[j] - offs[i]), count + j - i, j
+            if size >= limit or count >= rows:
+                yield pa.Table.from_batches(held)
+                held, size, count = [], 0, 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def frozen(table: pa.Table) -> bytes:
+    """A table as one entropy-coded value."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table.combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
+def thawed(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(blob).read_all()
+
+
+def name_of(table: pa.Table, *place: int) -> int:
+    """A number for a table's contents and place; equal ones get equal numbers, however they are laid out in memory."""
+    from hashlib import blake2b
+
+    seen = blake2b(repr(place).encode(), digest_size=8)
+    for column in table.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            raw, offs = flat(column)
+            seen.update(np.ascontiguousarray(raw))
+            seen.update(offs)
+            seen.update(np.packbits(np.asarray(pc.is_null(column.combine_chunks()))))
+        else:
+            seen.update(long_ids(column))
+    return int.from_bytes(seen.digest(), "little", signed=True)
+
+
 #: Bytes of an Arrow batch between the JVM and Python: long texts make small batches.
 BATCH_BYTES = 4 << 20
 
