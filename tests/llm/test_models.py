@@ -128,13 +128,69 @@ def test_toxicity_of_odd_rows(spark, odd, empty):
     assert toxicity.toxicity(empty, labels).count() == 0
 
 
-def test_kneser_ney_tables_sum_to_one(spark):
-    """Of each context the probabilities of all symbols, known or not, sum to one."""
-    counts = spark.createDataFrame([(int(g), int(c)) for g, c in zip(*np.unique(np.random.default_rng(0).integers(0, 64**4, 3000), return_counts=True), strict=True)], "gram long, c long")
-    known, back = quality._probabilities(counts)
-    model = quality.Model([quality._collected(t) for t in known], [quality._collected(t) for t in back])
-    p = np.exp(model.table().astype(float)).reshape(-1, 64).sum(1)
-    assert np.allclose(p, 1, atol=1e-3)
+def kneser_ney(texts, order=5):
+    """p(byte | context) by interpolated modified Kneser-Ney, from dictionaries."""
+    top = Counter()
+    for t in texts:
+        data = b"\xff" * (order - 1) + (t or "").encode() + b"\xff"
+        top.update(data[p - order + 1 : p + 1] for p in range(order - 1, len(data)))
+    counts = {order: top}
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    cuts, total, back = {}, {}, {}
+    for n, c in counts.items():
+        of = [sum(v == k for v in c.values()) for k in (1, 2, 3, 4)]
+        cut = (0.5, 0.75, 1.0)
+        if min(of) >= 5:
+            y = of[0] / (of[0] + 2 * of[1])
+            cut = tuple(min(max(k - (k + 1) * y * of[k] / of[k - 1], 0.1 * k), 0.95 * k) for k in (1, 2, 3))
+        for g, v in c.items():
+            cuts[g] = cut[min(v, 3) - 1]
+            total[g[:-1]] = total.get(g[:-1], 0) + v
+            back[g[:-1]] = back.get(g[:-1], 0) + cuts[g]
+
+    def p(gram):
+        if not gram:
+            return 1 / 256
+        below = p(gram[1:])
+        if gram[:-1] not in total:
+            return below
+        c = counts[len(gram)][gram]
+        return ((c - cuts[gram] if c else 0) + back[gram[:-1]] * below) / total[gram[:-1]]
+
+    return p
+
+
+def test_perplexity_is_that_of_a_plain_model(spark):
+    rng = np.random.default_rng(3)
+    words = [["an", "er", "the", "on", "ing", "é", "!"], ["да", "нет", "слово", "мир"], ["中文", "字", "本"]]
+    texts = [" ".join(rng.choice(words[i % 3], 30)) for i in range(60)] + ["", None, " \n", "new wörds 字 да", "x" * 3000]
+    train = texts[:40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    model = spark.createDataFrame([(t,) for t in train], "text string")
+    got = {r["doc_id"]: r for r in quality.scored(docs, model, keep=["doc_id"], block_bytes=700).collect()}
+    p = kneser_ney(train)
+    for i, t in enumerate(texts):
+        if not (t or "").strip():
+            assert got[i]["log_p"] is None
+            continue
+        data = b"\xff" * 4 + t.encode() + b"\xff"
+        assert got[i]["n_symbols"] == len(data) - 4
+        assert got[i]["log_p"] == pytest.approx(sum(math.log(p(data[k - 4 : k + 1])) for k in range(4, len(data))), rel=1e-4)
+    assert sum(p(b"wor" + bytes([x])) for x in range(256)) == pytest.approx(1)
+
+
+def test_blocks_that_differ_between_scans_end_the_job(spark):
+    import pyarrow as pa
+
+    finish = quality._finish("text", ["text"])
+    from docweave.llm import kit
+
+    block = pa.table({"block": [1], "rows": [kit.frozen(pa.table({"text": ["some text"]}))]})
+    with pytest.raises(RuntimeError):
+        finish(block, quality._ANSWER.empty_table())
+    with pytest.raises(RuntimeError):
+        finish(block.slice(0, 0), pa.Table.from_pylist([{"block": 1, "shard": 0, "logs": b""}], schema=quality._ANSWER))
 
 
 def test_quality(spark, odd, empty):
