@@ -1,17 +1,20 @@
 """Toxicity scores from class-conditional Kneser-Ney models.
 
-Toxic and ordinary text each have an interpolated Kneser-Ney model of the bytes of words (n-grams within a word
-and the space around it, A-Z in lower case), so that inflected and compounded expressions are known by their
-stems.  A word counts once for each different word before it in its class, as in a Kneser-Ney lower order: copies
-of a document add nothing.  Both models back off to shared counts of the lowest order, which smooth what is rare.
-A document's score is a logistic function of the difference of the two log-likelihoods per word.
+Toxic and ordinary text each have an interpolated Kneser-Ney model of order 5 over the bytes of running words (one space
+between them, A-Z in lower case): within a word an n-gram knows inflected and compounded expressions by their stems, and
+at its beginning it reaches back into the word before, as expressions of several words do.  The highest order counts in
+how many different pairs of neighbouring words an n-gram occurs in a class, so copies of a document add nothing; every
+lower order counts the different bytes before it.  Both models back off to counts of the lowest order that they share,
+which smooth what is rare.  A document's score is a logistic function of the difference of the two log-likelihoods per
+word.
 
 Training uses a bounded sample of labelled documents (`per_class` rows and `max_bytes` of text), chosen by a hash of
 the id among those whose crc32(doc_id) modulo 5 is 1, 2 or 3; those with remainder 4 set the logistic function;
 those with remainder 0 are held out.  The models' size is bounded by that sample, so they are broadcast; every
 whole text is scored, by table look-ups.
 
-Defined results: a null or empty text has a difference of 0; a null id is not held out unless the crc32 of an empty
+Defined results: a null, empty or blank text has a difference of 0; rows with equal ids or texts are scored each for
+itself, and a labelled id trains with all its rows; extra columns are ignored; a null id is not held out unless the crc32 of an empty
 string says so; of several labels of one id the largest holds; without labels of both kinds all scores are equal.
 """
 
@@ -32,17 +35,8 @@ ORDER, DISCOUNT, PER_CLASS, ORDINARY_TIMES, MAX_BYTES = 5, 0.9, 4000, 2, 96 << 2
 FOLDS = 5
 
 
-def _spelled(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words between spaces: the bytes, the places that are predicted (each byte and the space after it), their word."""
-    size = ends - starts
-    room = size + ORDER
-    begin = np.r_[0, np.cumsum(room)]
-    spelled = np.full(begin[-1] + 1, 0x20, np.uint8)
-    step = np.arange(size.sum()) - np.repeat(np.r_[0, np.cumsum(size)[:-1]], size)
-    spelled[np.repeat(begin[:-1] + ORDER - 1, size) + step] = kit.FOLD[raw[np.repeat(starts, size) + step]]
-    n = size + 1
-    word = np.repeat(np.arange(len(size)), n)
-    return spelled, np.repeat(begin[:-1] + ORDER - 1, n) + np.arange(n.sum()) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n), word
+#: Bytes of a word that are spelled with the end of the word before it.
+HEAD = ORDER - 1
 
 
 def _grams(spelled: np.ndarray, where: np.ndarray, order: int) -> np.ndarray:
@@ -52,8 +46,48 @@ def _grams(spelled: np.ndarray, where: np.ndarray, order: int) -> np.ndarray:
     return out
 
 
+def _heads(part: np.ndarray, w: kit.Words) -> np.ndarray:
+    """Of each word the last bytes of the word before it, a space and its first bytes, as a big-endian number."""
+    size = w.ends - w.starts
+    folded = np.full(len(part) + 16, 0x20, np.uint8)
+    folded[8:-8] = kit.FOLD[part]
+    eight = np.ndarray(len(part) + 9, ">u8", folded, strides=(1,))
+    tail = _spaced(eight[w.ends].astype(np.uint64) & np.uint64(0xFFFFFF), kit.LOW_BYTES[np.minimum(size, 3)], 3)
+    begin = _spaced(eight[w.starts + 8].astype(np.uint64) >> np.uint64(32), ~kit.LOW_BYTES[HEAD - np.minimum(size, HEAD)], HEAD)
+    before = np.full(len(size), 0x202020, np.uint64)
+    before[1:] = tail[:-1]
+    before[w.at[:-1][np.diff(w.at) > 0]] = 0x202020
+    return (before << np.uint64(40)) | np.uint64(0x20 << 32) | begin
+
+
+def _spaced(x: np.ndarray, keep: np.ndarray, n: int) -> np.ndarray:
+    return (x & keep) | (np.uint64(int.from_bytes(b" " * n)) & ~keep)
+
+
+def _head_places(head: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of heads, the places that are predicted (up to HEAD bytes, or a short word and the space after it), their head."""
+    spelled = head.astype(">u8").view(np.uint8)
+    rows = spelled.reshape(-1, 8)[:, HEAD:]
+    asked = np.ones(rows.shape, bool)
+    asked[:, 1:] = np.cumsum(rows == 0x20, 1)[:, :-1] == 0
+    which, step = np.nonzero(asked)
+    return spelled, which * 8 + HEAD + step, which
+
+
+def _rest_places(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of words with a space after each, the places that are predicted (all beyond a word's head), their word."""
+    size = ends - starts
+    begin = np.r_[0, np.cumsum(size + 1)]
+    spelled = np.full(begin[-1], 0x20, np.uint8)
+    step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    spelled[np.repeat(begin[:-1], size) + step] = kit.FOLD[raw[np.repeat(starts, size) + step]]
+    n = np.maximum(size + 1 - HEAD, 0)
+    word = np.repeat(np.arange(len(size)), n)
+    return spelled, np.repeat(begin[:-1] + HEAD, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), word
+
+
 def _pairs(batches):
-    """(class, hash of the word and the one before it, word) of training texts."""
+    """(class, hash of the word and the one before it, head, word) of training texts."""
     for batch in batches:
         label = np.asarray(batch["toxic"])
         raw, offs = kit.flat(batch["text"])
@@ -69,31 +103,38 @@ def _pairs(batches):
             size = (w.ends - w.starts)[first]
             at = np.r_[0, np.cumsum(size)]
             text = kit.FOLD[part[np.repeat(w.starts[first], size) + np.arange(at[-1]) - np.repeat(at[:-1], size)]]
-            yield pa.record_batch([pa.array(toxic[first].astype(np.int32)), pa.array(pair[first].view(np.int64)), kit.text_column(text, at, pa.binary())], names=["toxic", "pair", "word"])
+            yield pa.record_batch([pa.array(toxic[first].astype(np.int32)), pa.array(pair[first].view(np.int64)), pa.array(_heads(part, w)[first].view(np.int64)), kit.text_column(text, at, pa.binary())], names=["toxic", "pair", "head", "word"])
 
 
 def _gram_counts(batches):
-    """(order, n-gram, count of either class) of weighted words."""
+    """(n-gram of the highest order, count of either class) of weighted heads or words."""
     for batch in batches:
-        raw, offs = kit.flat(batch["word"])
+        if "head" in batch.schema.names:
+            places = _head_places(np.asarray(batch["head"]).view(np.uint64))
+        else:
+            raw, offs = kit.flat(batch["word"])
+            places = _rest_places(raw, offs[:-1], offs[1:])
+        spelled, where, which = places
         weight = [np.asarray(batch[c]).astype(float) for c in ("ordinary", "toxic")]
-        spelled, where, word = _spelled(raw, offs[:-1], offs[1:])
-        for order in range(1, ORDER + 1):
-            name, which = np.unique(_grams(spelled, where, order), return_inverse=True)
-            sums = [pa.array(np.bincount(which, w[word], len(name))) for w in weight]
-            yield pa.record_batch([pa.array(np.full(len(name), order, np.int32)), pa.array(name.view(np.int64)), *sums], names=["gram_order", "gram", "ordinary", "toxic"])
+        name, number = np.unique(_grams(spelled, where, ORDER), return_inverse=True)
+        yield pa.record_batch([pa.array(name.view(np.int64)), *(pa.array(np.bincount(number, w[which], len(name))) for w in weight)], names=["gram", "ordinary", "toxic"])
 
 
 class Tables:
     """Log-likelihood differences (toxic less ordinary) of known n-grams of each order, and of backing off from contexts."""
 
-    def __init__(self, counts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        """counts: for each order the n-grams in ascending order and their counts in ordinary and toxic text."""
+    def __init__(self, name: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray):
+        """The n-grams of the highest order, ascending, and their counts in ordinary and toxic text."""
+        counts = {ORDER: (name, ordinary, toxic)}
+        for order in range(ORDER - 1, 0, -1):  # lower orders count the different bytes before, in each class
+            name, *both = counts[order + 1]
+            short, which = np.unique(name & np.uint64((1 << 8 * order) - 1), return_inverse=True)
+            counts[order] = (short, *(np.bincount(which, c > 0, len(short)) for c in both))
         self.known, self.back = {}, {}
-        name, *both = counts[1]
+        lower, *both = counts[1]
         shared = both[0] + both[1]
         low = (shared + 0.5) / (shared.sum() + 128)
-        lower, p = name, [low, low]
+        p = [low, low]
         for order in range(2, ORDER + 1):
             name, *both = counts[order]
             context, which = np.unique(name >> np.uint64(8), return_inverse=True)
@@ -127,19 +168,31 @@ class Tables:
         return out
 
 
+def _values(tables: Tables, places: tuple[np.ndarray, np.ndarray, np.ndarray], n: int) -> np.ndarray:
+    spelled, where, which = places
+    return np.bincount(which, tables.differences(spelled, where), n)
+
+
 def difference_per_word(raw: np.ndarray, offs: np.ndarray, tables: Tables) -> np.ndarray:
     """Difference of the log-likelihoods per word of each text; 0 without words."""
     out = np.zeros(len(offs) - 1)
-    for i, j in kit.slices(offs, 4 * kit.SLICE):
+    for i, j in kit.slices(offs, 2 * kit.SLICE):
         part = raw[offs[i] : offs[j]]
         w = kit.Words(part, offs[i : j + 1] - offs[i])
+        value = np.zeros(len(w))
+        head, which = np.unique(_heads(part, w), return_inverse=True)
+        own = np.zeros(len(head))
+        for a in range(0, len(head), 1 << 16):
+            some = head[a : a + (1 << 16)]
+            own[a : a + len(some)] = _values(tables, _head_places(some), len(some))
+        value += own[which]
         _, first, which = np.unique(w.hashes(fold=True), return_index=True, return_inverse=True)
-        value = np.zeros(len(first))
+        own = np.zeros(len(first))
         for a in range(0, len(first), 1 << 16):
-            own = first[a : a + (1 << 16)]
-            spelled, where, word = _spelled(part, w.starts[own], w.ends[own])
-            value[a : a + len(own)] = np.bincount(word, tables.differences(spelled, where), len(own))
-        sums = np.r_[0, np.cumsum(value[which])]
+            some = first[a : a + (1 << 16)]
+            own[a : a + len(some)] = _values(tables, _rest_places(part, w.starts[some], w.ends[some]), len(some))
+        value += own[which]
+        sums = np.r_[0, np.cumsum(value)]
         out[i:j] = (sums[w.at[1:]] - sums[w.at[:-1]]) / np.maximum(np.diff(w.at), 1)
     return out
 
@@ -194,24 +247,27 @@ def _sample(docs: DataFrame, labels: DataFrame, rests: tuple[int, ...], per_clas
     return docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
 
 
+def trained(train: DataFrame) -> Tables:
+    """The models of a bounded sample: toxic (0 or 1) and text."""
+    pairs = kit.settled(train.select("toxic", "text").mapInArrow(kit.lean(_pairs), "toxic int, pair long, head long, word binary").dropDuplicates(["toxic", "pair"]))
+    sums = [F.count_if(F.col("toxic") == 0).alias("ordinary"), F.count_if(F.col("toxic") == 1).alias("toxic")]
+    grams = None
+    for unit in ("head", "word"):
+        own = pairs.groupBy(unit).agg(*sums).mapInArrow(kit.lean(_gram_counts), "gram long, ordinary double, toxic double")
+        grams = own if grams is None else grams.union(own)
+    found = grams.groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")).toArrow()
+    name = np.asarray(found["gram"]).astype(np.int64).view(np.uint64)
+    order = np.argsort(name)
+    return Tables(name[order], *(np.asarray(found[c]).astype(float)[order] for c in ("ordinary", "toxic")))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """doc_id, held_out, score, predicted and the difference of log-likelihoods per word, for each row of docs."""
     spark = docs.sparkSession
     kit.bounded_batches(spark)
     rows = kit.check_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     train = _sample(rows, labels, (1, 2, 3), per_class, max_bytes)
-    pairs = train.select("toxic", "text").mapInArrow(kit.lean(_pairs), "toxic int, pair long, word binary").distinct()
-    words = pairs.groupBy("word").agg(F.count_if(F.col("toxic") == 0).alias("ordinary"), F.count_if(F.col("toxic") == 1).alias("toxic"))
-    grams = words.mapInArrow(kit.lean(_gram_counts), "gram_order int, gram long, ordinary double, toxic double").groupBy("gram_order", "gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-    found = grams.toArrow()
-    order, name = np.asarray(found["gram_order"]), np.asarray(found["gram"]).view(np.uint64)
-    both = [np.asarray(found[c]) for c in ("ordinary", "toxic")]
-    counts = {}
-    for k in range(1, ORDER + 1):
-        own = np.flatnonzero(order == k)
-        own = own[np.argsort(name[own])]
-        counts[k] = (name[own], both[0][own], both[1][own])
-    model = spark.sparkContext.broadcast(Tables(counts))
+    model = spark.sparkContext.broadcast(trained(train))
     check = _sample(rows, labels, (4,), per_class, max_bytes)
     seen = check.select("toxic", "doc_id", "text").mapInArrow(kit.lean(_per_word(model)), "toxic int, per_word double").toArrow()
     a, b = logistic(np.asarray(seen["per_word"]), np.asarray(seen["toxic"]) == 1)

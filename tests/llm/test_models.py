@@ -105,6 +105,52 @@ def test_toxicity_is_found_in_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got)
 
 
+def plain_difference(train, text, order=5, cut=0.9):
+    """Difference per word of two Kneser-Ney models from dictionaries; train: (toxic, text)."""
+    def spelled(words):
+        for before, word in zip([b"", *words], words, strict=False):
+            data = (b"   " + before)[-3:] + b" " + word + b" "
+            yield before, word, [data[p - order + 1 : p + 1] for p in range(order - 1, len(data))]
+
+    counts = {}
+    for label in (0, 1):
+        top = Counter()
+        pairs = {(x, w): grams for y, t in train if y == label for x, w, grams in spelled([w.encode() for w in brute.words(brute.lower(t))])}
+        for grams in pairs.values():
+            top.update(grams)
+        counts[label, order] = top
+        for n in range(order - 1, 0, -1):
+            counts[label, n] = Counter(g[1:] for g in counts[label, n + 1])
+    low = counts[0, 1] + counts[1, 1]
+
+    def p(label, gram):
+        n = len(gram)
+        if n == 1:
+            return (low[gram] + 0.5) / (sum(low.values()) + 128)
+        own = {g: c for g, c in counts[label, n].items() if g[:-1] == gram[:-1]}
+        below = p(label, gram[1:])
+        if not own:
+            return below
+        c, total = own.get(gram, 0), sum(own.values())
+        return (c - min(c, cut) + sum(min(x, cut) for x in own.values()) * below) / total
+
+    words = [w.encode() for w in brute.words(brute.lower(text))]
+    grams = [g for _, _, own in spelled(words) for g in own]
+    return sum(math.log(p(1, g) / p(0, g)) for g in grams) / max(1, len(words))
+
+
+def test_toxicity_models_are_plain_kneser_ney(spark):
+    train = [(0, "The cat sat on the mat"), (0, "a dog and a cat"), (1, "the damned cat sat"), (1, "you éé damned, dog damned"), (0, "you sat"), (1, None)]
+    df = spark.createDataFrame([*train, *train], "toxic int, text string").repartition(2)
+    tables = toxicity.trained(df)
+    texts = ["the damned dog", "The CAT sat on a mat", "éé I", "x", "", "  ", None, "damned you dog and a extraordinarily catlike matdog"]
+    from docweave.llm import kit
+    import pyarrow as pa
+
+    got = toxicity.difference_per_word(*kit.flat(pa.array(texts)), tables)
+    assert got == pytest.approx([plain_difference(train, t) for t in texts], abs=1e-6)
+
+
 def test_a_text_that_does_not_fit_leaves_room_for_others(spark):
     docs = spark.createDataFrame([(i, "x" * (5000 if i % 2 else 10)) for i in range(40)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, 0, int(i % 4 < 2)) for i in range(40)], "doc_id long, quality int, toxic int")
