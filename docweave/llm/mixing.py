@@ -1,23 +1,28 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-Every source is cut into blocks by a hash of its rows, and its blocks are permuted.  The mix draws each source's
-permuted blocks in order, over again from the first where the target exceeds the source, and a part of one last
-block, cut by the rows' hashes where the words drawn come nearest to the target (found by sums over bins, finer from
-level to level, so that no source is ever sorted in one place).  The quotas of blocks are then split between two
-halves of the output shards, the halves between their halves and so on; each split is a multivariate-hypergeometric
-draw, so shards get exact, disjoint ranges of every source's draws.  A shard orders its rows by a hash.
+Every source is cut into blocks by a hash of its rows, and its blocks are permuted.  A source's quota is a number of
+blocks: the mix draws its permuted blocks in order, over again from the first where the target exceeds the source, and
+of the last block only the part, cut by the rows' hashes, with which the words drawn come nearest to the target (found
+by sums over bins, finer from level to level, so that no source is ever sorted in one place).  The quotas are then
+split between two halves of the output shards, the halves between their halves and so on; each split is a
+multivariate-hypergeometric draw, so shards get exact, disjoint ranges of every source's permuted blocks.  A row is
+drawn into the shards whose ranges hold its block.  A shard orders its rows by a hash.
+
+A split follows from its place in the tree alone, so tasks walk only to the shards of the rows that they have, and
+neither the driver nor a task holds the quotas of all shards.  Blocks are as many as the input asks for.
 
 Targets: sources by code point, null last, weigh `weights` in turn and share `ratio` times all words; what is above
 `most` times a source's words is shared again by weight among the others.
 
-Defined results: a null text has no words; a null source is a source of its own; rows with equal id and text are
-taken alike; an empty table gives an empty mix; a source without words has target 0.  The driver holds a row for each
-source and bin, and for each source and shard.
+Defined results: a null or empty text has no words; a null source is a source of its own; rows with equal id and text
+are taken alike, null ids too; an empty table gives an empty mix; a source without words has target 0 and its rows are
+not drawn; very long texts are only counted, rows are drawn as they are; mix() returns the columns of docs, whatever
+their names, and mix_draws() its own columns and no others.  The driver holds a row for each source and open bin.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +31,9 @@ from pyspark.sql import functions as F
 
 from . import kit
 
-#: Blocks of a source, and bins of the two finer levels; bytes of text in a shard.
-BLOCKS, FINE, SHARD_BYTES = 1024, 4096, 64 << 20
+#: Bits of a block's number at least, of a row's place in its block, and of the bins of a level; bytes of text in a
+#: shard; partitions that shards are written in at most; splits that a worker remembers.
+BLOCK_BITS, FINE_BITS, LEVEL_BITS, SHARD_BYTES, WRITTEN, REMEMBERED = 12, 24, 12, 64 << 20, 50_000, 100_000
 
 
 def targets(sizes: dict, ratio: float = 1.5, weights: tuple = (5, 2, 1), most: float = 2.0) -> dict:
@@ -47,6 +53,13 @@ def targets(sizes: dict, ratio: float = 1.5, weights: tuple = (5, 2, 1), most: f
     return out
 
 
+def split(quotas: np.ndarray, lo: int, hi: int, seed: int) -> np.ndarray:
+    """Of the shards from lo to hi and their quotas of each source, the quotas of the first half."""
+    draws = int(quotas.sum()) * ((lo + hi) // 2 - lo) // (hi - lo)
+    rng = np.random.default_rng([seed, lo, hi])
+    return rng.multivariate_hypergeometric(quotas, draws, method="marginals") if draws else np.zeros_like(quotas)
+
+
 def splitting_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     """Blocks of each source (columns) for each shard (rows); columns sum to the quotas."""
     out = np.zeros((shards, len(quotas)), np.int64)
@@ -56,11 +69,8 @@ def splitting_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
         if hi - lo == 1:
             out[lo] = own
             continue
-        mid = (lo + hi) // 2
-        draws = int(own.sum()) * (mid - lo) // (hi - lo)
-        rng = np.random.default_rng([seed, lo, hi])
-        left = rng.multivariate_hypergeometric(own, draws, method="marginals") if draws else np.zeros_like(own)
-        todo += [(lo, mid, left), (mid, hi, own - left)]
+        left = split(own, lo, hi, seed)
+        todo += [(lo, (lo + hi) // 2, left), ((lo + hi) // 2, hi, own - left)]
     return out
 
 
@@ -69,25 +79,55 @@ class Plan:
     """What every row's draws follow from."""
 
     sources: dict  # source -> number
-    whole: np.ndarray  # times that a source is drawn as a whole
-    cut: np.ndarray  # places below it are drawn once more
+    quotas: np.ndarray  # blocks of each source in the mix
+    cut: np.ndarray  # of the last block rows are drawn whose places are below it
     words: np.ndarray
     target: np.ndarray
-    turn: np.ndarray  # the permutation of a source's blocks: multiplier and shift
-    until: np.ndarray  # for each source, where each shard's draws end
+    shards: int
+    bits: int  # of a block's number
+    seed: int
+    known: dict = field(default_factory=dict)  # splits of the tree that this worker has made
+
+    def __getstate__(self):
+        return self.__dict__ | {"known": {}}
 
     def place(self, source: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """A row's place in its source: permuted block, then the rest of the hash."""
+        """A row's place in its source: its block's rank in the permutation, then the rest of the hash."""
         key = key.view(np.uint64)
-        block = (key >> np.uint64(54)).astype(np.int64)
-        rank = (block * self.turn[source, 0] + self.turn[source, 1]) % BLOCKS
-        return (rank << 24) | ((key >> np.uint64(30)) & np.uint64((1 << 24) - 1)).astype(np.int64)
+        mask, half = np.uint64((1 << self.bits) - 1), np.uint64(self.bits // 2)
+        x = key >> np.uint64(64 - self.bits)
+        own = kit.mix(source.astype(np.uint64) + np.uint64(self.seed << 32))
+        for step in range(3):  # each step is a bijection of the blocks
+            turn = kit.mix(own + np.uint64(step))
+            x = (x + (turn >> np.uint64(32))) & mask
+            x ^= x >> half
+            x = (x * (turn | np.uint64(1))) & mask
+        fine = (key >> np.uint64(64 - self.bits - FINE_BITS)) & np.uint64((1 << FINE_BITS) - 1)
+        return ((x << np.uint64(FINE_BITS)) | fine).astype(np.int64)
 
     def numbers(self, sources: list) -> np.ndarray:
         return np.fromiter((self.sources[s] for s in sources), np.int64, len(sources))
 
-    def times(self, source: np.ndarray, place: np.ndarray) -> np.ndarray:
-        return self.whole[source] + (place < self.cut[source])
+    def shard_of(self, source: np.ndarray, index: np.ndarray) -> np.ndarray:
+        """The shards whose ranges hold some blocks of the sources' draws, down the tree; -1 beyond the quotas."""
+        out = np.full(len(index), -1)
+        todo = [(0, self.shards, self.quotas, np.zeros_like(self.quotas), np.flatnonzero(index < self.quotas[source]))]
+        while todo:
+            lo, hi, own, begin, rows = todo.pop()
+            if not len(rows):
+                continue
+            if hi - lo == 1:
+                out[rows] = lo
+                continue
+            left = self.known.get((lo, hi))
+            if left is None:
+                left = split(own, lo, hi, self.seed)
+                if len(self.known) < REMEMBERED:
+                    self.known[lo, hi] = left
+            first = index[rows] < (begin + left)[source[rows]]
+            mid = (lo + hi) // 2
+            todo += [(lo, mid, left, begin, rows[first]), (mid, hi, own - left, begin + left, rows[~first])]
+        return out
 
 
 def _sizes(batches):
@@ -99,22 +139,22 @@ def _sizes(batches):
         yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["source"], batch["key"], pa.array(size)], names=["doc_id", "source", "key", "size"])
 
 
-def _bins(plan: Plan, shift: int):
-    """(source, bin of the place, words); finer levels look at the source's open bin only."""
+def _bins(plan: Plan, shift: int, above: int):
+    """(source, bin of the place, words); finer levels look at the source's open bin of the level above only."""
 
     def run(batches):
         for batch in batches:
             source = plan.numbers(batch["source"].to_pylist())
             place = plan.place(source, np.asarray(batch["key"]))
-            open_ = plan.cut[source] >> (shift + 12) if shift < 24 else np.zeros(len(place), np.int64)
-            own = (place >> (shift + 12) == open_) if shift < 24 else np.ones(len(place), bool)
-            name, which = np.unique(source[own] << 34 | place[own] >> shift, return_inverse=True)
-            yield pa.record_batch([pa.array(name >> 34), pa.array(name & ((1 << 34) - 1)), pa.array(np.bincount(which, np.asarray(batch["size"])[own], len(name)).astype(np.int64))], names=["source", "bin", "words"])
+            own = np.flatnonzero(place >> above == plan.cut[source] >> above)
+            bins = (place[own] >> shift) & ((1 << above - shift) - 1)
+            name, which = np.unique(source[own] << LEVEL_BITS | bins, return_inverse=True)
+            yield pa.record_batch([pa.array(name >> LEVEL_BITS), pa.array(name & ((1 << LEVEL_BITS) - 1)), pa.array(np.bincount(which, np.asarray(batch["size"])[own], len(name)).astype(np.int64))], names=["source", "bin", "words"])
 
     return run
 
 
-def make_plan(sizes: DataFrame, ratio: float, weights: tuple, most: float, shards: int, seed: int) -> Plan:
+def make_plan(sizes: DataFrame, ratio: float, weights: tuple, most: float, shards: int, seed: int, bits: int) -> Plan:
     """sizes: source, key and size of each row."""
     by = {r["source"]: int(r["words"]) for r in sizes.groupBy("source").agg(F.sum("size").alias("words")).collect()}
     order = sorted(by, key=lambda s: (s is None, s or ""))
@@ -122,36 +162,37 @@ def make_plan(sizes: DataFrame, ratio: float, weights: tuple, most: float, shard
     goal = targets(by, ratio, weights, most)
     target = np.array([goal[s] for s in order], float)
     whole = np.where(words > 0, np.floor(np.divide(target, words, out=np.zeros(len(words)), where=words > 0) + 1e-9), 0).astype(np.int64)
-    rng = np.random.default_rng([seed, 1])
-    turn = np.stack([rng.integers(0, BLOCKS // 2, len(order)) * 2 + 1, rng.integers(0, BLOCKS, len(order))], 1) if order else np.zeros((0, 2), np.int64)
-    plan = Plan({s: i for i, s in enumerate(order)}, whole, np.zeros(len(order), np.int64), words, target, turn, np.zeros((len(order), shards), np.int64))
+    plan = Plan({s: i for i, s in enumerate(order)}, np.zeros(len(order), np.int64), np.zeros(len(order), np.int64), words, target, shards, bits, seed)
     need = np.maximum(target - whole * words, 0)  # words beyond the whole draws
-    for shift in (24, 12, 0):
-        found = sizes.mapInArrow(kit.lean(_bins(plan, shift)), "source long, bin long, words long").groupBy("source", "bin").agg(F.sum("words").alias("words")).toArrow()
-        source, place, count = (np.asarray(found[c]) for c in ("source", "bin", "words"))
+    above = bits + FINE_BITS
+    while above:
+        shift = max(0, above - LEVEL_BITS)
+        found = sizes.mapInArrow(kit.lean(_bins(plan, shift, above)), "source long, bin long, words long").groupBy("source", "bin").agg(F.sum("words").alias("words")).toArrow()
+        source, place, count = (np.asarray(found[c]).astype(np.int64) for c in ("source", "bin", "words"))
+        sort = np.lexsort((place, source))
+        source, place, count = source[sort], place[sort], count[sort]
+        ends = np.searchsorted(source, np.arange(len(order) + 1))
         for s in range(len(order)):
-            own = np.flatnonzero(source == s)
-            own = own[np.argsort(place[own])]
+            own = slice(ends[s], ends[s + 1])
             total = np.cumsum(count[own])
+            if not len(total) or need[s] <= 0:
+                continue
             at = int(np.searchsorted(total, need[s], "right"))
             before = total[at - 1] if at else 0
-            if at == len(own):  # all of it
-                plan.cut[s] = ((place[own[-1]] + 1) << shift) if len(own) else plan.cut[s]
-                need[s] -= before
-            elif shift:
-                plan.cut[s] = place[own[at]] << shift
-                need[s] -= before
-            else:
-                after = total[at]
-                nearer = after - need[s] < need[s] - before
-                plan.cut[s] = place[own[at]] + nearer
-    quotas = whole * BLOCKS + -(-plan.cut >> 24)
-    plan.until = np.cumsum(splitting_tree(quotas, shards, seed), 0).T.copy() if len(order) else plan.until
+            if at == len(total):  # all of it
+                at -= 1
+                before = total[at - 1] if at else 0
+            plan.cut[s] += int(place[own][at]) << shift
+            if not shift:
+                plan.cut[s] += int(total[at] - need[s] <= need[s] - before)
+            need[s] -= before
+        above = shift
+    plan.quotas = whole * (1 << bits) + -(-plan.cut >> FINE_BITS)
     return plan
 
 
-def _draws(plan: Plan, seed: int):
-    """Appends number of the source, and the draws of each row: which time, shard, order in the shard."""
+def _draws(plan: Plan):
+    """Appends size of the source, its target, and the draws of each row: which time, shard, order in the shard."""
     kind = pa.list_(pa.field("element", pa.struct([("draw", pa.int32()), ("shard", pa.int32()), ("order", pa.int64())])))
 
     def run(batches):
@@ -159,17 +200,16 @@ def _draws(plan: Plan, seed: int):
             source = plan.numbers(batch["source"].to_pylist())
             key = np.asarray(batch["key"])
             place = plan.place(source, key)
-            times = plan.times(source, place)
-            row = np.repeat(np.arange(len(times)), times)
-            at = np.r_[0, np.cumsum(times)]
-            draw = np.arange(len(row)) - at[:-1][row]
-            index = draw * BLOCKS + (place[row] >> 24)
-            shard = np.zeros(len(row), np.int64)
-            for s in np.unique(source[row]):
-                own = source[row] == s
-                shard[own] = np.searchsorted(plan.until[s], index[own], "right")
-            order = kit.mix(key[row].view(np.uint64) + np.uint64(seed) + draw.astype(np.uint64)).view(np.int64)
-            draws = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays([pa.array(draw.astype(np.int32)), pa.array(shard.astype(np.int32)), pa.array(order)], ["draw", "shard", "order"]))
+            block, shards = place >> FINE_BITS, []
+            for draw in range(int((plan.quotas >> plan.bits).max(initial=0)) + 1):
+                index = block + (draw << plan.bits)
+                shard = plan.shard_of(source, index)
+                shard[(index == plan.quotas[source] - 1) & (plan.cut[source] > 0) & (place >= plan.cut[source])] = -1  # the last block's rest
+                shards.append(shard)
+            row, draw = np.nonzero(np.stack(shards, 1) >= 0)
+            at = np.searchsorted(row, np.arange(len(key) + 1))
+            order = kit.mix(key[row].view(np.uint64) + np.uint64(plan.seed) + draw.astype(np.uint64)).view(np.int64)
+            draws = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays([pa.array(draw.astype(np.int32)), pa.array(np.stack(shards, 1)[row, draw].astype(np.int32)), pa.array(order)], ["draw", "shard", "order"]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(plan.words[source]), pa.array(plan.target[source]), draws.cast(kind)], names=[*batch.schema.names, "source_size", "target", "draws"])
 
     return run
@@ -181,15 +221,16 @@ _DRAWS = "array<struct<draw: int, shard: int, order: long>>"
 def _planned(docs: DataFrame, ratio: float, weights: tuple, most: float, shards: int | None, seed: int) -> tuple[DataFrame, Plan]:
     keyed = docs.select("doc_id", "source", "text", F.xxhash64("doc_id", "text").alias("key"))
     sizes = kit.settled(keyed.mapInArrow(kit.lean(_sizes), f"doc_id {dict(docs.dtypes)['doc_id']}, source string, key long, size long"))
-    if shards is None:
-        shards = kit.pieces(int(ratio * kit.volume(docs)[1]), SHARD_BYTES, docs.sparkSession)
-    return sizes, make_plan(sizes, ratio, weights, most, shards, seed)
+    volume = int(ratio * kit.volume(docs)[1])
+    shards = shards or kit.pieces(volume, SHARD_BYTES, docs.sparkSession)
+    bits = max(BLOCK_BITS, (4 * volume // SHARD_BYTES).bit_length())  # a block is smaller than a shard
+    return sizes, make_plan(sizes, ratio, weights, most, shards, seed, bits)
 
 
 def mix_draws(docs: DataFrame, ratio: float = 1.5, weights: tuple = (5, 2, 1), most: float = 2.0, shards: int | None = None, seed: int = 7) -> DataFrame:
     """doc_id, source, key, size, source_size, target and draws of each row, without the texts."""
     sizes, plan = _planned(docs, ratio, weights, most, shards, seed)
-    return sizes.mapInArrow(kit.lean(_draws(plan, seed)), kit.with_fields(sizes, source_size="long", target="double", draws=_DRAWS))
+    return sizes.mapInArrow(kit.lean(_draws(plan)), kit.with_fields(sizes, source_size="long", target="double", draws=_DRAWS))
 
 
 def mix(docs: DataFrame, ratio: float = 1.5, weights: tuple = (5, 2, 1), most: float = 2.0, shards: int | None = None, seed: int = 7) -> DataFrame:
@@ -197,12 +238,12 @@ def mix(docs: DataFrame, ratio: float = 1.5, weights: tuple = (5, 2, 1), most: f
     _, plan = _planned(docs, ratio, weights, most, shards, seed)
     rows, names = kit.packed(docs)
     rows = rows.select("row", F.col("row.source").alias("source"), F.xxhash64("row.doc_id", "row.text").alias("key"))
-    out = rows.mapInArrow(kit.lean(_draws(plan, seed)), kit.with_fields(rows, source_size="long", target="double", draws=_DRAWS))
+    out = rows.mapInArrow(kit.lean(_draws(plan)), kit.with_fields(rows, source_size="long", target="double", draws=_DRAWS))
     out = out.select("row", F.explode("draws").alias("one"))
-    out = out.repartition(min(plan.until.shape[1], 8 * kit.parts(docs.sparkSession)), "one.shard").sortWithinPartitions("one.shard", "one.order")
+    out = out.repartition(min(plan.shards, WRITTEN), "one.shard").sortWithinPartitions("one.shard", "one.order")
     return out.select(*[F.col("row")[n].alias(n) for n in names])
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
     out = mix_draws(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), F.size("draws").alias("n_draws"), "source")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), F.size("draws").alias("n_draws"), "source", F.col("draws.shard").alias("shards"))

@@ -316,6 +316,39 @@ def test_splitting_tree():
     assert (split == mixing.splitting_tree(quotas, 7, 1)).all()
 
 
+def test_draws_follow_the_tree(odd, monkeypatch):
+    """Each shard has the blocks that the tree's quotas give it, one after the other in each source's permutation."""
+    sizes, plan = mixing._planned(odd, 1.5, (5, 2, 1), 2.0, 7, 7)
+    split = mixing.splitting_tree(plan.quotas, 7, plan.seed)
+    until = np.cumsum(split, 0)
+    rows = mixing.mix_draws(odd, shards=7).collect()
+    source = plan.numbers([r["source"] for r in rows])
+    place = plan.place(source, np.array([r["key"] for r in rows]))
+    for s, p, r in zip(source, place, rows, strict=True):
+        index = [d["draw"] * 2**plan.bits + (int(p) >> 24) for d in r["draws"]]
+        assert [d["shard"] for d in r["draws"]] == [int(np.searchsorted(until[:, s], x, "right")) for x in index]
+        more = len(index) * 2**plan.bits + (int(p) >> 24)
+        assert more >= plan.quotas[s] - 1 and (more >= plan.quotas[s] or p >= plan.cut[s])
+    assert len(np.unique(plan.place(np.zeros(2**12, int), np.arange(2**12, dtype=np.uint64) << np.uint64(52)))) == 2**12
+    plan.quotas = plan.quotas * 0
+    assert (plan.shard_of(source, place >> 24) == -1).all()
+
+
+def test_op9_gives_the_contract(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    size = {r["doc_id"]: len(brute.words(r["text"])) for r in docs}
+    total, taken = Counter(), Counter()
+    for r in docs:
+        total[r["source"]] += size[r["doc_id"]]
+    goal, got = targets_by_hand(dict(total)), mixing.op9_mixing(spark, sf_dir).collect()
+    for r in got:
+        assert r["size"] == size[r["doc_id"]] and r["source_size"] == total[r["source"]] and r["target"] == pytest.approx(goal[r["source"]])
+        assert r["taken"] == r["size"] * len(r["shards"]) <= 2 * r["size"]
+        taken[r["source"]] += r["taken"]
+    assert len(got) == len(docs)
+    assert all(abs(taken[s] - goal[s]) <= max(size.values()) for s in goal)
+
+
 def test_draws_of_a_shard_are_disjoint(odd):
     rows = mixing.mix_draws(odd, shards=5).collect()
     assert {d["shard"] for r in rows for d in r["draws"]} <= set(range(5))
