@@ -148,7 +148,8 @@ def _pieces(eight: np.ndarray, where: np.ndarray, left: np.ndarray, number: np.n
 
 
 def _joined(x: np.ndarray, y: np.ndarray, base: int) -> np.ndarray:
-    """Hashes of x followed by y; the shift keeps the whole from being a polynomial modulo 2^64."""
+    """Hashes of x followed by y.  The shift keeps the whole from being a polynomial modulo 2^64; every joint has a base of
+    its own, or words could change places."""
     out = x >> np.uint64(29)
     out ^= x
     out *= np.uint64(base)
@@ -169,12 +170,12 @@ def gram_hashes(word: np.ndarray, k: int, base: int = GRAM_BASE) -> np.ndarray:
         while True:
             if k & span:  # the words of this power of two come after those that are done
                 own = power[done : done + m]
-                whole = own.copy() if whole is None else _joined(whole, own, base)
+                whole = own.copy() if whole is None else _joined(whole, own, pow(base, 2 * span.bit_length(), 1 << 64))
                 done += span
             span *= 2
             if span > k:
                 break
-            power = _joined(power[: len(power) - span // 2], power[span // 2 :], base)
+            power = _joined(power[: len(power) - span // 2], power[span // 2 :], pow(base, 2 * span.bit_length() + 1, 1 << 64))
         out[i : i + m] = mix(whole + np.uint64(k))
     return out
 
@@ -406,6 +407,17 @@ def settled(df):
     return df.checkpoint()
 
 
+#: Partitions that pieces are dealt to at most; a partition then has several pieces, one after the other.
+PARTITIONS = 50_000
+
+
+def piece_of(pieces: int, *columns: str):
+    """The piece of a row; rows with null or equal ids are dealt by their texts too."""
+    from pyspark.sql import functions as F
+
+    return F.pmod(F.xxhash64(*columns), F.lit(pieces)).cast("int")
+
+
 def pieces(total: int, each: int, spark) -> int:
     """In how many pieces of about `each` bytes to deal: grows with the input, the session's partitions at least."""
     return max(parts(spark), math.ceil(total / each))
