@@ -352,7 +352,7 @@ def code_lengths(docs: DataFrame, depth: int = 5, by: int = 5, rest: int = 1, ch
     distinct, total = int(known[0]), int(known[1])
     near = totals.where(F.col("kind") == STRINGS).groupBy("bucket").applyInArrow(kit.lean(_upper_sums(depth)), "node long, n double, n1 double, product double")
     stop, one = _upper_levels(near.groupBy("node").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1"), F.sum("product").alias("product")).toLocalIterator())
-    dealt = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"), "doc_id", F.xxhash64("text").alias("row"), "text").repartition(chunks, "chunk")
+    dealt = rows.select(kit.piece_of(chunks, "doc_id", "text").alias("chunk"), "doc_id", F.xxhash64("text").alias("row"), "text").repartition(min(chunks, kit.PARTITIONS), "chunk")
     asks = dealt.groupBy("chunk").applyInArrow(kit.lean(_ask(depth, buckets)), "kind int, bucket int, chunk int, keys binary")
     answers = asks.groupBy("kind", "bucket").cogroup(totals.groupBy("kind", "bucket")).applyInArrow(kit.lean(_answer(depth, stop, one)), "chunk int, kind int, bucket int, values binary")
     out = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(

@@ -32,7 +32,73 @@ def test_factors_name_their_reference(spark):
     p, q = (" ".join(f"{c}{i}" for i in range(20)) for c in "pq")
     df = spark.createDataFrame([(4, p), (7, q), (9, f"{p} {q} tail")], "doc_id long, text string")
     spans = substring_dedup.remove_repeats(df).where("doc_id = 9").first()["spans"]
-    assert [(s["start"], s["words"], s["ref"]) for s in spans] == [(0, 20, 4), (20, 20, 7)]
+    assert [tuple(s) for s in spans] == [(0, 20, 4, 0), (20, 20, 7, 0)]
+    df = spark.createDataFrame([(1, f"a b {p}"), (2, f"{q} {p} {q}"), (3, f"x {p} {q} y")], "doc_id long, text string")
+    spans = substring_dedup.remove_repeats(df, chunk_bytes=10).where("doc_id = 3").first()["spans"]
+    assert [tuple(s) for s in spans] == [(1, 20, 1, 2), (9, 24, 2, 28), (21, 20, 2, 0)]
+
+
+@pytest.mark.parametrize("k", [3, 13])
+def test_factors_are_copies_of_their_reference(odd, odd_rows, k):
+    """Every factor is k words long at least, equals the reference's words from its place on, and ends where that copy does."""
+    texts, removed = {}, 0
+    for r in odd_rows:
+        texts.setdefault(r[0], []).append(brute.words(r[1]))
+    for r in substring_dedup.remove_repeats(odd, k=k, chunk_bytes=3000).collect():
+        own, gone = next(t for t in texts[r["doc_id"]] if len(t) == r["n_words"]), set()
+        for start, n, ref, at in r["spans"]:
+            assert n >= k and ref < brute.rank(r["doc_id"])
+            assert any(t[at : at + n] == own[start : start + n] for t in texts[ref])
+            gone.update(range(start, start + n))
+        assert len(gone) == r["n_removed"]
+        removed += len(gone)
+    assert removed
+
+
+def regular_word(n, first="a"):
+    """A word of Thue and Morse of 2^n letters; those that begin with a and b are equal to polynomials modulo 2^64."""
+    word = first
+    for _ in range(n):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+def test_regular_words_differ(spark):
+    from docweave.llm import context_tree
+
+    words = [regular_word(n, c) for n in (10, 11, 12) for c in "ab"]
+    rows = [(i, " ".join([w] * 13)) for i, w in enumerate(words)] + [(i + 10, f"{w} y z") for i, w in enumerate(words)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, substring_dedup.remove_repeats(df).select("doc_id", "n_words", "n_removed", "kept").collect())) == brute.repeats(rows)
+    assert Counter(map(tuple, ngram_join.jaccard_components(df, 3, 90).collect())) == brute.components(rows, 3, 90)
+    for n in (10, 11, 12):
+        x = regular_word(n).encode()
+        grams = [kit.gram_hashes(kit.Words(np.frombuffer(" ".join(chr(c) for c in w).encode(), np.uint8), np.array([0, 2 * len(x) - 1])).hashes(), len(x))[0] for w in (x, x.translate(bytes.maketrans(b"ab", b"ba")))]
+        assert grams[0] != grams[1]
+    scored = context_tree.code_lengths(spark.createDataFrame([(0, words[0]), (1, words[0]), (2, words[0]), (3, words[0]), (4, words[1])], "doc_id long, text string"), depth=2).collect()
+    train = {words[0] if r["doc_id"] < 4 else words[1] for r in scored if not r["held_out"]}
+    assert all(r["n_known"] == 1 + ((words[0] if r["doc_id"] < 4 else words[1]) in train) for r in scored)
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.text(st.sampled_from("abé\U0001f600"), min_size=1, max_size=40), min_size=1, max_size=30), st.integers(1, 20))
+def test_hashes_follow_the_words_alone(words, k):
+    raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+    h = kit.Words(raw, np.array([0, len(raw)])).hashes()
+    alone = [int(kit.Words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())])).hashes()[0]) for w in words]
+    assert h.tolist() == alone and len(set(alone)) == len(set(words))
+    grams = kit.gram_hashes(h, k)
+    assert grams.tolist() == [int(kit.gram_hashes(h[i : i + k], k)[0]) for i in range(len(words) - k + 1)]
+    assert len(set(grams.tolist())) == len({tuple(words[i : i + k]) for i in range(len(words) - k + 1)})
+
+
+@pytest.mark.parametrize("k", [2, 3, 4, 5, 6])
+def test_words_in_another_order_differ(k):
+    from itertools import product
+
+    x = kit.mix(np.arange(1, 5, dtype=np.uint64))
+    rows = [np.array(o) for o in product(range(4), repeat=k)]
+    assert len({int(kit.gram_hashes(x[o], k)[0]) for o in rows}) == len(rows)
 
 
 @pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80), (1, 50)])
