@@ -35,8 +35,8 @@ def random_forest(train: DataFrame, test: DataFrame, features: list[str], label:
     return _probabilities(model.transform(_assembled(test, features)), classes)
 
 
-def perceptron(train: DataFrame, test: DataFrame, features: list[str], label: str = "y", classes: int = 4, hidden: int = 64, epochs: int = 120, seed: int = 13, balanced: bool = False) -> DataFrame:
-    """test with prediction and p; balanced: training rows are resampled to equal classes by the class weights."""
+def fit_perceptron(train: DataFrame, features: list[str], label: str = "y", classes: int = 4, hidden: int = 64, epochs: int = 120, seed: int = 13, balanced: bool = False):
+    """A fitted network with one hidden layer; balanced: training rows are resampled to equal classes by the class weights."""
     from pyspark.ml.classification import MultilayerPerceptronClassifier
 
     if balanced:
@@ -45,8 +45,12 @@ def perceptron(train: DataFrame, test: DataFrame, features: list[str], label: st
         times = counts.join(F.broadcast(total)).select(label, (F.col("most") / F.col("n")).alias("times"))
         copies = F.floor("times") + (F.rand(seed) < F.col("times") - F.floor("times")).cast("int")
         train = train.join(F.broadcast(times), label).withColumn("copies", copies.cast("int")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1))))).drop("times", "copies", "copy")
-    model = MultilayerPerceptronClassifier(labelCol=label, layers=[len(features), hidden, classes], maxIter=epochs, seed=seed).fit(_assembled(train, features))
-    return _probabilities(model.transform(_assembled(test, features)), classes)
+    return MultilayerPerceptronClassifier(labelCol=label, layers=[len(features), hidden, classes], maxIter=epochs, seed=seed).fit(_assembled(train, features))
+
+
+def perceptron(train: DataFrame, test: DataFrame, features: list[str], label: str = "y", classes: int = 4, **options) -> DataFrame:
+    """test with prediction and p; options: those of fit_perceptron."""
+    return _probabilities(fit_perceptron(train, features, label, classes, **options).transform(_assembled(test, features)), classes)
 
 
 def parameters(inputs: int, hidden: int, classes: int = 4) -> int:
@@ -86,9 +90,9 @@ def _grow(x: np.ndarray, y: np.ndarray, classes: int, rng: np.random.Generator,
     return nodes
 
 
-def extra_trees(train: DataFrame, test: DataFrame, features: list[str], label: str = "y", classes: int = 4, trees: int = 300, seed: int = 13, least: int = 2, most_rows: int = 200_000) -> DataFrame:
-    """test with prediction and p.  Trees grow in parallel, one group each, on the same bounded training rows
-    (most_rows, by a hash of the features), which are broadcast; test rows are scored in batches by all trees."""
+def grow_forest(train: DataFrame, features: list[str], label: str = "y", classes: int = 4, trees: int = 300, seed: int = 13, least: int = 2, most_rows: int = 200_000) -> list[str]:
+    """Trees as JSON.  They grow in parallel, one group each, on the same bounded training rows (most_rows, by a hash of
+    the features), which are broadcast."""
     spark = train.sparkSession
     rows = train.select(*features, label).orderBy(F.xxhash64(*features, label)).limit(most_rows).toPandas()
     data = spark.sparkContext.broadcast((rows[features].to_numpy(float), rows[label].to_numpy(int)))
@@ -100,8 +104,12 @@ def extra_trees(train: DataFrame, test: DataFrame, features: list[str], label: s
         x, y = data.value
         return pd.DataFrame({"tree": [json.dumps(_grow(x, y, classes, np.random.default_rng([seed, int(key[0])]), least, tries))]})
 
-    forest = [r["tree"] for r in spark.range(trees).groupBy("id").applyInPandas(grow, "tree string").collect()]
-    forest = spark.sparkContext.broadcast(forest)
+    return [r["tree"] for r in spark.range(trees).groupBy("id").applyInPandas(grow, "tree string").collect()]
+
+
+def score_forest(trees: list[str], test: DataFrame, features: list[str], classes: int = 4) -> DataFrame:
+    """test with prediction and p; rows are scored in batches by all trees."""
+    forest = test.sparkSession.sparkContext.broadcast(trees)
 
     def score(batches):
         import json
@@ -129,6 +137,23 @@ def extra_trees(train: DataFrame, test: DataFrame, features: list[str], label: s
     return test.mapInPandas(score, f"{types}, prediction double, p array<double>")
 
 
+def extra_trees(train: DataFrame, test: DataFrame, features: list[str], label: str = "y", classes: int = 4, trees: int = 300, seed: int = 13, least: int = 2, most_rows: int = 200_000) -> DataFrame:
+    """test with prediction and p."""
+    return score_forest(grow_forest(train, features, label, classes, trees, seed, least, most_rows), test, features, classes)
+
+
+def loss_history(model) -> list[tuple[int, float]]:
+    """(iteration, loss) of a fitted perceptron at the first, each 20th and the last iteration."""
+    losses = list(model.summary().objectiveHistory)
+    kept = [i for i in range(len(losses)) if i == 0 or (i + 1) % 20 == 0 or i + 1 == len(losses)]
+    return [(i + 1, float(losses[i])) for i in kept]
+
+
+def spread(stats: DataFrame) -> DataFrame:
+    """One row: the smallest and the largest deviation of the features."""
+    return stats.agg(F.min("std").alias("std_min"), F.max("std").alias("std_max"))
+
+
 BACKENDS: dict[str, Callable] = {"mlp": perceptron, "random_forest": random_forest, "extra_trees": extra_trees}
 
 
@@ -139,7 +164,10 @@ def run_backends(names: str, train: DataFrame, test: DataFrame, features: list[s
         if not name:
             continue
         try:
-            done[name] = BACKENDS[name](train, test, features, **options)
-        except (KeyError, ImportError):
-            skipped.append(name)
+            if name in BACKENDS:
+                done[name] = BACKENDS[name](train, test, features, **options)
+                continue
+        except ImportError:
+            pass
+        skipped.append(name)
     return done, skipped

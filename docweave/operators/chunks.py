@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -43,6 +43,38 @@ def pair_slots(pairs: DataFrame, chunks: DataFrame, per_side: int = 5) -> DataFr
     return a.select(*columns).unionByName(b.select(*columns))
 
 
+def first_pool(values: DataFrame, by: list[str], place: str = "token", value: str = "value") -> DataFrame:
+    """The value of the first token, whatever the mask says (CLS pooling)."""
+    return values.groupBy(*by).agg(F.min_by(value, place).alias("pooled"))
+
+
+def collate(chunks: DataFrame, tokens: str = "chunk", most: int = 512, padding: str = "") -> DataFrame:
+    """chunks with their tokens padded to `most` places, and the mask of those that are real."""
+    held = F.slice(F.col(tokens), 1, most)
+    mask = F.transform(F.sequence(F.lit(1), F.lit(most)), lambda i: i <= F.size(held))
+    return chunks.withColumn("mask", mask).withColumn(tokens, F.concat(held, F.array_repeat(F.lit(padding), F.lit(most) - F.size(held))))
+
+
+def pair_tensors(slots: DataFrame, pairs: DataFrame, width: int, per_side: int = 5) -> DataFrame:
+    """(paper_a_id, paper_b_id, x, chunk_mask): the embeddings of all slots one after the other, zeros where a slot has
+    none, and which slots have one; slots: the pairs' slots with a column embedding."""
+    zeros = F.array_repeat(F.lit(0.0).cast("float"), width)
+    held = slots.groupBy("paper_a_id", "paper_b_id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "embedding"))).alias("held"))
+    out = pairs.select("paper_a_id", "paper_b_id").join(held, ["paper_a_id", "paper_b_id"], "left")
+    places = F.sequence(F.lit(0), F.lit(2 * per_side - 1))
+    own = F.coalesce("held", F.create_map().cast(f"map<int, array<float>>"))
+    return out.select(
+        "paper_a_id", "paper_b_id", F.flatten(F.transform(places, lambda i: F.coalesce(F.try_element_at(own, i), zeros))).alias("x"),
+        F.transform(places, lambda i: F.map_contains_key(own, i)).alias("chunk_mask"),
+    )
+
+
+def tensor_bytes(rows: int, slots: int, width: int, bytes_each: int = 2) -> tuple[int, float]:
+    """Size of a tensor in bytes and in GiB."""
+    size = rows * slots * width * bytes_each
+    return size, size / (1 << 30)
+
+
 def hashing_encoder(width: int = 16) -> Callable[[pd.Series], list[list[float]]]:
     """A deterministic stand-in for a transformer: counts of hashed tokens, of length one."""
     import zlib
@@ -61,10 +93,12 @@ def hashing_encoder(width: int = 16) -> Callable[[pd.Series], list[list[float]]]
 
 
 def encode(chunks: DataFrame, make: Callable[[], Callable[[pd.Series], list[list[float]]]]) -> DataFrame:
-    """chunks with the column embedding; make() runs once for each Python worker and loads the encoder there."""
+    """chunks with the column embedding; make() runs once for each task and loads the encoder there."""
 
     @F.pandas_udf("array<float>")
-    def run(batches: pd.Series) -> pd.Series:
-        return pd.Series(make()(batches))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encoder = make()
+        for batch in batches:
+            yield pd.Series(encoder(batch))
 
     return chunks.withColumn("embedding", run("chunk"))

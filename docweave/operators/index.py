@@ -11,16 +11,13 @@ from docweave.functions.vectors import dot, doubles, normalized, squared_distanc
 
 
 def level_schedule(n: int, leaf: int = 16, base: float = 2.0) -> list[int]:
-    """Clusters of each level from the leaves up to the one root."""
-    if n <= 0:
-        return []
-    if n <= leaf:
-        return [1]
-    out = [math.ceil(n / leaf)]
-    while out[-1] > 1:
-        up = math.ceil(math.log(out[-1], base))
-        out.append(max(1, up if up < out[-1] else out[-1] - 1))
-    return out
+    """Clusters of each level from the leaves, ceil(n / leaf), up to the one root; k clusters lie below the rounded-up
+    logarithm of k, one fewer at least."""
+
+    def upwards(k: int) -> list[int]:
+        return [k] if k == 1 else [k, *upwards(max(1, min(k - 1, math.ceil(math.log(k, base)))))]
+
+    return upwards(math.ceil(n / leaf)) if n > 0 else []
 
 
 def schedules(spark, most: int, leaf: int = 16, base: float = 2.0) -> DataFrame:
@@ -52,8 +49,8 @@ def representatives(members: DataFrame, nodes: DataFrame, by: str = "node_id", i
 
 
 def distances(items: DataFrame, centers: DataFrame, digits: int = 6) -> DataFrame:
-    """(item_id, center_id, distance) of every item to every center; the centers of a level are few by the schedule."""
-    near = F.broadcast(centers.select("center_id", F.col("vector").alias("c")))
+    """(item_id, center_id, distance) of every item to every center of a level, which are items / leaf at most."""
+    near = few(centers.select("center_id", F.col("vector").alias("c")))
     return items.select("item_id", "vector").join(near).select("item_id", "center_id", F.round(squared_distance(F.col("vector"), F.col("c")), digits).alias("distance"))
 
 
@@ -73,12 +70,18 @@ def capacities(n: int, k: int) -> list[int]:
     return [n // k + (i < n % k) for i in range(k)]
 
 
-def capacity_assign(items: DataFrame, centers: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+def few(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df to be broadcast if a count finds so many rows at most; else Spark joins it as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def capacity_assign(items: DataFrame, centers: DataFrame) -> DataFrame:
     """(item_id, center_id): items in the order of their margins take the nearest center with room.
 
     That serial order equals deferred acceptance in which all centers rank items alike: in each round every item
     without a place proposes to its next center, and each center keeps its best proposals up to its capacity.  A
-    round is one aggregation over the open proposals; the last is when none is refused.
+    round is one aggregation over the open proposals; the last is when none is refused, which comes as there is room
+    for all and nobody asks a center twice.
     """
     ranked = preferences(distances(items, centers)).persist()
     order = margins(ranked)
@@ -87,9 +90,9 @@ def capacity_assign(items: DataFrame, centers: DataFrame, most_rounds: int = 10_
         return ranked.select("item_id", "center_id").limit(0)
     room = items.sparkSession.createDataFrame([(i, c) for i, c in enumerate(capacities(n, k))], "place long, room int")
     numbered = centers.select("center_id").withColumn("place", F.row_number().over(Window.orderBy("center_id")) - 1).join(room, "place").select("center_id", "room")
-    wishes = ranked.join(order, "item_id").join(F.broadcast(numbered), "center_id").persist()
+    wishes = ranked.join(order, "item_id").join(few(numbered), "center_id").persist()
     turn = items.select("item_id", F.lit(1).alias("turn"))
-    for _ in range(most_rounds):
+    while True:
         asked = wishes.join(turn, ["item_id"]).where("rank = turn")
         place = F.row_number().over(Window.partitionBy("center_id").orderBy(F.col("margin").desc(), "item_id"))
         judged = settle(asked.select("item_id", "center_id", "turn", (place > F.col("room")).alias("refused")))
@@ -97,34 +100,50 @@ def capacity_assign(items: DataFrame, centers: DataFrame, most_rounds: int = 10_
             break
         turn = judged.select("item_id", (F.col("turn") + F.col("refused").cast("int")).alias("turn"))
     ranked.unpersist()
+    wishes.unpersist()
     return judged.select("item_id", "center_id")
 
 
+def shared_folder(spark) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one only where none is set and all runs on one machine."""
+    sc = spark.sparkContext
+    top = sc.getConf().get("spark.checkpoint.dir")
+    if not top:
+        import re
+        import tempfile
+
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        top = tempfile.mkdtemp(prefix="docweave-")
+    return top
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of a round in the folder of spark.checkpoint.dir; one is made only where none is set."""
+    """Cuts the lineage of a round in the shared folder."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="docweave-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
 def beam_route(queries: DataFrame, nodes: DataFrame, beam: int, levels: int, digits: int = 6) -> DataFrame:
-    """(query_id, rank, leaf_id, score): the leaves that a beam search from the root reaches.
+    """(query_id, rank, leaf_id, score, visited): the leaves that a beam search from the root reaches.
 
     nodes: node_id, parent_id (null: root), rep (vector).  Each level is one join of the beam with its children by
-    parent and a ranking per query by the mean score of the path, then its sum, then the node.
+    parent and a ranking per query by the mean score of the path, then its sum, then the node; visited is the number of
+    nodes whose representatives the query was compared with.
     """
     root = nodes.where("parent_id is null").select(F.col("node_id").alias("at"))
     children = nodes.where("parent_id is not null").select("node_id", F.col("parent_id").alias("at"), "rep")
-    beams = queries.select(F.col("item_id").alias("query_id"), "vector").join(F.broadcast(root)).withColumn("total", F.lit(0.0))
+    beams = queries.select(F.col("item_id").alias("query_id"), "vector").join(F.broadcast(root)).withColumn("total", F.lit(0.0)).withColumn("visited", F.lit(0).cast("long"))
+    children = few(children)
     for depth in range(1, levels + 1):
-        step = beams.join(F.broadcast(children), "at").select("query_id", "vector", F.col("node_id").alias("at"), (F.col("total") + dot(F.col("vector"), F.col("rep"))).alias("total"))
+        step = beams.join(children, "at").select("query_id", "vector", "visited", F.col("node_id").alias("at"), (F.col("total") + dot(F.col("vector"), F.col("rep"))).alias("total"))
         score = F.round(F.col("total") / depth, digits)
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(score.desc(), "at"))
-        beams = step.withColumn("score", score).withColumn("rank", rank).where(F.col("rank") <= max(1, beam))
-    return beams.select("query_id", "rank", F.col("at").alias("leaf_id"), "score")
+        seen = F.col("visited") + F.count(F.lit(1)).over(Window.partitionBy("query_id"))
+        beams = step.withColumn("score", score).withColumn("rank", rank).withColumn("visited", seen).where(F.col("rank") <= max(1, beam))
+    return beams.select("query_id", "rank", F.col("at").alias("leaf_id"), "score", "visited")
 
 
 def route_candidates(routes: DataFrame, members: DataFrame) -> DataFrame:
@@ -133,7 +152,7 @@ def route_candidates(routes: DataFrame, members: DataFrame) -> DataFrame:
     return rows.groupBy("query_id", "item_id").agg(F.min("rank").alias("rank"))
 
 
-def kmeans_labels(vectors: DataFrame, k: int, seed: int = 13, starts: int = 3) -> DataFrame:
+def kmeans_labels(vectors: DataFrame, k: int, seed: int = 13, starts: int = 20) -> DataFrame:
     """(item_id, label) of the best of several k-means runs; one cluster for k <= 1."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -142,21 +161,32 @@ def kmeans_labels(vectors: DataFrame, k: int, seed: int = 13, starts: int = 3) -
     if k <= 1 or n <= 1:
         return vectors.select("item_id", F.lit(0).alias("label"))
     rows = vectors.select("item_id", array_to_vector(doubles(F.col("vector"))).alias("features")).persist()
-    models = [KMeans(k=min(k, n), seed=seed + i, maxIter=20).fit(rows) for i in range(starts)]
+    models = [KMeans(k=min(k, n), seed=seed + i, maxIter=300).fit(rows) for i in range(starts)]
     best = min(models, key=lambda m: m.summary.trainingCost)
+    rows.unpersist()
     return best.transform(rows).select("item_id", F.col("prediction").alias("label"))
 
 
-def kmeans_centers(vectors: DataFrame, k: int, seed: int = 13, starts: int = 3) -> DataFrame:
+def kmeans_centers(vectors: DataFrame, k: int, seed: int = 13, starts: int = 20) -> DataFrame:
     labels = kmeans_labels(vectors, k, seed, starts)
     sums = vectors.join(labels, "item_id").select("label", F.posexplode(doubles(F.col("vector"))).alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
     return sums.groupBy(F.col("label").alias("center_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("vector"))
 
 
-def build_index(vectors: DataFrame, leaf: int = 16, base: float = 2.0, seed: int = 13) -> tuple[DataFrame, DataFrame]:
+def inner_centroids(below: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Centroids of nodes, the mean of all items below each, and those items.
+
+    below: node_id and child; members: node_id (the child) and the items with their vectors.
+    """
+    held = members.withColumnRenamed("node_id", "child").join(below.select("node_id", "child"), "child").drop("child")
+    return centroids(held), held
+
+
+def build_index(vectors: DataFrame, leaf: int = 16, base: float = 2.0, seed: int = 13, starts: int = 20) -> tuple[DataFrame, DataFrame]:
     """(nodes, members): leaves by bounded k-means, upper levels by k-means of the centroids below.
 
-    nodes: node_id, level, parent_id, centroid, rep_id, rep.  Empty clusters shrink a level.  One job series per level.
+    nodes: node_id, level, parent_id, centroid (of all items below), rep_id, rep (that of the child nearest to the
+    centroid).  Empty clusters shrink a level.  One job series per level.
     """
     vectors = settle(normalized_vectors(vectors.select("item_id", "vector")))
     plan = level_schedule(vectors.count(), leaf, base)
@@ -164,20 +194,22 @@ def build_index(vectors: DataFrame, leaf: int = 16, base: float = 2.0, seed: int
     for level, k in enumerate(plan):
         if level == 0:
             items = vectors
-            own = capacity_assign(vectors, kmeans_centers(vectors, k, seed)) if k > 1 else vectors.select("item_id", F.lit(0).alias("center_id"))
+            own = capacity_assign(vectors, kmeans_centers(vectors, k, seed, starts)) if k > 1 else vectors.select("item_id", F.lit(0).alias("center_id"))
         else:
             items = below.select(F.col("node_id").alias("item_id"), F.col("centroid").alias("vector"))
-            own = kmeans_labels(items.select(F.xxhash64("item_id").alias("h"), "item_id", "vector"), k, seed + level).withColumnRenamed("label", "center_id")
+            own = kmeans_labels(items.select(F.xxhash64("item_id").alias("h"), "item_id", "vector"), k, seed + level, starts).withColumnRenamed("label", "center_id")
         number = F.dense_rank().over(Window.orderBy("center_id")) - 1
         names = own.select("center_id").distinct().withColumn("node_id", F.concat(F.lit(f"L{level}_"), number.cast("string")))
         placed = settle(own.join(names, "center_id").join(items, "item_id").select("node_id", "item_id", "vector"))
-        center = centroids(placed)
         if level == 0:
-            members = placed.select("node_id", "item_id")
+            members, held, center = placed.select("node_id", "item_id"), placed, centroids(placed)
             best = representatives(placed, center).select("node_id", F.col("item_id").alias("rep_id"))
             now = center.join(best, "node_id").join(vectors.select(F.col("item_id").alias("rep_id"), F.col("vector").alias("rep")), "rep_id")
         else:
-            up = placed.select("node_id", F.col("item_id").alias("child"), "vector").join(center, "node_id")
+            up = placed.select("node_id", F.col("item_id").alias("child"), "vector")
+            center, held = inner_centroids(up, held)
+            held = settle(held)
+            up = up.join(center, "node_id")
             score = F.round(dot(F.col("vector"), F.col("centroid")), 6)
             best = up.groupBy("node_id").agg(F.min_by("child", F.struct(-score, F.col("child"))).alias("child"))
             now = center.join(best, "node_id").join(below.select(F.col("node_id").alias("child"), "rep_id", "rep"), "child").drop("child")
@@ -192,6 +224,14 @@ def build_index(vectors: DataFrame, leaf: int = 16, base: float = 2.0, seed: int
     return table, members
 
 
+def index_stats(nodes: DataFrame, members: DataFrame, leaf: int = 16, base: float = 2.0) -> DataFrame:
+    """One row: items, schedule, nodes of each level from the leaves up, and the leaves' sizes."""
+    n = members.count()
+    levels = nodes.groupBy("level").agg(F.count(F.lit(1)).alias("n")).agg(F.transform(F.sort_array(F.collect_list(F.struct("level", "n"))), lambda x: x["n"]).alias("level_counts"))
+    known = [F.lit(n).cast("long").alias("items"), F.array(*map(F.lit, level_schedule(n, leaf, base))).cast("array<int>").alias("schedule")]
+    return leaf_stats(members).join(levels).select(*known, "level_counts", "leaves", "min_size", "max_size", "mean_size", "median_size")
+
+
 def leaf_stats(members: DataFrame, by: str = "node_id") -> DataFrame:
     sizes = members.groupBy(by).agg(F.count(F.lit(1)).alias("size"))
     return sizes.agg(F.count(F.lit(1)).alias("leaves"), F.min("size").alias("min_size"), F.max("size").alias("max_size"), F.avg("size").alias("mean_size"), F.median("size").alias("median_size"))

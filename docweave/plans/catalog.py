@@ -513,7 +513,8 @@ def query_hit_rate(spark, sf_dir):
     return R.query_hits(_replay(spark, sf_dir)).select("queries", "hits", F.round("hit_rate", 6).alias("hit_rate"))
 
 
-@query(f"{INSERTS_SQL} SELECT round(avg(candidates), 6) AS avg_candidates, median(candidates)::DOUBLE AS median_candidates, round(avg(1.0::DOUBLE - candidates / existing), 6) AS avg_reduction, round(median(1.0::DOUBLE - candidates / existing), 6) AS median_reduction FROM ins")
+@query(f"""{INSERTS_SQL} SELECT round(avg(candidates), 6) AS avg_candidates, median(candidates)::DOUBLE AS median_candidates, round(avg(1.0::DOUBLE - candidates / existing), 6) AS avg_reduction, round(median(1.0::DOUBLE - candidates / existing), 6) AS median_reduction,
+  round(avg(CASE WHEN candidates > 0 THEN existing / candidates ELSE 'inf'::DOUBLE END), 6) AS avg_speedup, round(median(CASE WHEN candidates > 0 THEN existing / candidates ELSE 'inf'::DOUBLE END), 6) AS median_speedup FROM ins""")
 def per_insert_stats(spark, sf_dir):
     out = R.insert_stats(R.per_insert(_replay(spark, sf_dir)))
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
@@ -603,15 +604,17 @@ def leaf_representatives(spark, sf_dir):
     return I.representatives(v, I.centroids(v)).select("node_id", F.col("item_id").alias("rep_id"), "score")
 
 
-INNER_SQL = f"""{VECTORS_SQL}, im AS (SELECT label % 3 AS up, i, avg(x) AS x FROM (SELECT label, unnest(centroid) AS x, generate_subscripts(centroid, 1) AS i FROM leaf) GROUP BY ALL),
+INNER_SQL = f"""{VECTORS_SQL}, im AS (SELECT label % 3 AS up, i, avg(x) AS x FROM (SELECT label, unnest(vector) AS x, generate_subscripts(vector, 1) AS i FROM v) GROUP BY ALL),
 ic AS (SELECT up, list(x ORDER BY i) AS raw FROM im GROUP BY up), inner_node AS MATERIALIZED (SELECT up, list_transform(raw, lambda x: x / sqrt(list_dot_product(raw, raw))) AS centroid FROM ic),
 ir AS MATERIALIZED (SELECT up, label AS child, score FROM (SELECT up, label, round(list_dot_product(l.centroid, n.centroid), 6) AS score, row_number() OVER (PARTITION BY up ORDER BY round(list_dot_product(l.centroid, n.centroid), 6) DESC, label) AS r FROM leaf l JOIN inner_node n ON l.label % 3 = n.up) WHERE r = 1)"""
 
 
 def _inner(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    c = I.centroids(_leaves(spark, sf_dir))
+    v = _leaves(spark, sf_dir)
+    c = I.centroids(v)
+    inner, _ = I.inner_centroids(c.select((F.col("node_id") % 3).alias("node_id"), F.col("node_id").alias("child")), v)
     children = c.select((F.col("node_id") % 3).alias("up"), F.col("node_id").alias("item_id"), F.col("centroid").alias("vector"))
-    return c, I.representatives(children, I.centroids(children, "up"), "up")
+    return c, I.representatives(children, inner.withColumnRenamed("node_id", "up"), "up")
 
 
 @query(f"WITH {INNER_SQL} SELECT up, child, ir.score, rep_id FROM ir JOIN rep ON rep.label = child")
@@ -696,7 +699,7 @@ def index_build(spark, sf_dir):
 
 @query()
 def index_stats(spark, sf_dir):
-    return I.leaf_stats(I.build_index(_vectors(spark, sf_dir))[1])
+    return I.index_stats(*I.build_index(_vectors(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------- chunks
@@ -771,12 +774,11 @@ QUERIES["extra_trees_backend"] = _backend("extra_trees")
 
 @query(f"{WITH} SELECT node_path, count(*) AS n FROM papers GROUP BY node_path")
 def stream_insert(spark, sf_dir):
-    import tempfile
     import uuid
 
     from docweave.streaming import arrivals
 
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="docweave-")
+    top = I.shared_folder(spark)
     stream = arrivals.stream_of(spark, f"{sf_dir}/documents*.parquet", table(spark, sf_dir, "documents").schema)
     path = F.when(F.col("doc_id") % 3 == 0, F.lit("all")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("all > "), "lang")).otherwise(F.concat(F.lit("all > "), "lang", F.lit(" > "), "source"))
     return arrivals.run_to_table(arrivals.node_counts(stream.select(path.alias("node_path"))), f"{top}/stream-{uuid.uuid4().hex}")

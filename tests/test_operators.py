@@ -203,7 +203,7 @@ def test_index_build(spark):
 def test_replay_defaults(spark):
     rows = spark.createDataFrame([], "paper_a_id long, paper_b_id long, true_label string, predicted_label string, is_candidate boolean, system_label string")
     t = replay.totals(rows).first()
-    assert (t["baseline_accuracy"], t["related_recall"], t["reduction"], t["speedup"]) == (1.0, 1.0, 0.0, None)
+    assert (t["baseline_accuracy"], t["related_recall"], t["reduction"], t["speedup"]) == (1.0, 1.0, 0.0, float("inf"))
     assert replay.query_hits(rows).first()["hit_rate"] == 1.0
     inserts = spark.createDataFrame([(i, 10, c) for i, c in enumerate([5, 1, 9, 7])], "paper_a_id long, existing long, candidates long")
     assert replay.upper_median(inserts).first()[0] == 7
@@ -304,9 +304,11 @@ def test_whole_static_flow(spark, tmp_path):
     assert list(found) == ["random_forest"] and found["random_forest"]["accuracy"] > 0.7
     assert runs.reused(spark, f"file://{tmp_path}/out/all_metrics.json", "methods", dict)["random_forest"]["accuracy"] > 0.7
     assert runs.reused(spark, None, "methods", lambda: {"made": 1}) == {"made": 1}
-    df, seen = runs.observed(labels, "pairs")
-    df.write.format("noop").mode("overwrite").save()
-    assert seen.get["rows"] == 24 * 23
+    events: list = []
+    with runs.progress(spark, events.append, 0.05, name="pairs"):
+        labels.write.parquet(f"{tmp_path}/pairs")
+    assert runs.written_rows(spark, f"{tmp_path}/pairs") == 24 * 23
+    assert events[-1]["event"] == "done" and events[-1]["name"] == "pairs" and events[-1]["done"] == events[-1]["tasks"] > 0
 
 
 def test_saved_model(spark, tmp_path):
