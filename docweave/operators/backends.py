@@ -50,7 +50,12 @@ def fit_perceptron(train: DataFrame, features: list[str], label: str = "y", clas
 
 def perceptron(train: DataFrame, test: DataFrame, features: list[str], label: str = "y", classes: int = 4, **options) -> DataFrame:
     """test with prediction and p; options: those of fit_perceptron."""
-    return _probabilities(fit_perceptron(train, features, label, classes, **options).transform(_assembled(test, features)), classes)
+    return scored(fit_perceptron(train, features, label, classes, **options), test, features, classes)
+
+
+def scored(model, test: DataFrame, features: list[str], classes: int = 4) -> DataFrame:
+    """test with a fitted Spark model's prediction and p."""
+    return _probabilities(model.transform(_assembled(test, features)), classes)
 
 
 def parameters(inputs: int, hidden: int, classes: int = 4) -> int:

@@ -555,6 +555,34 @@ def linear_vs_indexed(spark, sf_dir):
     return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
+def _index_papers(spark, sf_dir) -> DataFrame:
+    return papers(spark, sf_dir).withColumn("venue", F.coalesce("venue", F.lit("")))
+
+
+@query()
+def index_candidates(spark, sf_dir):
+    """What the index of each block names for every arrival, with a beam of 2."""
+    from docweave.plans import reconstruct
+
+    found = reconstruct.routed(_index_papers(spark, sf_dir), ("lang", "venue"), 2)
+    return found.select("key", "item_id", "step", "existing", "candidates", "visited", "rebuilt", "schedule_after")
+
+
+@query()
+def index_replay(spark, sf_dir):
+    """The replay with the index's own candidates, a row for each width of the beam; predictions are the fixed rule's."""
+    from docweave.plans import reconstruct
+
+    block, every = ("lang", "venue"), I.settle(_rows(spark, sf_dir))
+    found = None
+    for beam in (1, 2, 3):
+        inserts = reconstruct.routed(_index_papers(spark, sf_dir), block, beam)
+        rows = R.with_candidates(every, reconstruct.candidate_pairs(inserts, papers(spark, sf_dir)))
+        one = R.totals(rows).join(R.query_hits(rows)).join(R.insert_stats(R.per_insert(rows))).join(inserts.agg(F.sum("visited").alias("visited"), F.count_if("rebuilt").alias("rebuilds"))).withColumn("beam", F.lit(beam))
+        found = one if found is None else found.union(one)
+    return found
+
+
 # ---------------------------------------------------------------- schedule and vectors
 
 SCHEDULE_SQL = """RECURSIVE s(n, k, levels) AS (

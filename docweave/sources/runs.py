@@ -98,6 +98,20 @@ def save_model(spark: SparkSession, path: str, model: PipelineModel, idf: DataFr
     write_json_document(spark, about, f"{path}/about.json")
 
 
+def save_forest(spark: SparkSession, path: str, trees: list[str], idf: DataFrame, stats: DataFrame, about: dict) -> None:
+    """Grown trees with the idf and scaling tables and the options that they were grown with."""
+    spark.createDataFrame(list(enumerate(trees)), "number int, tree string").coalesce(1).write.mode("overwrite").parquet(f"{path}/forest")
+    idf.write.mode("overwrite").parquet(f"{path}/idf")
+    stats.write.mode("overwrite").parquet(f"{path}/stats")
+    write_json_document(spark, about, f"{path}/about.json")
+
+
+def load_forest(spark: SparkSession, path: str) -> tuple[list[str], DataFrame, DataFrame, dict]:
+    about = {"feature_set": "static", "max_reference_titles": 80} | read_json_document(spark, f"{path}/about.json")
+    trees = [r["tree"] for r in spark.read.parquet(f"{path}/forest").orderBy("number").collect()]
+    return trees, spark.read.parquet(f"{path}/idf"), spark.read.parquet(f"{path}/stats"), about
+
+
 def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, DataFrame, DataFrame, dict]:
     about = {"feature_set": "static", "max_reference_titles": 80} | read_json_document(spark, f"{path}/about.json")
     return PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/idf"), spark.read.parquet(f"{path}/stats"), about
