@@ -74,7 +74,7 @@ def write_warc(pages: DataFrame, path: str, least: int = LEAST) -> None:
     rows = kit.check_columns(pages, "page_id", "url", "html").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     alike = rows.where(F.octet_length("payload") >= least).groupBy(F.col("digest").alias("same")).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    joined = rows.join(alike, rows.digest == alike.same, "left")
+    joined = rows.join(kit.small(kit.settled(alike)), F.col("digest") == F.col("same"), "left")  # payloads stay where they are if repeated digests are few
     name = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
     first = F.when(F.col("n").isNotNull(), F.coalesce(F.col("first").cast("string"), F.lit("null")))
     values = joined.select(name.alias("page"), first.alias("first"), "url", "digest", "payload").mapInArrow(kit.lean(_members), "value binary")
@@ -191,8 +191,8 @@ def read_warc(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, pa
     A file system that only Spark's readers can open has its files read as wholes, one task for each.
     """
     kit.bounded_batches(spark)
-    files, where = _file_system(spark, path)
-    found = [(f.getPath().toString(), f.getLen()) for f in files.listStatus(where) if f.getPath().getName().endswith(".gz")]
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
+    total = files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n"), F.min("path").alias("first")).first()
 
     def ranges(batches):
         for batch in batches:
@@ -205,12 +205,13 @@ def read_warc(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, pa
                 yield from _batched(_records_in(lambda place, size, data=data: data[place : place + size], 0, len(data)), uri, payloads)
 
     try:
-        for uri, _ in found[:1]:
-            _File(uri)
+        if total["first"]:
+            _File(total["first"])
     except (OSError, ValueError, pa.ArrowInvalid, pa.ArrowNotImplementedError):
-        return spark.read.format("binaryFile").load([uri for uri, _ in found]).select("path", "content").mapInArrow(kit.lean(wholes), _RECORDS_DDL)
-    splits = [(uri, start, min(start + split_bytes, size)) for uri, size in found for start in range(0, size, split_bytes)]
-    table = spark.createDataFrame(splits, "path string, start long, end long").repartition(max(1, len(splits)))
+        return files.select("path", "content").mapInArrow(kit.lean(wholes), _RECORDS_DDL)
+    table = files.where("length > 0").select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
+    table = table.select("path", "start", F.least(F.col("start") + split_bytes, "length").alias("end"))
+    table = table.repartition(max(1, min(kit.PARTITIONS, -(-total["n"] // split_bytes))), "path", "start")
     return table.mapInArrow(kit.lean(ranges), _RECORDS_DDL)
 
 
