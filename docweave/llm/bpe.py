@@ -5,14 +5,20 @@ its word among the block's distinct ones by frequency.  The distinct words of al
 for the whole corpus, and its ids go back to the blocks that asked, where texts are reassembled by position.
 Decoding joins ids with the token-byte table; the vocabulary's size is fixed, so that table is broadcast.
 
-Defined results: a null text is as an empty one and has no tokens; rows with equal or null ids are encoded each for
-itself; surrogates cannot occur in Spark strings; special tokens in a text are ordinary text.
+Blocks are named by their contents and place.  If a lost task is repeated over rows that come in another order, its
+blocks have other names and the job ends with an error instead of mixing them up; files and checkpoints always come in
+the same order.
+
+Defined results: a null or empty text has no tokens, a blank one those of its white space; rows with equal or null ids
+and repeated rows are encoded each for itself; a very long text is cut into pre-tokens by parts; extra columns are
+ignored; an empty table gives an empty one; surrogates cannot occur in Spark strings; special tokens in a text are ordinary text.
 """
 
 from __future__ import annotations
 
 import base64
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -66,36 +72,62 @@ class Vocabulary:
         return np.frombuffer(b"".join(tokens), np.uint8), np.r_[0, np.cumsum([len(t) for t in tokens])].astype(np.int64)
 
 
+def _pretokens(find, text: str):
+    """Lists of a text's pre-tokens; those of a long one come by parts."""
+    if len(text) <= TOKENIZE_BYTES:
+        yield find.findall(text)
+        return
+    matches = (m[0] for m in find.finditer(text))
+    while part := list(islice(matches, SLICE_WORDS)):
+        yield part
+
+
 def _tokenize(pattern: str, buckets: int, block_bytes: int):
     """Blocks: a row of positions, and for each bucket a row of words with their numbers in the block."""
 
     def run(batches):
+        from hashlib import blake2b
+
         from pyspark import TaskContext
 
-        find = _pattern(pattern).findall
+        find = _pattern(pattern)
         partition, serial = TaskContext.get().partitionId(), 0
+
+        def close():
+            nonlocal found, counts, docs, size, serial
+            block = int.from_bytes(seen.digest(), "little") >> 2
+            yield from _block(block, found, counts, docs, buckets)
+            found, counts, docs, size, serial = [], [], [], 0, serial + 1
+
         found, counts, docs, size = [], [], [], 0
         for batch in batches:
             ids = kit.long_ids(batch["doc_id"])
-            _, offs = kit.flat(batch["text"])
+            raw, offs = kit.flat(batch["text"])
+            raw = np.ascontiguousarray(raw)
             for i, j in kit.slices(offs, min(block_bytes, TOKENIZE_BYTES)):  # few tokens at a time are Python strings
+                if not docs:
+                    seen = blake2b(repr((partition, serial)).encode(), digest_size=8)
+                seen.update(raw[offs[i] : offs[j]])
+                seen.update(offs[i : j + 1] - offs[i])
+                seen.update(ids[i:j])
                 tokens, count = [], np.zeros(j - i, np.int64)
                 for k, text in enumerate(batch["text"].slice(i, j - i).to_pylist()):
                     if text:
-                        own = find(text)
-                        count[k] = len(own)
-                        tokens += own
+                        for own in _pretokens(find, text):
+                            count[k] += len(own)
+                            tokens += own
+                            if len(tokens) >= SLICE_WORDS:
+                                found.append(pa.array(tokens, pa.string()))
+                                tokens = []
                 found.append(pa.array(tokens, pa.string()))
                 counts.append(count)
                 docs.append(ids[i:j])
                 size += int(offs[j] - offs[i])
                 del tokens
                 if size >= block_bytes:
-                    yield from _block((partition << 32) | serial, found, counts, docs, buckets)
-                    serial += 1
-                    found, counts, docs, size = [], [], [], 0
+                    yield from close()
         if docs:
-            yield from _block((partition << 32) | serial, found, counts, docs, buckets)
+            yield from close()
 
     return run
 
@@ -113,10 +145,9 @@ def _block(block: int, found: list, counts: list, docs: list, buckets: int):
     del coded, numbers
     bucket = kit.bucket_of(_word_hashes(chars, at), buckets)
     order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    heads, cuts = np.unique(bucket[order], return_index=True)
     rows = []
-    for b in np.flatnonzero(np.diff(cuts)).tolist():
-        own = order[cuts[b] : cuts[b + 1]]
+    for b, own in zip(heads.tolist(), np.split(order, cuts[1:]), strict=True):
         text, size = _gather(chars, at, own)
         rows.append((b, block, kit.squeeze(kit.narrow(np.diff(own, prepend=0).astype(np.uint64))), kit.squeeze(text.tobytes()), kit.squeeze(kit.narrow(size.astype(np.uint64)))))
     if rows:
@@ -171,7 +202,10 @@ def _reassemble(finish):
 
     def run(table: pa.Table) -> pa.Table:
         bucket = np.asarray(table["bucket"])
-        place = int(np.flatnonzero(bucket < 0)[0])
+        places = np.flatnonzero(bucket < 0)
+        if not len(places):
+            raise RuntimeError("a block was cut anew while its words were encoded: write docs to files or checkpoint them first")
+        place = int(places[0])
         numbers = kit.unpack_ranks(table["a"][place].as_py()).astype(np.int32)
         docs = np.frombuffer(table["b"][place].as_py(), np.int64)
         count = kit.widen(table["c"][place].as_py()).astype(np.int64)
@@ -182,6 +216,8 @@ def _reassemble(finish):
             flat.append(b.astype(np.int32))
             sizes.append(c.astype(np.int64))
         which, flat, sizes = np.concatenate(which), np.concatenate(flat), np.concatenate(sizes)
+        if len(which) != numbers.max(initial=-1) + 1:
+            raise RuntimeError("a block was cut anew while its words were encoded: write docs to files or checkpoint them first")
         order = np.argsort(which)  # the block's words by number
         words, _ = _gather(flat, np.r_[0, np.cumsum(sizes)], order)
         begin = np.r_[0, np.cumsum(sizes[order])]
