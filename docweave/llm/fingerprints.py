@@ -11,7 +11,9 @@ The fingerprint keeps the SIZE smallest hashed names of phrases from level FROM
 (a bottom sketch); the likeness of two fingerprints estimates the Jaccard similarity of their sets of names.
 
 Defined results: a null text is as an empty one, whose fingerprint is empty; two empty fingerprints are alike (1), an
-empty one and another are not (0).  In the query rows follow one another by id, then by a hash of the text; null ids come last.
+empty one and another are not (0); equal texts have equal fingerprints, whatever their ids; a very long text is parsed
+whole by one task (2 GB at most); extra columns are ignored; an empty table gives an empty one.  In the query rows
+follow one another by id, then by a hash of the text; null ids come last, and after the last row the first follows.
 """
 
 from __future__ import annotations
@@ -163,67 +165,89 @@ def fingerprint(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def with_next(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """Rows dealt by ranges of ids, each range with the first row of the next one: (bucket, own, doc_id, h, text).
+    """Rows by ranges of ids, in order, each range with the first row of the next one behind it: (bucket, own, i, doc_id, h, text).
 
-    The ranges' borders are quantiles of the ids; a bucket without rows of its own is skipped by the rows' links.
+    The ranges' borders are quantiles of the ids, PARTITIONS at most; rows without an id come last and have ranges of
+    their own, by the texts' hashes.  The driver holds a row for each range.
     """
     spark = docs.sparkSession
     rows = kit.check_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    count = kit.pieces(kit.volume(rows)[1], bucket_bytes, spark)
+    count = min(kit.PARTITIONS, kit.pieces(kit.volume(rows)[1], bucket_bytes, spark))
     borders = sorted(set(rows.select(F.percentile_approx("doc_id", [i / count for i in range(1, count)], 100_000).alias("q")).first()["q"] or [])) if count > 1 else []
     edges = np.array(borders, np.int64)
 
     @F.pandas_udf("int")
-    def bucket(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, ids.to_numpy(np.int64)).astype(np.int32))
-
-    rows = rows.withColumn("i", F.coalesce("doc_id", F.lit(int(kit.NO_ID))))
-    rows = rows.select(bucket("i").alias("bucket"), "i", F.xxhash64("text").alias("h"), "doc_id", "text")
-    # the first row of each bucket also goes to the last bucket before it that has rows; the driver holds a row for each bucket
+    def bucket(ids: pd.Series, h: pd.Series) -> pd.Series:
+        i, h = ids.to_numpy(np.int64), h.to_numpy(np.int64)
+        last = len(edges) + 1 + ((h >> 1).astype(np.float64) / 2.0**63 + 0.5) * count  # h from its smallest to its largest value
+        return pd.Series(np.where(i == kit.NO_ID, np.minimum(last, len(edges) + count), np.searchsorted(edges, i)).astype(np.int32))
+
+    rows = rows.withColumn("i", F.coalesce("doc_id", F.lit(int(kit.NO_ID)))).withColumn("h", F.xxhash64("text"))
+    rows = rows.select(bucket("i", "h").alias("bucket"), "i", "h", "doc_id", "text")
+    # the first row of each bucket also goes to the last bucket before it that has rows
     first = rows.groupBy("bucket").agg(F.min(F.struct("i", "h")).alias("first")).orderBy("bucket").collect()
     links = [(b["bucket"], b["first"]["i"], b["first"]["h"], a["bucket"]) for a, b in zip(first[:-1], first[1:], strict=True)]
-    links = F.broadcast(spark.createDataFrame(links, "b int, first_i long, first_h long, before int"))
+    links = F.broadcast(spark.createDataFrame(links, "b int, first_i long, first_h long, before int"))  # twice PARTITIONS rows at most
     rows = rows.join(links, (F.col("bucket") == F.col("b")) & (F.col("i") == F.col("first_i")) & (F.col("h") == F.col("first_h")), "left")
     own = F.struct(F.col("bucket"), F.lit(True).alias("own"))
     rows = rows.withColumn("place", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("before").alias("bucket"), F.lit(False).alias("own"))))))
-    return rows.select("place.bucket", "place.own", "doc_id", "h", "text").repartition(count, "bucket")
+    rows = rows.select("place.bucket", "place.own", "i", "doc_id", "h", "text").repartition(count, "bucket")
+    return rows.sortWithinPartitions("bucket", F.col("own").desc(), "i", "h")
 
 
 _EDITED = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
 
-def _edit(first: tuple | None):
-    """first: id and text of the first row of all, which follows the last."""
+def _edit(first: str):
+    """first: the text of the first row of all, which follows the last.
+
+    Rows come in order; the one after a row is the next of its bucket, whether the bucket's own or not.  Only the last row
+    of a batch waits for the next batch.
+    """
 
-    def run(table: pa.Table) -> pa.Table:
-        ids = kit.long_ids(table["doc_id"])
-        own = np.asarray(table["own"].combine_chunks())
-        texts = [t or "" for t in table["text"].to_pylist()]
-        order = np.lexsort((np.asarray(table["h"].combine_chunks()), ids, ~own)).tolist()
-        order, rest = order[: int(own.sum())], order[int(own.sum()) :]
-        follow = [texts[k] for k in order[1:]] + [texts[rest[0]] if rest else first[1]]
-        mine = [texts[k] for k in order]
-        edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(mine, follow, strict=True)]
-        coded = [t.encode() for t in (*mine, *edited, follow[-1])]
+    def results(rows: list[tuple], texts: list[str]) -> pa.RecordBatch:
+        """rows: id and text of each; texts: the one that follows each."""
+        mine = [t for _, t in rows]
+        edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(mine, texts, strict=True)]
+        coded = [t.encode() for t in (*mine, *edited, *texts)]
         offs = np.r_[0, np.cumsum([len(t) for t in coded])].astype(np.int64)
-        found = sketches(np.frombuffer(b"".join(coded), np.uint8), offs)
+        chain = [k + 1 < len(mine) and texts[k] is mine[k + 1] for k in range(len(mine))]  # that one's sketch is made already
         n = len(mine)
-        now, changed, then = found[:n], found[n : 2 * n], [*found[1:n], found[-1]]
-        return pa.Table.from_arrays(
+        alone = [2 * n + k for k in range(n) if not chain[k]]
+        found = sketches(np.frombuffer(b"".join(coded[: 2 * n]), np.uint8), offs[: 2 * n + 1])
+        rest = [coded[k] for k in alone]
+        others = iter(sketches(np.frombuffer(b"".join(rest), np.uint8), np.r_[0, np.cumsum([len(t) for t in rest])].astype(np.int64)) if rest else [])
+        now, changed = found[:n], found[n:]
+        then = [now[k + 1] if chain[k] else next(others) for k in range(n)]
+        return pa.RecordBatch.from_arrays(
             [
-                kit.id_column(ids[order]), pa.array([len(t) for t in mine], pa.int64()), pa.array([sha256(t).hexdigest() for t in coded[n : 2 * n]], pa.string()),
+                kit.id_column(np.array([i for i, _ in rows], np.int64)), pa.array([len(t) for t in mine], pa.int64()), pa.array([sha256(t).hexdigest() for t in coded[n : 2 * n]], pa.string()),
                 pa.array(map(text_of, now), pa.string()), pa.array(map(text_of, changed), pa.string()),
                 pa.array([likeness(a, b) for a, b in zip(now, changed, strict=True)], pa.float64()), pa.array([likeness(a, b) for a, b in zip(now, then, strict=True)], pa.float64()),
             ],
             schema=_EDITED,
         )
 
+    def run(batches):
+        waiting: tuple | None = None  # bucket, id and text of a row whose next one has not come
+        for batch in batches:
+            rows, texts = [], []
+            for bucket, own, i, text in zip(batch["bucket"].to_pylist(), batch["own"].to_pylist(), batch["i"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                text = text or ""
+                if waiting:
+                    rows.append(waiting[1:])
+                    texts.append(text if waiting[0] == bucket else first)
+                waiting = (bucket, i, text) if own else None
+            if rows:
+                yield results(rows, texts)
+        if waiting:
+            yield results([waiting[1:]], [first])
+
     return run
 
 
 def op6_fingerprints(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     first = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text")).limit(1).collect()
-    first = (first[0]["doc_id"], first[0]["text"] or "") if first else None
-    dealt = with_next(docs)
-    return dealt.groupBy("bucket").applyInArrow(kit.lean(_edit(first)), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    first = (first[0]["text"] or "") if first else ""
+    return with_next(docs).mapInArrow(kit.lean(_edit(first)), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
