@@ -1,12 +1,11 @@
 """Toxicity scores from class-conditional Kneser-Ney models.
 
-Toxic and ordinary text each have an interpolated Kneser-Ney model of order 5 over the bytes of running words (one space
+Toxic and ordinary text each have an interpolated Kneser-Ney model of order 4 over the bytes of running words (one space
 between them, A-Z in lower case): within a word an n-gram knows inflected and compounded expressions by their stems, and
-at its beginning it reaches back into the word before, as expressions of several words do.  The highest order counts in
-how many different pairs of neighbouring words an n-gram occurs in a class, so copies of a document add nothing; every
-lower order counts the different bytes before it.  Both models back off to counts of the lowest order that they share,
-which smooth what is rare.  A document's score is a logistic function of the difference of the two log-likelihoods per
-word.
+at its beginning it reaches back into the word before, as expressions of several words do.  The highest order counts
+occurrences in a class, every lower order the different bytes before an n-gram.  Both models back off to counts of the
+lowest order that they share, which smooth what is rare.  A document's score is a logistic function of the difference
+of the two log-likelihoods per word.
 
 Training uses a bounded sample of labelled documents (`per_class` rows and `max_bytes` of text), chosen by a hash of
 the id among those whose crc32(doc_id) modulo 5 is 1, 2 or 3; those with remainder 4 set the logistic function;
@@ -31,12 +30,12 @@ from . import kit
 from .context_tree import held_out
 
 #: Longest n-gram; discount; bounds of the sample.
-ORDER, DISCOUNT, PER_CLASS, ORDINARY_TIMES, MAX_BYTES = 5, 0.9, 4000, 2, 96 << 20
+ORDER, DISCOUNT, PER_CLASS, ORDINARY_TIMES, MAX_BYTES = 4, 0.75, 4000, 2, 96 << 20
 FOLDS = 5
 
 
-#: Bytes of a word that are spelled with the end of the word before it.
-HEAD = ORDER - 1
+#: Bytes of a word that are spelled with the end of the word before it, ORDER - 1 at least.
+HEAD = 4
 
 
 def _grams(spelled: np.ndarray, where: np.ndarray, order: int) -> np.ndarray:
@@ -86,38 +85,26 @@ def _rest_places(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
     return spelled, np.repeat(begin[:-1] + HEAD, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), word
 
 
-def _pairs(batches):
-    """(class, hash of the word and the one before it, head, word) of training texts."""
+def _gram_counts(batches):
+    """(n-gram of the highest order, its occurrences in ordinary and in toxic text) of training texts."""
     for batch in batches:
         label = np.asarray(batch["toxic"])
         raw, offs = kit.flat(batch["text"])
         for i, j in kit.slices(offs):
             part = raw[offs[i] : offs[j]]
             w = kit.Words(part, offs[i : j + 1] - offs[i])
-            word = w.hashes(fold=True)
-            before = np.r_[np.uint64(1), word[:-1]] if len(word) else word
-            before[w.at[:-1][np.diff(w.at) > 0]] = 1
-            pair = kit.mix(before * np.uint64(kit.GRAM_BASE) + word)
-            toxic = np.repeat(label[i:j], np.diff(w.at))
-            _, first = np.unique(pair * np.uint64(2) + toxic.astype(np.uint64), return_index=True)
-            size = (w.ends - w.starts)[first]
-            at = np.r_[0, np.cumsum(size)]
-            text = kit.FOLD[part[np.repeat(w.starts[first], size) + np.arange(at[-1]) - np.repeat(at[:-1], size)]]
-            yield pa.record_batch([pa.array(toxic[first].astype(np.int32)), pa.array(pair[first].view(np.int64)), pa.array(_heads(part, w)[first].view(np.int64)), kit.text_column(text, at, pa.binary())], names=["toxic", "pair", "head", "word"])
-
-
-def _gram_counts(batches):
-    """(n-gram of the highest order, count of either class) of weighted heads or words."""
-    for batch in batches:
-        if "head" in batch.schema.names:
-            places = _head_places(np.asarray(batch["head"]).view(np.uint64))
-        else:
-            raw, offs = kit.flat(batch["word"])
-            places = _rest_places(raw, offs[:-1], offs[1:])
-        spelled, where, which = places
-        weight = [np.asarray(batch[c]).astype(float) for c in ("ordinary", "toxic")]
-        name, number = np.unique(_grams(spelled, where, ORDER), return_inverse=True)
-        yield pa.record_batch([pa.array(name.view(np.int64)), *(pa.array(np.bincount(number, w[which], len(name))) for w in weight)], names=["gram", "ordinary", "toxic"])
+            if not len(w):
+                continue
+            toxic = np.repeat(label[i:j], np.diff(w.at)) == 1
+            found = []
+            head, which = np.unique(_heads(part, w), return_inverse=True)
+            found.append((_head_places(head), which, len(head)))
+            _, first, which = np.unique(w.hashes(fold=True), return_index=True, return_inverse=True)
+            found.append((_rest_places(part, w.starts[first], w.ends[first]), which, len(first)))
+            for (spelled, where, unit), which, n in found:
+                name, number = np.unique(_grams(spelled, where, ORDER), return_inverse=True)
+                times = [np.bincount(which, own, n)[unit] for own in (~toxic, toxic)]
+                yield pa.record_batch([pa.array(name.view(np.int64)), *(pa.array(np.bincount(number, t, len(name))) for t in times)], names=["gram", "ordinary", "toxic"])
 
 
 class Tables:
@@ -249,12 +236,7 @@ def _sample(docs: DataFrame, labels: DataFrame, rests: tuple[int, ...], per_clas
 
 def trained(train: DataFrame) -> Tables:
     """The models of a bounded sample: toxic (0 or 1) and text."""
-    pairs = kit.settled(train.select("toxic", "text").mapInArrow(kit.lean(_pairs), "toxic int, pair long, head long, word binary").dropDuplicates(["toxic", "pair"]))
-    sums = [F.count_if(F.col("toxic") == 0).alias("ordinary"), F.count_if(F.col("toxic") == 1).alias("toxic")]
-    grams = None
-    for unit in ("head", "word"):
-        own = pairs.groupBy(unit).agg(*sums).mapInArrow(kit.lean(_gram_counts), "gram long, ordinary double, toxic double")
-        grams = own if grams is None else grams.union(own)
+    grams = train.select("toxic", "text").mapInArrow(kit.lean(_gram_counts), "gram long, ordinary double, toxic double")
     found = grams.groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")).toArrow()
     name = np.asarray(found["gram"]).astype(np.int64).view(np.uint64)
     order = np.argsort(name)
