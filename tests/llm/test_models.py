@@ -76,6 +76,15 @@ def test_context_tree(spark):
         assert row["score"] == pytest.approx(tree_score(train, texts[row["doc_id"]] or "", 3), rel=1e-5)
 
 
+def test_context_tree_of_odd_tables(spark, odd, odd_rows, empty):
+    """Every row gets a score; equal texts get equal ones; an empty table gives an empty one."""
+    got = context_tree.code_lengths(odd, depth=2, chunk_bytes=5000).collect()
+    assert len(got) == len(odd_rows) and all(r["score"] < 0 and math.isfinite(r["bits_per_byte"]) for r in got)
+    blank = {r["score"] for r in got if r["n_tokens"] == 1 and r["doc_id"] in (15, 18)}
+    assert len(blank) == 1
+    assert context_tree.code_lengths(empty, depth=2).count() == 0
+
+
 def test_log_gamma():
     x = np.array([0.5, 1, 1.5, 7.3, 100, 1e6])
     assert np.allclose(context_tree.log_gamma(x), [math.lgamma(v) for v in x], atol=1e-9, rtol=1e-12)

@@ -28,6 +28,42 @@ def test_bpe_of_an_empty_table(empty, vocabulary):
     assert bpe.decode(bpe.encode(empty, vocabulary), vocabulary).count() == 0
 
 
+def test_op1_gives_the_contract(spark, odd, odd_rows, vocabulary):
+    """The query's own columns, over a table with odd rows, as the library and hashlib give them."""
+    odd.write.mode("overwrite").parquet(folder := kit.shared_folder(spark, "docs") + "/documents.parquet")
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=vocabulary.value.ranks, special_tokens={})
+    expected = Counter()
+    for r in odd_rows:
+        ids = enc.encode_ordinary(r[1] or "")
+        expected[r[0], len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r[1] or "").encode()).hexdigest()] += 1
+    got = bpe.op1_bpe(spark, folder.removesuffix("/documents.parquet")).collect()
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in got) == expected
+
+
+def test_long_texts_are_cut_alike_by_parts(monkeypatch):
+    import regex
+
+    find = regex.compile(P.PATTERN)
+    text = "It's 12345 long-ish \n\n words é\u4e2d and  spaces " * 50
+    whole = find.findall(text)
+    monkeypatch.setattr(bpe, "TOKENIZE_BYTES", 100)
+    monkeypatch.setattr(bpe, "SLICE_WORDS", 7)
+    parts = list(bpe._pretokens(find, text))
+    assert max(map(len, parts)) == 7 and [t for p in parts for t in p] == whole
+
+
+def test_blocks_that_were_cut_anew_end_the_job(vocabulary):
+    import pyarrow as pa
+
+    found, counts, docs = [pa.array(["a", "b", "a"])], [np.array([3])], [np.array([1])]
+    rows = pa.Table.from_batches(list(bpe._block(9, found, counts, docs, 4)))
+    finish = bpe._reassemble(lambda table: table)
+    with pytest.raises(RuntimeError):
+        finish(rows.slice(0, 1))
+    with pytest.raises(RuntimeError):
+        finish(rows.slice(1))
+
+
 def test_packing():
     x = np.array([0, 5, 254, 255, 256, 70_000, 3], np.int64)
     assert kit.unpack_ranks(kit.pack_ranks(x)).tolist() == x.tolist()
@@ -225,23 +261,91 @@ def test_fingerprints_do_not_depend_on_neighbours():
     assert fingerprints.likeness(together[4], together[4]) == 1.0
 
 
-def test_edited_texts(spark, odd, odd_rows):
-    odd.write.mode("overwrite").parquet(folder := kit.shared_folder(spark, "docs") + "/documents.parquet")
+MASK = 2**64 - 1
+
+
+def plain_mix(x):
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x = ((x ^ (x >> 33)) * factor) & MASK
+    return x ^ (x >> 33)
+
+
+def plain_coin(x, before):
+    bit = ((x ^ before) & -(x ^ before)).bit_length() - 1
+    return 2 * bit + (x >> bit & 1)
+
+
+def plain_level(symbols):
+    """One level of locally consistent parsing, symbol by symbol."""
+    joined = []
+    for k, x in enumerate(symbols):
+        if k and x == symbols[k - 1]:
+            joined[-1][1] += 1
+        else:
+            joined.append([x, 1])
+    own = [x if n == 1 else plain_mix((plain_mix((x + 0x2D) & MASK) + n) & MASK) for x, n in joined]
+    label = [own[0] & 1] + [plain_coin(x, b) for b, x in zip(own, own[1:], strict=False)]
+    for _ in range(3):
+        label = [label[0] & 1] + [plain_coin(x, b) if x != b else 0 for b, x in zip(label, label[1:], strict=False)]
+    borders = [0] + [k for k in range(2, len(own) - 1) if label[k - 1] < label[k] >= label[k + 1]] + [len(own)]
+    names = []
+    for a, b in zip(borders, borders[1:], strict=False):
+        total = sum(plain_mix(plain_mix((x + 0x51) & MASK) ^ (kit.SECOND_BASE * step & MASK)) for step, x in enumerate(own[a:b]))
+        names.append(plain_mix((total + b - a) & MASK))
+    return names
+
+
+def plain_sketch(text):
+    names, symbols = set(), list(text)
+    for level in range(1, fingerprints.LEVELS):
+        if not symbols:
+            break
+        symbols = plain_level(symbols)
+        if level >= fingerprints.FROM or len(symbols) == 1:
+            names.update(plain_mix(x ^ 0xF1) >> 16 for x in symbols)
+        if len(symbols) == 1:
+            break
+    return sorted(names)[: fingerprints.SIZE]
+
+
+def plain_likeness(a, b):
+    if not a or not b:
+        return float(len(a) == len(b))
+    union = sorted(set(a) | set(b))[: fingerprints.SIZE]
+    return len(set(union) & set(a) & set(b)) / len(union)
+
+
+def test_parsing_against_a_plain_parser():
+    rng = np.random.default_rng(2)
+    texts = [b"", b"a", b"ab", b"aaaaab", b"abab" * 20, "é ü 中文 ".encode() * 40, bytes(rng.integers(97, 105, 3000).astype(np.uint8)), b"x" * 500]
+    offs = np.cumsum([0] + [len(t) for t in texts])
+    got = fingerprints.sketches(np.frombuffer(b"".join(texts), np.uint8), offs)
+    assert [s.tolist() for s in got] == [plain_sketch(t) for t in texts]
+
+
+def test_op6_gives_the_contract(spark, odd_rows):
+    """The query over rows in the order of ids, the last followed by the first, against the plain parser."""
+    from pyspark.sql import functions as F
+
+    rows = [(r[0], (r[1] or "")[:600] if r[1] is not None else None) for r in odd_rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    df.write.mode("overwrite").parquet(folder := kit.shared_folder(spark, "docs") + "/documents.parquet")
+    order = [(r["doc_id"], r["text"] or "") for r in df.withColumn("h", F.xxhash64("text")).orderBy(F.col("doc_id").asc_nulls_last(), "h").collect()]
+    expected = Counter()
+    for k, (i, text) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        edited = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
+        own, changed, then = (plain_sketch(t.encode()) for t in (text, edited, after))
+        hexes = ["".join(f"{x:012x}" for x in s) for s in (own, changed)]
+        expected[i, len(text), hashlib.sha256(edited.encode()).hexdigest(), *hexes, round(plain_likeness(own, changed), 9), round(plain_likeness(own, then), 9)] += 1
     got = fingerprints.op6_fingerprints(spark, folder.removesuffix("/documents.parquet")).collect()
-    assert len(got) == len(odd_rows)
-    order = {}
-    for r in got:
-        order.setdefault(r["doc_id"], []).append(r)
-    ids = sorted(i for i in order if i is not None)
-    texts = {}
-    for r in odd_rows:
-        texts.setdefault(r[0], []).append(r[1] or "")
-    for i, n in zip(ids[:-1], ids[1:], strict=True):
-        if len(texts[i]) == len(texts[n]) == 1:
-            t, f = texts[i][0], texts[n][0]
-            edited = t[: len(t) - len(t) // 2] + f[: len(t) // 2]
-            assert order[i][0]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-            assert order[i][0]["n_chars"] == len(t)
+    assert Counter((*r[:5], round(r[5], 9), round(r[6], 9)) for r in got) == expected
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in fingerprints.with_next(df, 300).where("own").collect()) == sorted((i is None, i or 0) for i, _ in rows)
+
+
+def test_op6_of_an_empty_table(spark, empty):
+    empty.write.mode("overwrite").parquet(folder := kit.shared_folder(spark, "docs") + "/documents.parquet")
+    assert fingerprints.op6_fingerprints(spark, folder.removesuffix("/documents.parquet")).count() == 0
 
 
 def test_crc_of_the_query(spark, sf_dir):
