@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet to the folder that
 all executors share and reads it again as the next stage's docs.  All but the last return the columns of documents.
+
+Defined results: documents without words (null, empty, blank) are rejected by the first stage; rows with null ids pass
+the stages that compare ids (they lose passages to rows with ids, never the other way round) and repeated rows stay
+repeated, unless a near copy with a smaller id drops their id; of near copies with equal texts the smallest id stays;
+extra columns go; an empty table gives an empty one.  Very long texts are kept whole; one text is held by one task.
 """
 
 from __future__ import annotations
@@ -19,12 +24,13 @@ CHUNK_BYTES, BLOCK_BYTES = 2 << 20, 4 << 20
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity under trusted text is within their language's threshold."""
+    """Documents whose perplexity under trusted text is within their language's threshold; those without words go."""
     return quality.keep_quality(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (sets of five-word n-grams, Jaccard similarity of 0.8 or more) the smallest id."""
+    """Of each group of near copies (sets of five-word n-grams, Jaccard similarity of 0.8 or more) the smallest id; rows
+    without an id and documents without words have no copies."""
     return ngram_join.drop_near_duplicates(docs.select(*COLUMNS), k=5, percent=80)
 
 
@@ -56,7 +62,8 @@ STAGES = [
     ("byte-level BPE encoding and decoding", tokens),
 ]
 
-#: SQL can't express the stages; tests hold run() against a brute-force version.
+#: SQL can't express the stages; tests hold each of them against a brute-force version on its own input, and run()
+#: against the stages in turn.
 ORACLE_SQL = None
 
 
