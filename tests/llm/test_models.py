@@ -220,7 +220,7 @@ def test_perplexity_is_that_of_a_plain_model(spark):
     train = texts[:40]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     model = spark.createDataFrame([(t,) for t in train], "text string")
-    got = {r["doc_id"]: r for r in quality.scored(docs, model, keep=["doc_id"], block_bytes=700).collect()}
+    got = {r["doc_id"]: r for r in quality.scored(docs, model, keep=["doc_id"], block_bytes=700).columns("doc_id").collect()}
     p = kneser_ney(train)
     for i, t in enumerate(texts):
         if not (t or "").strip():
