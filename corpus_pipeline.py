@@ -18,14 +18,14 @@ from docweave.llm import bpe, kit, mixing, ngram_join, quality, substring_dedup
 
 #: The columns of documents; others do not enter the corpus.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Text in a chunk of the dedup and a block of the encoder: less than when an operator has the executors for itself,
+#: Text in a chunk of the dedup, and in a block of the classifier and the encoder: less than when an operator has the executors for itself,
 #: as workers of the stages before still hold memory.
-CHUNK_BYTES, BLOCK_BYTES = 2 << 20, 4 << 20
+CHUNK_BYTES, BLOCK_BYTES = 2 << 20, 2 << 20
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity under trusted text is within their language's threshold; those without words go."""
-    return quality.keep_quality(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.keep_quality(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"), BLOCK_BYTES)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
