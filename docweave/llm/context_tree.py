@@ -13,7 +13,8 @@ two uppermost levels have at most 65,536 nodes and are computed from the buckets
 the buckets about each distinct string and word once.
 
 Defined results: a null text is as an empty one (it still has its end); the crc32 of a null id is that of an empty
-string; rows with the same id are scored alike and each counts.  Texts are lower-cased (A-Z) and end in a byte
+string; rows with the same id or text are scored each for itself and each counts; extra columns are ignored; a very long
+text is held whole by one task (2 GB at most); an empty table gives an empty one.  Texts are lower-cased (A-Z) and end in a byte
 that UTF-8 never has.
 """
 

@@ -379,7 +379,8 @@ def parts(spark) -> int:
 
 
 def shared_folder(spark, name: str) -> str:
-    """A fresh folder in the one that all executors share; spark.checkpoint.dir is set only where it is unset."""
+    """A fresh folder in the one that all executors share; where spark.checkpoint.dir is unset and all runs in one process,
+    as in tests, one of this machine."""
     import uuid
 
     sc = spark.sparkContext
@@ -388,8 +389,11 @@ def shared_folder(spark, name: str) -> str:
         found = sc._jsc.sc().getCheckpointDir()
         top = found.get() if found.isDefined() else None
     if not top:
+        import re
         import tempfile
 
+        if not re.match(r"local(\[|$)", sc.master):  # a folder of one machine is of no use to others
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="docweave-"))
         top = sc._jsc.sc().getCheckpointDir().get()
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"

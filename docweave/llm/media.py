@@ -7,7 +7,9 @@ The number of bytes is kept in a comment.  Reading decodes all scans to coeffici
 to a full-resolution RGB tensor, of which the feature is taken.
 
 Defined results: a null text is as an empty one; an empty payload is padded to 64 zero bytes; equal bytes give equal
-images; rows with equal or null ids are stored each for itself.
+images; rows with equal or null ids and repeated rows are stored each for itself; a very long payload becomes one image
+(of 2 GB of payload at most); columns named as the operator's own are replaced, all others stay; an empty table gives an
+empty one.
 """
 
 from __future__ import annotations

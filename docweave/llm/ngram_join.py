@@ -24,7 +24,8 @@ shares m - D, any other shares as many as there are fragments beyond D.  No pair
 
 Defined results: without words or text a document has an empty set and links with nothing; with fewer than k
 words the whole sequence is its one n-gram; rows with the same id are one node; a row with a null id links with
-nothing and has a null component.
+nothing and has a null component; equal sets always link; extra columns are ignored; a very long text is reduced whole
+by one task (2 GB at most); an empty table gives an empty one.
 """
 
 from __future__ import annotations
