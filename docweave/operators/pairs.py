@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions.text import capped_share, clamped_share, clean_number, containment, jaccard, normal_venue, safe_year, shared, unique_tokens, venue_match
@@ -28,10 +28,15 @@ def ordered_pairs(papers: DataFrame, block: tuple[str, ...] = ("lang", "venue"))
     return one.union(one.select(F.col("paper_b_id").alias("paper_a_id"), F.col("paper_a_id").alias("paper_b_id")))
 
 
+def token_ids(text: Column) -> Column:
+    return F.transform(unique_tokens(text), lambda t: F.xxhash64(t))
+
+
 def paper_features(papers: DataFrame, most_references: int = 80) -> DataFrame:
-    """What pairs need of a paper, computed once for each paper."""
+    """What pairs need of a paper, computed once for each paper: tokens as 64-bit hashes, which are short to send and are
+    intersected as numbers (of a million different tokens two are alike with odds of one to thirty million)."""
     return papers.select(
-        "paper_id", unique_tokens(F.col("title")).alias("title"), unique_tokens(F.col("abstract")).alias("abstract"), unique_tokens(reference_text(F.col("reference_titles"), most_references)).alias("refs"),
+        "paper_id", token_ids(F.col("title")).alias("title"), token_ids(F.col("abstract")).alias("abstract"), token_ids(reference_text(F.col("reference_titles"), most_references)).alias("refs"),
         safe_year(F.col("publication_year").cast("string")).alias("year"), clean_number(F.col("reference_count").cast("string")).alias("count"), normal_venue(F.col("venue")).alias("venue"),
     )
 

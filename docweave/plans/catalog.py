@@ -366,21 +366,25 @@ ROWS_SQL = f"""{WITH}, {PAIRS_SQL}, {SETS_SQL}, {RAW_SQL}, {LABELLED_SQL}, {RULE
 rows AS MATERIALIZED (SELECT paper_a_id, paper_b_id, true_label, coalesce(predicted_label, true_label) AS predicted_label FROM labelled LEFT JOIN predicted USING (paper_a_id, paper_b_id))"""
 
 
-def rule(raw: DataFrame) -> DataFrame:
+def rule():
     """A prediction for most pairs; those without one are the missing predictions of the replay."""
     d = F.col("reference_count_diff_a_minus_b")
     label = F.when(F.col("abstract_jaccard") >= 0.2, "PEER").when(d > 10, "A_TO_B").when(d < -10, "B_TO_A").otherwise("NONE")
-    return raw.where((F.col("paper_a_id") + F.col("paper_b_id")) % 7 != 0).select("paper_a_id", "paper_b_id", label.alias("predicted_label"))
+    return F.when((F.col("paper_a_id") + F.col("paper_b_id")) % 7 != 0, label)
 
 
-def _rows(spark, sf_dir) -> DataFrame:
-    """true_label and predicted_label of all block pairs, each pair's features computed once."""
+def _with_rule(spark, sf_dir) -> DataFrame:
+    """true_label and the rule's label (null: none) of all block pairs, each pair's features computed once."""
     p = papers(spark, sf_dir)
     features = P.paper_features(p).join(p.select("paper_id", "node_path"), "paper_id")
     both = P.with_both(P.block_pairs(p), features)
     raw = P.raw_features(both, ("paper_a_id", "paper_b_id", T.relation(F.col("a.node_path"), F.col("b.node_path")).alias("true_label")))
-    labelled = raw.select("paper_a_id", "paper_b_id", "true_label")
-    return R.with_predictions(labelled, rule(raw))
+    return raw.select("paper_a_id", "paper_b_id", "true_label", rule().alias("predicted_label"))
+
+
+def _rows(spark, sf_dir) -> DataFrame:
+    """The same with the true label where there is no prediction."""
+    return _with_rule(spark, sf_dir).withColumn("predicted_label", F.coalesce("predicted_label", "true_label"))
 
 
 MATRIX_SQL = f"""{ROWS_SQL}, {LABEL_GRID}, m AS MATERIALIZED (SELECT t.label AS true_label, p.label AS predicted_label, (SELECT count(*) FROM rows r WHERE r.true_label = t.label AND r.predicted_label = p.label) AS n FROM labels4 t, labels4 p)"""
@@ -480,7 +484,8 @@ def label_lookup(spark, sf_dir):
 
 @query(f"{ROWS_SQL} SELECT * FROM rows")
 def prediction_lookup(spark, sf_dir):
-    return _rows(spark, sf_dir)
+    rows = I.settle(_with_rule(spark, sf_dir))
+    return R.with_predictions(rows.select("paper_a_id", "paper_b_id", "true_label"), rows.where("predicted_label is not null"))
 
 
 @query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
@@ -495,8 +500,7 @@ INSERTS_SQL = f"""{REPLAY_SQL}, ins AS MATERIALIZED (SELECT paper_a_id, count(*)
 
 
 def _replay(spark, sf_dir) -> DataFrame:
-    rows = _rows(spark, sf_dir)
-    return R.with_candidates(rows, P.block_pairs(papers(spark, sf_dir)).where(CANDIDATES))
+    return R.with_system_labels(_rows(spark, sf_dir).withColumn("is_candidate", F.expr(CANDIDATES)))
 
 
 @query(
