@@ -26,16 +26,25 @@ def node_name(path: Column) -> Column:
     return F.element_at(F.split(path, SEPARATOR), -1)
 
 
+def ancestors(path: Column) -> Column:
+    """Paths of all proper ancestors of a node."""
+    parts = F.split(path, SEPARATOR)
+    return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), SEPARATOR))).otherwise(F.array().cast("array<string>"))
+
+
 def pair_labels(papers: DataFrame) -> DataFrame:
     """(split, label, n) of all ordered pairs of distinct papers in a split.
 
-    Counted by node: papers of equal path are counted first, so the join is of nodes and no pair of papers is made.
+    Papers of equal path are counted first and meet the counts of their ancestors by path: no pair of papers is made, and
+    none of nodes that have nothing to do with each other, which are what is left of all pairs.
     """
     nodes = papers.groupBy("split", "node_path").agg(F.count(F.lit(1)).alias("n"))
-    a = nodes.select("split", F.col("node_path").alias("pa"), F.col("n").alias("na"))
-    b = nodes.select("split", F.col("node_path").alias("pb"), F.col("n").alias("nb"))
-    rows = a.join(b, "split").select("split", relation(F.col("pa"), F.col("pb")).alias("label"), (F.col("na") * F.when(F.col("pa") == F.col("pb"), F.col("nb") - 1).otherwise(F.col("nb"))).alias("n"))
-    return rows.groupBy("split", "label").agg(F.sum("n").alias("n"))
+    above = nodes.select("split", F.explode(ancestors(F.col("node_path"))).alias("node_path"), F.col("n").alias("below")).groupBy("split", "node_path").agg(F.sum("below").alias("below"))
+    sums = nodes.join(above, ["split", "node_path"], "left").groupBy("split").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("n") - 1)).alias("peers"), F.sum(F.col("n") * F.coalesce("below", F.lit(0))).alias("down")
+    )
+    n = {"A_TO_B": F.col("down"), "B_TO_A": F.col("down"), "PEER": F.col("peers"), "NONE": F.col("n") * (F.col("n") - 1) - F.col("peers") - 2 * F.col("down")}
+    return sums.select("split", F.inline(F.array(*[F.struct(F.lit(k).alias("label"), v.cast("long").alias("n")) for k, v in n.items()])))
 
 
 def node_statistics(papers: DataFrame) -> DataFrame:
