@@ -708,7 +708,16 @@ def centroid_distance_margin(spark, sf_dir):
     return I.margins(_preferences(spark, sf_dir)).select("item_id", F.round("margin", 6).alias("margin"))
 
 
-@query()
+#: The serial greedy assignment, an item in each step of the recursion.
+ASSIGNMENT_SQL = f"""{DISTANCE_SQL.replace("WITH ", "WITH RECURSIVE ", 1)}, place AS MATERIALIZED (SELECT label AS center_id, row_number() OVER (ORDER BY label) AS place FROM leaf),
+room0 AS (SELECT list(n // k + (place <= n % k)::BIGINT ORDER BY place) AS room FROM place, (SELECT (SELECT count(*) FROM v) AS n, (SELECT count(*) FROM leaf) AS k)),
+o AS MATERIALIZED (SELECT item_id, places, row_number() OVER (ORDER BY margin DESC, item_id) AS n FROM
+  (SELECT item_id, list(place ORDER BY rank) AS places, max(distance) FILTER (rank = 2) - max(distance) FILTER (rank = 1) AS margin FROM k JOIN place USING (center_id) GROUP BY item_id)),
+r(n, item_id, place, room) AS (SELECT 0::BIGINT, NULL::BIGINT, NULL::BIGINT, room FROM room0
+  UNION ALL SELECT o.n, o.item_id, list_filter(o.places, lambda p: r.room[p] > 0)[1], list_transform(r.room, lambda x, i: x - (i = list_filter(o.places, lambda p: r.room[p] > 0)[1])::BIGINT) FROM r JOIN o ON o.n = r.n + 1)"""
+
+
+@query(f"{ASSIGNMENT_SQL} SELECT item_id, center_id FROM r JOIN place USING (place)")
 def capacity_assignment(spark, sf_dir):
     v = _leaves(spark, sf_dir)
     return I.capacity_assign(v, I.centroids(v).select(F.col("node_id").alias("center_id"), F.col("centroid").alias("vector")))
