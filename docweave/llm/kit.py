@@ -399,6 +399,12 @@ def shared_folder(spark, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark, path: str) -> None:
+    """Deletes a folder that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def ensure_checkpoint(spark) -> None:
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
