@@ -1,7 +1,7 @@
 """A training corpus in five stages, each over all that the stage before it kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet to the folder that
-all executors share and reads it again as the next stage's docs.  All but the last return the columns of documents.
+all executors share, reads it again as the next stage's docs and deletes it when that stage has been written.  All but the last return the columns of documents.
 
 Defined results: documents without words (null, empty, blank) are rejected by the first stage; rows with null ids pass
 the stages that compare ids (they lose passages to rows with ids, never the other way round) and repeated rows stay
@@ -68,9 +68,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
         path = kit.shared_folder(spark, f"stage-{k}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            kit.remove(spark, before)
+        before = path
     return docs
