@@ -160,7 +160,8 @@ def kmeans_labels(vectors: DataFrame, k: int, seed: int = 13, starts: int = 20)
     n = vectors.count()
     if k <= 1 or n <= 1:
         return vectors.select("item_id", F.lit(0).alias("label"))
-    rows = vectors.select("item_id", array_to_vector(doubles(F.col("vector"))).alias("features")).persist()
+    rows = vectors.select("item_id", array_to_vector(doubles(F.col("vector"))).alias("features"))
+    rows = rows.coalesce(1 + n // 20_000).persist()  # many short iterations: no more tasks than the rows are worth
     models = [KMeans(k=min(k, n), seed=seed + i, maxIter=300).fit(rows) for i in range(starts)]
     best = min(models, key=lambda m: m.summary.trainingCost)
     rows.unpersist()
