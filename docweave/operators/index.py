@@ -154,6 +154,9 @@ def route_candidates(routes: DataFrame, members: DataFrame) -> DataFrame:
 
 def kmeans_labels(vectors: DataFrame, k: int, seed: int = 13, starts: int = 20) -> DataFrame:
     """(item_id, label) of the best of several k-means runs; one cluster for k <= 1."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -162,7 +165,9 @@ def kmeans_labels(vectors: DataFrame, k: int, seed: int = 13, starts: int = 20)
         return vectors.select("item_id", F.lit(0).alias("label"))
     rows = vectors.select("item_id", array_to_vector(doubles(F.col("vector"))).alias("features"))
     rows = rows.coalesce(1 + n // 20_000).persist()  # many short iterations: no more tasks than the rows are worth
-    models = [KMeans(k=min(k, n), seed=seed + i, maxIter=300).fit(rows) for i in range(starts)]
+    fit = inheritable_thread_target(vectors.sparkSession)(lambda i: KMeans(k=min(k, n), seed=seed + i, maxIter=300).fit(rows))
+    with ThreadPoolExecutor(8) as pool:  # short jobs side by side
+        models = list(pool.map(fit, range(starts)))
     best = min(models, key=lambda m: m.summary.trainingCost)
     rows.unpersist()
     return best.transform(rows).select("item_id", F.col("prediction").alias("label"))
