@@ -2,8 +2,8 @@
 
 The model is an interpolated modified Kneser-Ney model of order 5 over the bytes of UTF-8 text, so that every script is
 told apart; a byte that UTF-8 never has stands before a text and ends it.  It is trained on trusted text: documents
-labelled as of good quality, a bounded sample of `sample_rows` rows by a hash of their ids without one in APART of
-them.  All trusted documents that it is not trained on set the means and thresholds.
+labelled as of good quality, all but one in APART of them by a hash of their ids (given `sample_rows`, of so many of
+them).  All trusted documents that it is not trained on set the means and thresholds.
 
 Counts of n-grams are summed and joined with the statistics of their contexts and with the probabilities of their
 suffixes as tables that are sharded by n-gram, one order after the other.  The model is then dealt into shards by the
@@ -38,7 +38,9 @@ from pyspark.sql import functions as F
 from . import kit
 
 ORDER, SYMBOLS, EDGE = 5, 256, 0xFF
-SAMPLE_ROWS, KEEP, PRIOR, LEAST, APART = 20_000, 0.995, 64, 30, 5
+KEEP, PRIOR, LEAST, APART = 0.995, 64, 30, 5
+#: Trusted ids that are broadcast at most; more of them meet the documents in a shuffle.
+NEAR = 4_000_000
 #: Text of a block, and of what is turned into n-grams at a time; shards of the model; text whose questions one task answers; n-grams that a counting task holds.
 BLOCK_BYTES, SLICE, SHARDS, TASK_BYTES, HELD = 4 << 20, 1 << 20, 64, 16 << 20, 1 << 20
 LOWER = 2
@@ -319,18 +321,19 @@ def scored(docs: DataFrame, texts: DataFrame, text: str = "text", keep: list[str
     return Scored(kit.settled(out), docs.select(*keep))
 
 
-def perplexities(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, keep: float = KEEP, prior: float = PRIOR, least: int = LEAST, columns: list[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def perplexities(docs: DataFrame, labels: DataFrame, sample_rows: int | None = None, keep: float = KEEP, prior: float = PRIOR, least: int = LEAST, columns: list[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs (or some columns of it) with perplexity, threshold and kept."""
     spark = docs.sparkSession
     kit.bounded_batches(spark)
     good = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("trusted_id")).agg(F.min("quality").alias("q")).where("q = 1").select("trusted_id")
-    train = good.orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(sample_rows).where(F.pmod(F.xxhash64("trusted_id", F.lit(1)), F.lit(APART)) != 0)
-    train = kit.settled(train)
-    apart = kit.small(kit.settled(good.join(F.broadcast(train), "trusted_id", "left_anti")))
+    good = kit.settled(good)
+    some = good if sample_rows is None else good.orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(sample_rows)
+    train = kit.small(kit.settled(some.where(F.pmod(F.xxhash64("trusted_id", F.lit(1)), F.lit(APART)) != 0)), NEAR)
+    apart = kit.small(kit.settled(good.join(train, "trusted_id", "left_anti")))
     names = [c for c in columns or docs.columns if c.lower() not in ("perplexity", "threshold", "kept")]
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("lang").alias("of_lang"), F.col("text").alias("body"), *[docs[n].alias(f"c{k}") for k, n in enumerate(names) if n != "text"])
     own = {n: "body" if n == "text" else f"c{k}" for k, n in enumerate(names)}
-    texts = rows.join(F.broadcast(train), F.col("id") == F.col("trusted_id")).select(F.col("body").alias("text"))
+    texts = rows.join(train, F.col("id") == F.col("trusted_id")).select(F.col("body").alias("text"))
     found = scored(rows, texts, "body", list(dict.fromkeys(["id", "of_lang", *own.values()])), block_bytes)
     seen = kit.settled(found.columns("id", "of_lang").where("log_p is not null").join(apart, F.col("id") == F.col("trusted_id")).select("of_lang", "log_p", "n_symbols"))
     mean = kit.settled(seen.groupBy("of_lang").agg(F.count(F.lit(1)).alias("n"), (F.sum("log_p") / F.sum("n_symbols")).alias("mean")))

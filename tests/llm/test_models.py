@@ -264,6 +264,21 @@ def test_quality(spark, odd, empty):
     assert quality.perplexities(empty, labels).count() == 0
 
 
+def test_quality_trains_on_all_trusted_rows(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def seen(docs, texts, *rest, **options):
+        raise Seen(texts.count())
+
+    monkeypatch.setattr(quality, "scored", seen)
+    docs = spark.range(30_000).selectExpr("id AS doc_id", "'en' AS lang", "concat('text ', id) AS text")
+    labels = docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic")
+    with pytest.raises(Seen) as found:
+        quality.perplexities(docs, labels)
+    assert found.value.args[0] == docs.where(f"pmod(xxhash64(doc_id, 1), {quality.APART}) <> 0").count() > 20_000
+
+
 def test_quality_thresholds_use_all_trusted_rows(spark):
     """A language that the training sample hardly has gets its own mean and threshold, from all rows but the sample's."""
     rng = np.random.default_rng(6)
