@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from docweave.functions import text as X
 from docweave.functions import vectors as V
 from docweave.operators import backends, chunks, index, metrics, pairs, replay, taxonomy, texts, tfidf
+from docweave.plans import catalog
 from docweave.sources import records
 from docweave.streaming import arrivals
 
@@ -200,6 +201,39 @@ def test_index_build(spark):
     assert all(level[r["parent_id"]] == r["level"] + 1 for r in rows if r["parent_id"])
 
 
+def odd_papers(spark, n=120, seed=3):
+    """Papers with ties of arrival, nulls, equal and nested paths, empty and equal texts."""
+    rng = random.Random(seed)
+    words = ["alpha", "beta", "gamma", "delta", "eps", "zeta"]
+    text = lambda: rng.choice([None, "", " ".join(rng.choices(words, k=rng.randint(1, 6)))])
+    rows = [
+        (i * 7 % 131, rng.randint(0, 40), rng.choice(["en", "en", "de", None]), rng.choice(["v", "w", "", None]), rng.choice(["r", "r > a", "r > a > b", "r > ab", "q", None]),
+         text(), text(), [text() or "" for _ in range(rng.randint(0, 30))], rng.choice([None, 0, 3, 30]), rng.choice([None, 2001, 2020]))
+        for i in range(n)
+    ]
+    return spark.createDataFrame(rows, "paper_id long, split_index long, lang string, venue string, node_path string, title string, abstract string, reference_titles array<string>, reference_count long, publication_year int").persist()
+
+
+def test_labels_of_block_pairs_are_counted_without_pairs(spark, sf_dir):
+    p = odd_papers(spark)
+    both = pairs.with_both(pairs.block_pairs(p), p.select("paper_id", "node_path"))
+    each = both.select(taxonomy.relation(F.col("a.node_path"), F.col("b.node_path")).alias("true_label"))
+    expected = {r["label"]: r["n"] for r in metrics.label_counts(each).collect()}
+    assert {r["label"]: r["n"] for r in taxonomy.block_labels(p).collect()} == expected and min(expected.values()) > 0
+    assert sum(r["n"] for r in taxonomy.block_labels(p.limit(0)).collect()) == 0
+    assert metrics.weights_of(metrics.label_counts(each)).count() == 4
+    for name in ("label_counts", "class_weights"):
+        assert "paper_b_id" not in catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().toString()
+
+
+def test_shelves_are_counted_without_pairs(spark, sf_dir):
+    p = odd_papers(spark)
+    rows = pairs.block_pairs(p).withColumn("is_candidate", F.expr("paper_a_id % 4 = paper_b_id % 4"))
+    found = replay.shelf_inserts(p, F.expr("paper_id % 4"))
+    assert sorted(found.collect()) == sorted(replay.per_insert(rows).collect())
+    assert "paper_b_id" not in catalog.QUERIES["cumulative_pairs"](spark, sf_dir)._jdf.queryExecution().toString()
+
+
 def test_replay_defaults(spark):
     rows = spark.createDataFrame([], "paper_a_id long, paper_b_id long, true_label string, predicted_label string, is_candidate boolean, system_label string")
     t = replay.totals(rows).first()
