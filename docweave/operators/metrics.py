@@ -46,9 +46,13 @@ def label_counts(rows: DataFrame, label: str = "true_label", labels: tuple[str,
 
 def class_weights(rows: DataFrame, label: str = "true_label", labels: tuple[str, ...] = LABELS) -> DataFrame:
     """total / (labels * count), 0 for a label without rows."""
-    counts = label_counts(rows, label, labels)
-    total = counts.agg(F.sum("n").alias("total"))
-    return counts.join(F.broadcast(total)).select("label", F.when(F.col("n") > 0, F.col("total") / (len(labels) * F.col("n"))).otherwise(0.0).alias("weight"))
+    return weights_of(label_counts(rows, label, labels))
+
+
+def weights_of(counts: DataFrame) -> DataFrame:
+    """class_weights of (label, n) for every label."""
+    total = counts.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("labels"))
+    return counts.join(F.broadcast(total)).select("label", F.when(F.col("n") > 0, F.col("total") / (F.col("labels") * F.col("n"))).otherwise(0.0).alias("weight"))
 
 
 def leaderboard(scores: DataFrame) -> DataFrame:
