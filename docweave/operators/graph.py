@@ -23,10 +23,20 @@ def head(items: DataFrame, most: int = 20) -> DataFrame:
 
 def comparison(rows: DataFrame) -> DataFrame:
     """One row: pairs, edges and peers by linear scan and by candidates; a linear scan predicts every pair."""
-    n = rows.agg(
-        F.count(F.lit(1)).alias("linear_pairs"), F.count_if("is_candidate").alias("indexed_pairs"),
-        F.count_if(F.col("predicted_label").isin("A_TO_B", "B_TO_A")).alias("linear_edges"), F.count_if(F.col("system_label").isin("A_TO_B", "B_TO_A")).alias("indexed_edges"),
-        F.count_if(F.col("predicted_label") == "PEER").alias("linear_peers"), F.count_if(F.col("system_label") == "PEER").alias("indexed_peers"),
-        F.avg((F.col("predicted_label") == F.col("true_label")).cast("double")).alias("linear_accuracy"), F.avg((F.col("system_label") == F.col("true_label")).cast("double")).alias("indexed_accuracy"),
+    return comparison_of(rows.withColumn("n", F.lit(1)))
+
+
+def comparison_of(counted: DataFrame) -> DataFrame:
+    """comparison of rows that stand for n pairs each."""
+
+    def total(which, name: str):
+        return F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0)).cast("long").alias(name)
+
+    linear, indexed, true = F.col("predicted_label"), F.col("system_label"), F.col("true_label")
+    n = counted.agg(
+        total(F.lit(True), "linear_pairs"), total(F.col("is_candidate"), "indexed_pairs"), total(linear.isin("A_TO_B", "B_TO_A"), "linear_edges"), total(indexed.isin("A_TO_B", "B_TO_A"), "indexed_edges"),
+        total(linear == "PEER", "linear_peers"), total(indexed == "PEER", "indexed_peers"), total(linear == true, "linear_right"), total(indexed == true, "indexed_right"),
     )
+    share = lambda c: F.when(F.col("linear_pairs") > 0, F.col(f"{c}_right") / F.col("linear_pairs")).alias(f"{c}_accuracy")
+    n = n.select("linear_pairs", "indexed_pairs", "linear_edges", "indexed_edges", "linear_peers", "indexed_peers", share("linear"), share("indexed"))
     return n.withColumn("pair_reduction", F.when(F.col("linear_pairs") > 0, 1.0 - F.col("indexed_pairs") / F.col("linear_pairs")).otherwise(0.0))

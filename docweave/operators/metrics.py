@@ -14,9 +14,14 @@ def label_grid(spark: SparkSession, labels: tuple[str, ...] = LABELS) -> DataFra
 
 def confusion(rows: DataFrame, labels: tuple[str, ...] = LABELS) -> DataFrame:
     """(true_label, predicted_label, n) for every two labels."""
-    grid = label_grid(rows.sparkSession, labels)
+    return confusion_of(rows.select("true_label", "predicted_label", F.lit(1).alias("n")), labels)
+
+
+def confusion_of(counted: DataFrame, labels: tuple[str, ...] = LABELS) -> DataFrame:
+    """confusion of rows that stand for n pairs each."""
+    grid = label_grid(counted.sparkSession, labels)
     cells = grid.select(F.col("label").alias("true_label")).join(F.broadcast(grid.select(F.col("label").alias("predicted_label"))))
-    counts = rows.groupBy("true_label", "predicted_label").agg(F.count(F.lit(1)).alias("n"))
+    counts = counted.groupBy("true_label", "predicted_label").agg(F.sum("n").alias("n"))
     return cells.join(counts, ["true_label", "predicted_label"], "left").select("true_label", "predicted_label", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions import text as X
 from docweave.functions import vectors as V
-from docweave.operators import backends, chunks, index, metrics, pairs, replay, taxonomy, texts, tfidf
+from docweave.operators import backends, chunks, graph, index, metrics, pairs, replay, taxonomy, texts, tfidf, tiles
 from docweave.plans import catalog
 from docweave.sources import records
 from docweave.streaming import arrivals
@@ -234,6 +234,44 @@ def test_shelves_are_counted_without_pairs(spark, sf_dir):
     assert "paper_b_id" not in catalog.QUERIES["cumulative_pairs"](spark, sf_dir)._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize(("rows", "frequent"), [(16_384, 0.005), (7, 0.005), (7, 2.0), (7, 0.0)])
+def test_tiles_give_what_joined_pairs_give(spark, monkeypatch, rows, frequent):
+    """One chunk or many; tokens in matrices or postings."""
+    p = odd_papers(spark).where("node_path is not null")
+    both = pairs.with_both(pairs.block_pairs(p), pairs.paper_features(p).join(p.select("paper_id", "node_path"), "paper_id"))
+    raw = pairs.raw_features(both, ("paper_a_id", "paper_b_id", taxonomy.relation(F.col("a.node_path"), F.col("b.node_path")).alias("true_label"))).persist()
+    monkeypatch.setattr(tiles, "FREQUENT", frequent)
+    plain = lambda df: sorted(map(tuple, df.collect()), key=str)
+    got = tiles.raw_pairs(p, catalog.PLAIN, rows=rows)
+    assert plain(got) == plain(raw.select(*got.columns)) and dict(got.dtypes) == {c: t for c, t in raw.dtypes if c in got.columns}
+    ruled = raw.select("paper_a_id", "paper_b_id", "true_label", F.coalesce(catalog.rule(), "true_label").alias("predicted_label")).persist()
+    assert plain(tiles.outcomes(p, rows=rows)) == plain(ruled)
+    assert plain(tiles.edges(p, rows=rows)) == plain(graph.edges(ruled))
+    assert graph.head(tiles.edges(p, 20, rows=rows)).collect() == graph.head(graph.edges(ruled)).collect()
+    shelved = ruled.withColumn("is_candidate", F.expr("paper_a_id % 4 = paper_b_id % 4"))
+    assert plain(tiles.counted(p, rows=rows)) == plain(shelved.groupBy("true_label", "predicted_label", "is_candidate").count())
+    expected = {r["feature"]: r for r in pairs.feature_stats(pairs.scaled_features(raw), catalog.PLAIN).collect()}
+    for r in tiles.scaled_stats(p, catalog.PLAIN, rows=rows).collect():
+        assert (r["mean"], r["std"]) == pytest.approx(expected[r["feature"]][1:], abs=1e-12)
+
+
+def test_tiles_of_nothing(spark):
+    p = odd_papers(spark).limit(0)
+    assert tiles.counted(p).count() == 0 and tiles.raw_pairs(p, catalog.PLAIN).count() == 0
+    assert [(r["mean"], r["std"]) for r in tiles.scaled_stats(p, ("title_jaccard",)).collect()] == [(None, 1e-6)]
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["confusion_matrix", "classification_metrics", "macro_metrics", "replay_metrics", "linear_vs_indexed", "edge_sample", "feature_mean_std", "jaccard_pairs", "containment_pairs", "reference_overlap", "pair_features_raw", "pair_features_scaled", "pair_features_standardized", "prediction_lookup", "predicted_edges"],
+)
+def test_no_pair_is_shuffled(spark, sf_dir, name):
+    """No plan joins or shuffles rows that name both papers of a pair."""
+    plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("paper_b_id" in line for line in plan.splitlines() if "Join" in line and "Cross" not in line or "Repartition" in line)
+    assert "MapInArrow" in plan
+
+
 def test_replay_defaults(spark):
     rows = spark.createDataFrame([], "paper_a_id long, paper_b_id long, true_label string, predicted_label string, is_candidate boolean, system_label string")
     t = replay.totals(rows).first()
