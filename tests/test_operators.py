@@ -255,6 +255,25 @@ def test_tiles_give_what_joined_pairs_give(spark, monkeypatch, rows, frequent):
         assert (r["mean"], r["std"]) == pytest.approx(expected[r["feature"]][1:], abs=1e-12)
 
 
+@pytest.mark.parametrize(("rows", "frequent"), [(16_384, 0.005), (7, 0.005), (7, 2.0), (7, 0.0)])
+def test_cosines_of_tiles_are_those_of_joined_tokens(spark, monkeypatch, rows, frequent):
+    """Many papers without a token, tokens that only the valid split has, train papers without a block."""
+    p = odd_papers(spark).withColumn("split", F.when(F.col("paper_id") % 5 == 4, "valid").otherwise("train"))
+    p = p.withColumn("abstract", F.when(F.col("split") == "valid", F.concat("abstract", F.lit(" unseen unseen"))).otherwise(F.col("abstract")))
+    tokens = tfidf.with_tokens(p)
+    train = tokens.where("split = 'train'")
+    expected = tfidf.cosines(pairs.block_pairs(p), tfidf.weights(tfidf.term_frequency(tokens), tfidf.idf_table(train), tfidf.default_idf(train)))
+    monkeypatch.setattr(tiles, "FREQUENT", frequent)
+    expected = {(r[0], r[1]): r[2] for r in expected.collect()}
+    got = tiles.cosine_pairs(p, rows=rows).collect()
+    assert len(got) == len(expected) and {(r[0], r[1]): r[2] for r in got} == pytest.approx(expected, abs=1e-12)
+    assert tiles.cosine_pairs(p.limit(0), rows=rows).count() == 0
+
+
+def test_no_pair_is_shuffled_for_its_cosine(spark, sf_dir):
+    test_no_pair_is_shuffled(spark, sf_dir, "content_cosine_pairs")
+
+
 def test_tiles_of_nothing(spark):
     p = odd_papers(spark).limit(0)
     assert tiles.counted(p).count() == 0 and tiles.raw_pairs(p, catalog.PLAIN).count() == 0
