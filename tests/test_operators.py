@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions import text as X
 from docweave.functions import vectors as V
-from docweave.operators import backends, chunks, graph, index, metrics, pairs, replay, taxonomy, texts, tfidf, tiles
+from docweave.operators import backends, chunks, graph, index, kmeans, metrics, pairs, replay, taxonomy, texts, tfidf, tiles
 from docweave.plans import catalog
 from docweave.sources import records
 from docweave.streaming import arrivals
@@ -201,6 +201,49 @@ def test_index_build(spark):
     assert all(level[r["parent_id"]] == r["level"] + 1 for r in rows if r["parent_id"])
 
 
+@pytest.mark.parametrize("seed", [0, 1])
+def test_bounded_assignment_of_arrays_is_the_serial_one(seed):
+    rng = np.random.default_rng(seed)
+    far = np.round(((rng.integers(0, 3, (40, 1, 2)) - rng.integers(0, 3, (5, 2))) ** 2).sum(-1), 6).astype(float)  # many ties
+    assert dict(enumerate(kmeans.bounded(far, index.capacities(40, 5)))) == greedy(far, index.capacities(40, 5))
+    assert dict(enumerate(kmeans.bounded(far, [0, 40, 0, 0, 0]))) == dict.fromkeys(range(40), 1)
+
+
+def test_rounds_of_means():
+    x = np.random.default_rng(0).normal(size=(60, 3))
+    x[7] = x[8] = x[9]
+    centers = now = x[5:12]
+    for _ in range(300):
+        label = ((x[:, None] - now) ** 2).sum(-1).argmin(1)
+        now = np.array([x[label == c].mean(0) if (label == c).any() else now[c] for c in range(7)])
+    assert np.allclose(kmeans.lloyd(x, centers), now) and (kmeans.closest(x, now) == label).all()
+    assert kmeans.cost(x, now) == pytest.approx(((x - now[label]) ** 2).sum())
+
+
+@pytest.mark.parametrize("cell", [16_384, 60])
+def test_leaves_in_cells(spark, cell):
+    """Even leaves that hold every row, of rows near each other; groups of equal rows larger than a cell; ids as texts."""
+    rng = np.random.default_rng(0)
+    groups = [(f"i{k:03d}", k % 4, np.eye(4)[k % 4] + rng.normal(size=4) / 100) for k in range(240)]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, _, v in groups], "item_id string, vector array<double>")
+    leaves = index.bounded_leaves(rows, 16, starts=5, cell=cell).collect()
+    held = {}
+    for i, leaf in leaves:
+        held.setdefault(leaf, set()).add(int(i[1:]) % 4)
+    assert sorted(i for i, _ in leaves) == [i for i, _, _ in groups] and len(held) == 16
+    assert set(np.bincount([leaf for _, leaf in leaves])) == {15} and sum(map(len, held.values())) <= 2 * 16
+    same = spark.createDataFrame([(k, [1.0, 0.0]) for k in range(201)], "item_id long, vector array<double>")
+    sizes = np.bincount([leaf for _, leaf in index.bounded_leaves(same, 13, starts=5, cell=cell).collect()])
+    assert sorted(sizes) == sorted(index.capacities(201, 13))
+
+
+def test_index_build_starts_no_job_for_a_round(spark, sf_dir):
+    """Rounds of k-means are array operations within tasks: no more than some hundred jobs, whatever the rounds."""
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    assert catalog.QUERIES["index_stats"](spark, sf_dir).first()["max_size"] <= 16
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup()) - before < 400
+
+
 def odd_papers(spark, n=120, seed=3):
     """Papers with ties of arrival, nulls, equal and nested paths, empty and equal texts."""
     rng = random.Random(seed)
