@@ -402,6 +402,15 @@ def test_serial_index():
     assert own.rebuilds >= 5 and sizes[10] == 10 and sizes[-1] < 79
 
 
+def test_rebuilds_take_the_rounds_of_arrays(monkeypatch):
+    """No step for each cluster in a round; leaves are those of the serial assignment to the same means."""
+    calls, x = [], np.random.default_rng(0).normal(size=(50, 4))
+    lloyd = kmeans.lloyd
+    monkeypatch.setattr(kmeans, "lloyd", lambda *a: calls.append(1) or lloyd(*a))
+    far = kmeans.nearest(x, kmeans.means(x, 4, 13, starts=3))
+    assert dict(enumerate(arrivals.bounded_labels(x, 4, 13, 3))) == greedy(far, index.capacities(50, 4)) and len(calls) == 6
+
+
 def test_streamed_inserts_equal_the_batch(spark, tmp_path):
     rng = np.random.default_rng(0)
     rows = spark.createDataFrame([("k", i, rng.normal(size=4).tolist()) for i in range(30)], "key string, item_id long, vector array<double>")
