@@ -412,6 +412,19 @@ def test_rebuilds_take_the_rounds_of_arrays(monkeypatch):
     assert dict(enumerate(arrivals.bounded_labels(x, 4, 13, 3))) == greedy(far, index.capacities(50, 4)) and len(calls) == 6
 
 
+def test_rounds_of_few_centers_do_not_copy_the_points():
+    """As many points as cells are fitted on: centers are the means of their points, and rounds hold less than a copy of these."""
+    import tracemalloc
+
+    x = np.random.default_rng(0).normal(size=(20_000, 64)).astype(np.float32)
+    tracemalloc.start()
+    centers = kmeans.lloyd(x, x[:3], rounds=4)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    label = kmeans.closest(x, kmeans.lloyd(x, x[:3], rounds=3))
+    assert centers == pytest.approx(np.array([x[label == c].mean(0, dtype=float) for c in range(3)]), abs=1e-5) and held < x.nbytes / 2
+
+
 def test_streamed_inserts_equal_the_batch(spark, tmp_path):
     rng = np.random.default_rng(0)
     rows = spark.createDataFrame([("k", i, rng.normal(size=4).tolist()) for i in range(30)], "key string, item_id long, vector array<double>")
