@@ -48,6 +48,28 @@ def test_text_index_is_frozen_between_rebuilds():
     assert np.linalg.norm(v) == pytest.approx(1)
 
 
+def test_stretches_of_a_key_are_tasks_with_the_serial_rows(spark, monkeypatch):
+    """One index of one key: several tasks find its rows, which are those of arrivals one at a time."""
+    rng, kept, settle = np.random.default_rng(5), [], arrivals.settle
+    monkeypatch.setattr(arrivals, "settle", lambda df: kept.append(settle(df)) or kept[-1])
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.4, 30) % 200) for _ in range(45)]
+    texts[7], texts[20], texts[21] = "", None, texts[3]
+    rows = spark.createDataFrame([("k", str(i), i, t) for i, t in enumerate(texts)], "key string, item_id string, place long, text string")
+    options = {"leaf_size": 6, "starts": 2, "max_features": 90}
+    got = arrivals.text_inserts(rows, (1, 2), stop=["w1"], **options).collect()
+    walked = next(df for df in kept if "visited" in df.columns)
+    assert walked.where("item_id is not null").select(F.spark_partition_id()).distinct().count() > 3
+    for beam in (1, 2):
+        own = arrivals.TextIndex(beam=beam, stop=frozenset({"w1"}), **options)
+        mine = sorted((r for r in got if r["beam"] == beam), key=lambda r: r["step"])
+        assert [r["item_id"] for r in mine] == list(map(str, range(45)))
+        for n, r in enumerate(mine):
+            found, visited, rebuilt, *_ = own.arrive(str(n), texts[n] or "")
+            assert (list(r["candidates"]), r["visited"], r["rebuilt"], r["existing"]) == (found, visited, rebuilt, n)
+            assert list(r["schedule_before"]) == index.level_schedule(n, 6) and list(r["schedule_after"]) == index.level_schedule(n + 1, 6)
+            assert r["route_seconds"] >= 0 and r["insert_seconds"] > 0
+
+
 def test_inner_nodes_are_means_of_all_arrivals_below():
     rng = np.random.default_rng(0)
     own = arrivals.SerialIndex(leaf_size=4, beam=2)
