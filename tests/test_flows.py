@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docweave.operators import backends, chunks, index, pairs, taxonomy
-from docweave.plans import commands, reconstruct
+from docweave.plans import catalog, commands, reconstruct
 from docweave.sources import records
 from docweave.streaming import arrivals
 
@@ -70,6 +70,23 @@ def test_stretches_of_a_key_are_tasks_with_the_serial_rows(spark, monkeypatch):
             assert r["route_seconds"] >= 0 and r["insert_seconds"] > 0
 
 
+def test_widths_of_the_replay_share_their_rebuilds(spark, sf_dir, monkeypatch):
+    """One pass over the arrivals for all widths, with the numbers that each has alone; k-means runs once for each rebuild."""
+    calls, inserts, groups = [], arrivals.text_inserts, arrivals.SerialIndex.groups
+    monkeypatch.setattr(arrivals, "text_inserts", lambda *a, **o: calls.append(a[1]) or inserts(*a, **o))
+    found = {r["beam"]: r for r in catalog.QUERIES["index_replay"](spark, sf_dir).collect()}
+    assert len(calls) == 1 and set(found) == {1, 2, 3}
+    alone = reconstruct.routed(catalog._index_papers(spark, sf_dir), ("lang", "venue"), 3)
+    assert alone.agg(F.sum("visited")).first()[0] == found[3]["visited"] and alone.where("rebuilt").count() == found[3]["rebuilds"]
+    monkeypatch.setattr(arrivals.SerialIndex, "groups", lambda *a: calls.append(a) or groups(*a))
+    texts = [" ".join(f"w{(i * k) % 11}" for k in range(1, 9)) for i in range(12)]
+    index_ = arrivals.PlacedIndex(items=texts, terms=arrivals.numbered_terms(texts, frozenset(), 2), leaf_size=6, starts=2)
+    calls.clear()
+    for beam in (1, 2, 3):
+        list(index_.stretch(1, beam))
+    assert index_.rebuilds > len(index_.built) and len(calls) == sum(len(index.level_schedule(n, 6)) for n in index_.built)
+
+
 def test_inner_nodes_are_means_of_all_arrivals_below():
     rng = np.random.default_rng(0)
     own = arrivals.SerialIndex(leaf_size=4, beam=2)
