@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docweave.operators import backends, chunks, index, pairs, taxonomy
+from docweave.operators import backends, chunks, index, pairs, replay, taxonomy
 from docweave.plans import catalog, commands, reconstruct
 from docweave.sources import records
 from docweave.streaming import arrivals
@@ -87,6 +87,28 @@ def test_widths_of_the_replay_share_their_rebuilds(spark, sf_dir, monkeypatch):
     assert index_.rebuilds > len(index_.built) and len(calls) == sum(len(index.level_schedule(n, 6)) for n in index_.built)
 
 
+def test_replay_of_the_index_lists_candidates_only(spark, tmp_path, monkeypatch):
+    """The numbers of a row for each pair, papers without a block among them, without making those rows."""
+    rng = random.Random(4)
+    line = lambda n: " ".join(f"w{rng.randrange(40)}" for _ in range(n))
+    docs = [(i, "\n".join([line(3), line(5), *[line(2)] * rng.randrange(25)]), rng.choice(["en", "en", "de", "", None]), rng.choice(["s1", "s1", "s2", "", None])) for i in range(150)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    every, papers_ = catalog._rows(spark, str(tmp_path)).cache(), catalog.papers(spark, str(tmp_path))
+    want = {}
+    for beam in (1, 2, 3):
+        inserts = reconstruct.routed(catalog._index_papers(spark, str(tmp_path)), ("lang", "venue"), beam)
+        rows = replay.with_candidates(every, reconstruct.candidate_pairs(inserts, papers_))
+        one = replay.totals(rows).join(replay.query_hits(rows)).join(replay.insert_stats(replay.per_insert(rows)))
+        want[beam] = one.first().asDict() | inserts.agg(F.sum("visited").alias("visited"), F.count_if("rebuilt").alias("rebuilds")).first().asDict()
+    monkeypatch.setattr(catalog.P, "block_pairs", lambda *a: pytest.fail("made all pairs"))
+    found = catalog.QUERIES["index_replay"](spark, str(tmp_path))
+    got = {r["beam"]: {k: v for k, v in r.asDict().items() if k != "beam"} for r in found.collect()}
+    assert set(got) == {1, 2, 3} and found.columns == [*want[1], "beam"]
+    for beam in want:
+        assert got[beam] == pytest.approx(want[beam])
+    assert got[1]["candidate_pairs"] < got[1]["pairs"] and got[1]["hits"] < got[1]["queries"]
+
+
 def test_inner_nodes_are_means_of_all_arrivals_below():
     rng = np.random.default_rng(0)
     own = arrivals.SerialIndex(leaf_size=4, beam=2)
