@@ -335,6 +335,35 @@ def test_no_pair_is_shuffled(spark, sf_dir, name):
     assert "MapInArrow" in plan
 
 
+def test_chunks_are_packed_before_they_are_shuffled(spark):
+    """Token arrays don't move, and a chunk that meets itself is sent once."""
+    plan = tiles.raw_pairs(odd_papers(spark), catalog.PLAIN)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    above = [k for k, line in enumerate(plan) if "FlatMapGroupsInArrow" in line]
+    assert above and all(any("MapInArrow _parts" in line or "MapInArrow run(" in line for line in plan[k + 1 : k + 3]) for k in above)
+    met = next(k for k, line in enumerate(plan) if "Repartition" in line)
+    assert "CASE WHEN" in plan[met + 1] and "THEN b" in plan[met + 1]
+
+
+def test_chunks_are_small(spark):
+    """400 papers of 100 tokens out of 1,000, in 8 parts: a byte and a half for each, their common tokens included."""
+    draw = np.random.default_rng(5)
+    rows = [(k, k, "en", "v", "t", " ".join(f"word{w}" for w in draw.choice(1000, 100, replace=False)), [], 0, 2000, "all", "train") for k in range(400)]
+    p = spark.createDataFrame(rows, "paper_id long, split_index long, lang string, venue string, title string, abstract string, reference_titles array<string>, reference_count long, publication_year int, node_path string, split string").repartition(8)
+    (chunk,) = tiles.packed(p, ["abstract"], ("lang", "venue"), 16_384).collect()
+    assert len(chunk["blob"]) < 1.5 * 400 * 100
+    side = tiles.unpacked(chunk["blob"])
+    assert list(side["id"]) == list(range(400)) and list(side["abstract"][0]) == [100] * 400 and len(side["abstract"][2]) == 1000
+
+
+def test_blobs_give_their_sets_back():
+    least, most = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+    for lengths, codes, tokens in [([], [], []), ([0, 0], [], []), ([2, 0, 1], [1, 3, 0], [least, -1, 5, most]), ([1], [0], [least])]:
+        x = (np.array(lengths, np.int32), np.array(codes, np.int32), np.array(tokens, np.int64))
+        found = tiles.unpacked(tiles._blob({"title": x, "venue": (["a"], np.array([0, -1])), "year": np.array([1.0, np.nan])}))
+        assert all(np.array_equal(a, b) and a.dtype == b.dtype for a, b in zip(found["title"], x, strict=True))
+        assert found["venue"][0] == ["a"] and np.array_equal(found["year"], [1.0, np.nan], equal_nan=True)
+
+
 def test_replay_defaults(spark):
     rows = spark.createDataFrame([], "paper_a_id long, paper_b_id long, true_label string, predicted_label string, is_candidate boolean, system_label string")
     t = replay.totals(rows).first()
