@@ -335,6 +335,17 @@ def test_no_pair_is_shuffled(spark, sf_dir, name):
     assert "MapInArrow" in plan
 
 
+def test_overlap_reads_every_reference(spark, tmp_path):
+    """Two papers of 100 references share the words of the last one, and of the first."""
+    import duckdb
+
+    rows = [(k, "\n".join(["title", "abstract", "first one", *[f"own{k}x{n}" for n in range(98)], "last words"]), "en", "src0") for k in range(2)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert [tuple(r) for r in catalog.reference_overlap(spark, str(tmp_path)).collect()] == con.execute(catalog.ORACLE_SQL["reference_overlap"]).fetchall() == [(1, 0, 4)]
+
+
 def test_chunks_are_packed_before_they_are_shuffled(spark):
     """Token arrays don't move, and a chunk that meets itself is sent once."""
     plan = tiles.raw_pairs(odd_papers(spark), catalog.PLAIN)._jdf.queryExecution().optimizedPlan().toString().splitlines()
