@@ -366,6 +366,21 @@ def test_chunks_are_small(spark):
     assert list(side["id"]) == list(range(400)) and list(side["abstract"][0]) == [100] * 400 and len(side["abstract"][2]) == 1000
 
 
+@pytest.mark.parametrize("kind", ["cosine"])
+def test_rows_of_a_slice_come_by_strips(spark, kind):
+    """700 papers of a block: the last 10,000 rows name the papers B of the last strip only; all pairs are there, as joined pairs have them."""
+    rows = [(k, k // 2, "en", "v", f"word{k % 7} word{k % 11}", f"text{k % 13} text{k % 5}", [], k % 50, 2000 + k % 9, "all", "train") for k in range(700)]
+    p = spark.createDataFrame(rows, "paper_id long, split_index long, lang string, venue string, title string, abstract string, reference_titles array<string>, reference_count long, publication_year int, node_path string, split string")
+    if kind == "raw":
+        got = tiles.raw_pairs(p, catalog.PLAIN)
+        expected = pairs.raw_features(pairs.with_both(pairs.block_pairs(p), pairs.paper_features(p))).select(*got.columns)
+    else:
+        got, expected = tiles.cosine_pairs(p).select("paper_a_id", "paper_b_id"), pairs.block_pairs(p)
+    found = got.collect()
+    assert len({r["paper_b_id"] for r in found[-10_000:]}) < tiles.STRIP
+    assert sorted(map(tuple, found)) == sorted(map(tuple, expected.collect())) and len(found) == 700 * 699 // 2
+
+
 def test_blobs_give_their_sets_back():
     least, most = np.iinfo(np.int64).min, np.iinfo(np.int64).max
     for lengths, codes, tokens in [([], [], []), ([0, 0], [], []), ([2, 0, 1], [1, 3, 0], [least, -1, 5, most]), ([1], [0], [least])]:
