@@ -366,7 +366,7 @@ def test_chunks_are_small(spark):
     assert list(side["id"]) == list(range(400)) and list(side["abstract"][0]) == [100] * 400 and len(side["abstract"][2]) == 1000
 
 
-@pytest.mark.parametrize("kind", ["cosine"])
+@pytest.mark.parametrize("kind", ["raw", "cosine"])
 def test_rows_of_a_slice_come_by_strips(spark, kind):
     """700 papers of a block: the last 10,000 rows name the papers B of the last strip only; all pairs are there, as joined pairs have them."""
     rows = [(k, k // 2, "en", "v", f"word{k % 7} word{k % 11}", f"text{k % 13} text{k % 5}", [], k % 50, 2000 + k % 9, "all", "train") for k in range(700)]
